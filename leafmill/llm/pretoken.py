@@ -11,8 +11,7 @@ import regex
 #: The word pattern of byte-level BPE vocabularies.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space by the Unicode property; the modules' own \s also holds U+001C to U+001F.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-_WIDE = regex.compile(WORD.replace(r"[^\s\p", rf"[^{_SPACE}\p").replace(r"\s+(?!\S)", rf"[{_SPACE}]+(?![^{_SPACE}])").replace(r"\s+", rf"[{_SPACE}]+"))
+_WIDE = regex.compile(WORD.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s+(?!\S)", r"\p{White_Space}+(?!\P{White_Space})").replace(r"\s+", r"\p{White_Space}+"))
 #: Texts of these characters only are cut by the standard module, in half the time; all of the range from U+00C0 but two are letters.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _NARROW_TEXT = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ɏ]*")

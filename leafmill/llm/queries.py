@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from leafmill.llm.secrets import op2_secret_scan
 from leafmill.llm.token_counts import op9_token_counts
+from leafmill.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {}
