@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,15 +83,22 @@ def crc_mod_py(doc_id, m: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
 
 
-def binary_array(chunks: list) -> pa.Array:
-    """A binary column from bytes, memoryviews or contiguous numpy arrays."""
-    return pa.array([c.tobytes() if isinstance(c, np.ndarray) else bytes(c) for c in chunks], pa.binary())
+def joined(column: pa.Array) -> memoryview:
+    """The bytes of a binary column without nulls, one row after the other."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]] if len(column) else memoryview(b"")
 
 
-def slices(batch: pa.RecordBatch, rows: int):
-    """A batch in pieces of at most so many rows."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def text_slices(batch: pa.RecordBatch, most: int, column: str = "text"):
+    """A batch in slices whose texts have at most so many bytes together (or that are one row)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def partitions_for(spark: SparkSession) -> int:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from leafmill.llm.decontaminate import op7_decontamination
+from leafmill.llm.language import op4_language
+from leafmill.llm.pieces import op6_pieces
+from leafmill.llm.quality import op5_quality
 from leafmill.llm.secrets import op2_secret_scan
 from leafmill.llm.token_counts import op9_token_counts
 from leafmill.llm.token_files import op10_token_files
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op4_language": op4_language,
+    "op5_quality": op5_quality,
+    "op6_pieces": op6_pieces,
+    "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
 }
