@@ -90,13 +90,13 @@ def joined(column: pa.Array) -> memoryview:
     return memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]] if len(column) else memoryview(b"")
 
 
-def text_slices(batch: pa.RecordBatch, most: int, column: str = "text"):
-    """A batch in slices whose texts have at most so many bytes together (or that are one row)."""
+def text_slices(batch: pa.RecordBatch, most: int, column: str = "text", rows: int = 1 << 30):
+    """A batch in slices whose texts have at most so many bytes together (or that are one row), and so many rows."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
         before = ends[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
         yield batch.slice(at, end - at)
         at = end
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from leafmill.llm.decontaminate import op7_decontamination
 from leafmill.llm.language import op4_language
+from leafmill.llm.ngram_join import op3_ngram_join
 from leafmill.llm.pieces import op6_pieces
 from leafmill.llm.quality import op5_quality
 from leafmill.llm.secrets import op2_secret_scan
@@ -12,6 +13,7 @@ from leafmill.llm.token_files import op10_token_files
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_ngram_join": op3_ngram_join,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,
