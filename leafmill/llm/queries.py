@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafmill.llm.decontaminate import op7_decontamination
+from leafmill.llm.embeddings import op1_embedding_dedup
 from leafmill.llm.language import op4_language
 from leafmill.llm.ngram_join import op3_ngram_join
 from leafmill.llm.pieces import op6_pieces
@@ -12,6 +13,7 @@ from leafmill.llm.token_counts import op9_token_counts
 from leafmill.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_join": op3_ngram_join,
     "op4_language": op4_language,
