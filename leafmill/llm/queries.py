@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leafmill.llm.chat import OP8_SQL, op8_chat
 from leafmill.llm.decontaminate import op7_decontamination
 from leafmill.llm.embeddings import op1_embedding_dedup
 from leafmill.llm.language import op4_language
@@ -20,8 +21,11 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,
     "op7_decontamination": op7_decontamination,
+    "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_chat": OP8_SQL,
+}
