@@ -6,9 +6,10 @@ fragments are summed for each text: a text with fewer than three quarters of its
 and goes. Of the others, the n-grams that a link must meet (the prefix of the order) give the candidate pairs, whose
 partial overlaps are again counted by fragment and summed for each pair.
 
-Equal sets are one class from the start. In a list of classes that share an n-gram, first one member is compared with
-all others, twice; pairs that are then already in one component need no comparison, all other pairs get one, so no link
-between two components is missed and large groups of near copies never become all of their pairs.
+Equal sets are one class from the start. All classes whose prefixes share an n-gram meet in the cluster of the least of
+them; in a cluster one class is compared with all others, and then each that is not yet in the largest component, so no
+link between two components is missed and large groups of near copies never become all of their pairs. A cluster hands
+on what ties it together, not its links.
 
 Results for odd rows: a text without words has no n-grams and is a component of its own; repeated rows are links of
 weight one like any equal texts; a null doc_id stays null and never names a component; an empty table gives an empty
@@ -36,8 +37,8 @@ from leafmill.llm.shingles import mixed, shingle_set
 PART = 75
 #: Texts that are cut into fragments together: so many bytes, so many rows (their places take 16 bits).
 SLICE_BYTES, SLICE_ROWS = 6_000_000, 60_000
-#: Fragments for each shuffle partition; fragments of the pair counts.
-SPREAD, PAIR_FRAGMENTS = 4, 4
+#: Fragments for each shuffle partition; fragments of the pair counts; n-grams of the classes that are compared in one task.
+SPREAD, PAIR_FRAGMENTS, TASK_GRAMS = 4, 4, 4_000_000
 
 _MEMBER = np.dtype([("doc_id", "<i8"), ("null", "?"), ("n", "<i8"), ("a", "<u8"), ("b", "<u8"), ("place", "<i4")])
 _POSTINGS = "kind int, fragment int, slice long, data binary"
@@ -131,10 +132,10 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
 
 def survivors(rows: pa.Table) -> pa.Table:
     """Of one slice: its members (kind 0), and the shared n-grams of each set that has enough of them (kind 1): those of its prefix as plain ids, all as packed ids."""
-    out: dict[str, list] = {"kind": [], "doc_id": [], "n": [], "a": [], "b": [], "prefix": [], "grams": []}
+    out: dict[str, list] = {"kind": [], "doc_id": [], "n": [], "a": [], "b": [], "shared": [], "prefix": [], "grams": []}
 
-    def add(kind, doc_id, n, a, b, prefix, grams):
-        for k, v in zip(out, (kind, doc_id, n, a, b, prefix, grams), strict=True):
+    def add(kind, doc_id, n, a, b, shared, prefix, grams):
+        for k, v in zip(out, (kind, doc_id, n, a, b, shared, prefix, grams), strict=True):
             out[k].append(v)
 
     kinds, fragments, data = rows.column("kind").to_pylist(), rows.column("fragment").to_pylist(), rows.column("data")
@@ -144,7 +145,7 @@ def survivors(rows: pa.Table) -> pa.Table:
     signed = lambda x: int(x) - (1 << 64) if x >= 1 << 63 else int(x)
     for m in member:
         for d, null, n, a, b, _ in m.tolist():
-            add(0, None if null else d, n, signed(a), signed(b), None, None)
+            add(0, None if null else d, n, signed(a), signed(b), None, None, None)
     if parts and member:
         by_place = {m["place"]: m for m in member[0] if m["place"] >= 0}
         packed = np.concatenate(parts)
@@ -159,54 +160,82 @@ def survivors(rows: pa.Table) -> pa.Table:
             n = int(m["n"])
             if (spare := e - s - int(least_overlap(n))) >= 0:
                 # the unshared n-grams come first in the order and take their part of the prefix
-                add(1, None, n, signed(m["a"]), signed(m["b"]), gram[s : s + spare + 1].tobytes(), pack_sorted(np.sort(gram[s:e])))
-    return pa.table({"kind": pa.array(out["kind"], pa.int32()), "doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "prefix": pa.array(out["prefix"], pa.binary()), "grams": pa.array(out["grams"], pa.binary())})
+                add(1, None, n, signed(m["a"]), signed(m["b"]), e - s, gram[s : s + spare + 1].tobytes(), pack_sorted(np.sort(gram[s:e])))
+    return pa.table({"kind": pa.array(out["kind"], pa.int32()), "doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "shared": pa.array(out["shared"], pa.int64()), "prefix": pa.array(out["prefix"], pa.binary()), "grams": pa.array(out["grams"], pa.binary())})
 
 
 def prefix_lists(classes: DataFrame) -> DataFrame:
-    """(gram, node, n) for each n-gram of each class's prefix."""
+    """(gram, node) for each n-gram of each class's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = np.frombuffer(joined(b.column("prefix")), np.int64)
             sizes = np.array([len(x.as_buffer()) // 8 for x in b.column("prefix")], np.int64)
-            each = lambda c: pa.array(np.repeat(b.column(c).to_numpy(), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(grams), each("node"), each("n")], ["gram", "node", "n"])
-
-    return classes.select("node", "n", "prefix").mapInArrow(run, "gram long, node long, n long")
-
-
-def links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) that link: overlaps counted in each fragment of the order, and summed for the pair."""
-    sets = classes.select("node", "n", "grams")
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("grams").alias(f"grams_{c}"))
-    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "n_u", "n_v", "grams_u", "grams_v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            last, x, keep = None, None, []
-            for ru, rv, nu, nv in zip(b.column("grams_u"), b.column("grams_v"), b.column("n_u").to_pylist(), b.column("n_v").to_pylist(), strict=True):
-                if (raw := ru.as_py()) != last:
-                    last, x = raw, unpack_sorted(raw)
-                y = unpack_sorted(rv.as_py())
-                at, need = 0, -(-PART * (nu + nv) // (100 + PART))
-                edges = np.linspace(0, len(x), PAIR_FRAGMENTS + 1).astype(int)
-                low = 0
-                for s, e in zip(edges, edges[1:], strict=False):
-                    high = np.searchsorted(y, x[e - 1], "right") if e else low
-                    at += len(np.intersect1d(x[s:e], y[low:high], True))
-                    low = high
-                    if at + min(len(x) - e, len(y) - low) < need:
-                        break  # what is left cannot make up for it
-                keep.append(100 * at >= PART * (nu + nv - at))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
-
-    return both.mapInArrow(run, "u long, v long")
-
-
-def similar(a: str, b: str):
-    return (100 * F.least(a, b)) >= (PART * F.greatest(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(b.column("node").to_numpy(), sizes))], ["gram", "node"])
+
+    return classes.select("node", "prefix").mapInArrow(run, "gram long, node long")
+
+
+def tied(n: np.ndarray, grams: list[np.ndarray], part: np.ndarray, crossing: bool) -> np.ndarray:
+    """Of the classes of a cluster, the first (by place) that each is tied to by a chain of links.
+
+    One class is compared with all others, and then each class that is not yet in the largest component: two classes
+    that are both in it need no comparison, and of any other two one is compared with all.
+    """
+    m = len(n)
+    sizes = np.array([len(g) for g in grams])
+    starts = np.cumsum(sizes) - sizes
+    kinds, ids = np.unique(np.concatenate(grams), return_inverse=True)
+    edges = np.linspace(0, len(kinds), PAIR_FRAGMENTS + 1).astype(np.int64)  # of the order of n-grams
+    cuts = [np.searchsorted(g, kinds[edges[1:-1]]) + s for g, s in zip(grams, starts, strict=True)]  # where each class's fragments begin
+    begins = np.column_stack([starts, np.array(cuts).reshape(m, -1), starts + sizes])
+    root, done = np.arange(m), np.zeros(m, bool)
+    held = np.zeros(len(kinds), np.int64)
+    largest = -1
+    while True:
+        rest = np.flatnonzero(~done & (root != largest))
+        if not len(rest):
+            return root
+        i = int(rest[0])
+        done[i] = True
+        held[:] = 0
+        held[ids[starts[i] : starts[i] + sizes[i]]] = 1
+        sums = np.concatenate([[0], np.cumsum(held[ids])])
+        partial = sums[begins[:, 1:]] - sums[begins[:, :-1]]  # overlap of each class in each fragment
+        overlap = partial.sum(1)
+        linked = 100 * overlap >= PART * (n[i] + n - overlap)
+        if crossing:
+            linked &= part != part[i]
+        linked[i] = True
+        roots = np.unique(root[linked])
+        root[np.isin(root, roots)] = roots[0]
+        largest = int(np.bincount(root).argmax())
+
+
+def clusters(lists: DataFrame) -> DataFrame:
+    """(lead, node): the least class of each list, and every class of its lists. Any two classes of one list share its lead."""
+    lead = lists.groupBy("gram").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("gram", "lead")
+    return lists.join(lead, "gram").select("lead", "node").distinct()
+
+
+def links(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Ties (u, v) within each cluster that connect what its links connect. Large clusters are cut into parts, and each pair of parts is a task's work."""
+    rows = members.join(classes.select("node", "n", "shared", "grams"), "node")
+    large = members.join(classes.select("node", "shared"), "node").groupBy("lead").agg(F.sum("shared").alias("c")).where(F.col("c") > TASK_GRAMS)
+    rows = rows.join(large.select("lead", F.ceil(F.col("c") / TASK_GRAMS).cast("int").alias("parts")), "lead", "left")
+    rows = rows.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    others = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.struct(F.least("part", o).alias("lo"), F.greatest("part", o).alias("hi")))
+    rows = rows.withColumn("pair", F.explode(others)).withColumn("task", F.xxhash64("lead", "pair.lo", "pair.hi")).withColumn("crossing", F.col("pair.lo") != F.col("pair.hi"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node").combine_chunks()
+        node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
+        grams = [unpack_sorted(x) for x in group.column("grams").to_pylist()]
+        root = tied(n, grams, group.column("part").to_numpy(), group.column("crossing")[0].as_py())
+        moved = root != np.arange(len(root))
+        return pa.table({"u": pa.array(node[moved], pa.int64()), "v": pa.array(node[root][moved], pa.int64())})
+
+    return rows.select("task", "node", "n", "grams", "part", "crossing").groupBy("task").applyInArrow(run, "u long, v long")
 
 
 def components(spark: SparkSession, docs: DataFrame, size: int = 5) -> DataFrame:
@@ -215,34 +244,17 @@ def components(spark: SparkSession, docs: DataFrame, size: int = 5) -> DataFrame
     scratch = Scratch(spark, "ngrams")
     fragments = SPREAD * partitions_for(spark)
     kept = cut(docs, fragments, size).groupBy("fragment").applyInArrow(shared_only, _POSTINGS)
-    kept = kept.groupBy("slice").applyInArrow(survivors, "kind int, doc_id long, n long, a long, b long, prefix binary, grams binary")
+    kept = kept.groupBy("slice").applyInArrow(survivors, "kind int, doc_id long, n long, a long, b long, shared long, prefix binary, grams binary")
     kept = scratch.put(kept, "sets")
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # the shuffles that are done with leave the disks
 
     members = kept.where("kind = 0").select("doc_id", "n", "a", "b")
     node = F.xxhash64("a", "b", "n").alias("node")
-    sets = kept.where("kind = 1").select(node, "n", "prefix", "grams")
-    sets = scratch.put(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams")), "classes")
-    lists = scratch.put(prefix_lists(sets).groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").join(prefix_lists(sets), "gram").select("gram", "node", "n"), "lists")
-
-    edges, labels = None, None
-    for turn in range(3):
-        now = lists.withColumn("c", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        if turn < 2:
-            # one class of each list, and of those not yet tied to it all others
-            first = F.min(F.struct("node", "c", "n")) if turn == 0 else F.max(F.struct("node", "c", "n"))
-            lead = now.groupBy("gram").agg(first.alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("gram", F.col("lead.node").alias("u"), F.col("lead.c").alias("cu"), F.col("lead.n").alias("nu"))
-            pairs = now.join(lead, "gram").where((F.col("c") != F.col("cu")) & similar("n", "nu")).select("u", F.col("node").alias("v"))
-        else:
-            open_ = now.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("gram")
-            rest = now.join(open_, "gram", "left_semi")
-            other = rest.select("gram", F.col("node").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"))
-            pairs = rest.join(other, "gram").where((F.col("node") < F.col("v")) & (F.col("c") != F.col("cv")) & similar("n", "nv")).select(F.col("node").alias("u"), "v")
-        found = scratch.put(links(pairs.distinct(), sets), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = scratch.put(connected_components(spark, edges, scratch), "labels")
-
+    sets = kept.where("kind = 1").select(node, "n", "shared", "prefix", "grams")
+    sets = scratch.put(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams")), "classes")
+    lists = scratch.put(prefix_lists(sets), "lists")
+    labels = scratch.put(connected_components(spark, links(clusters(lists), sets), scratch), "labels")
     classes = members.where("n > 0").groupBy(node).agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     roots = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     named = classes.join(roots, "root").select("node", "component_id")

@@ -105,6 +105,13 @@ def test_a_large_group_whose_first_member_misses_some(spark):
     assert sorted((tuple(r) for r in ngram_join.components(spark, docs).collect()), key=str) == slow_components(rows)
 
 
+def test_clusters_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TASK_GRAMS", 300)
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in ngram_join.components(spark, docs).collect()), key=str) == slow_components(rows)
+
+
 def test_odd_rows(spark):
     rows = [(5, "the same row of seven words here"), (5, "the same row of seven words here"), (None, "the same row of seven words here"), (None, "alone"), (2, None), (9, "word " * 300_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
