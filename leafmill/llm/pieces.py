@@ -18,8 +18,10 @@ empty table gives an empty table; columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import re
-import zlib
+import sys
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -29,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import ship, table
+from leafmill.llm.common import ship, table, text_slices
 
-MARK = "▁"
-#: Words and pairs of pieces kept in a worker's tables; characters of texts whose words are sorted together; longest word kept.
-TABLE_WORDS, TABLE_PAIRS, SLICE_CHARS, KEPT_CHARS = 300_000, 500_000, 4_000_000, 64
+#: The mark of the vocabulary, and the space that stands for it here: words of Latin letters then take one byte a letter.
+WRITTEN, MARK = "▁", " "
+#: Words and pairs of pieces kept in a worker's tables; bytes of texts whose words are sorted together; longest word kept.
+TABLE_WORDS, TABLE_PAIRS, SLICE_BYTES, KEPT_CHARS = 500_000, 300_000, 3_000_000, 64
 
 _models: dict[int, PieceModel] = {}
 
@@ -41,10 +44,12 @@ _models: dict[int, PieceModel] = {}
 class PieceModel:
     def __init__(self, raw: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        if sp.normalize("  ﬁ A ") != f"{MARK}{MARK}{MARK}ﬁ{MARK}A{MARK}":
+        if sp.normalize("  ﬁ A ") != "   ﬁ A ".replace(MARK, WRITTEN):
             raise ValueError("only vocabularies that keep texts as they are, with one mark before, are known here")
+        if sys.byteorder != "little":
+            raise OSError("ids are written in little-endian order")
         n = sp.get_piece_size()
-        names = [sp.id_to_piece(i) for i in range(n)]
+        names = [sp.id_to_piece(i).replace(WRITTEN, MARK) for i in range(n)]
         self.byte = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
@@ -52,10 +57,15 @@ class PieceModel:
         self.score = {names[i]: sp.get_score(i) for i in plain}
         if any(MARK in name.lstrip(MARK) for name in self.id):
             raise ValueError("a piece holds a mark after other characters")
-        self.longest = max(map(len, self.id))
-        inside = "".join(sorted({c for name in self.id for c in name} - {MARK}))
-        self.units = re.compile(f"{MARK}*[{re.escape(inside)}]+|{MARK}+|.", re.DOTALL)
-        self.text_of = [b"" if sp.is_control(i) else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
+        # every end of a piece, and whether it is one itself: longer strings need no look
+        self.tails = {name[k:]: False for name in self.id for k in range(1, len(name))} | dict.fromkeys(self.id, True)
+        inside = {c for name in self.id for c in name} - {MARK}
+        # signs that no piece has after a letter end a word of letters: the word is then the same with and without them
+        signs = {c for c in inside if not c.isalpha()} - {b for name in self.id for a, b in zip(name, name[1:], strict=False) if a.isalpha()}
+        of = lambda chars: "".join(map(re.escape, sorted(chars)))
+        word = f"{MARK}*[{of(c for c in inside if c.isalpha())}]++(?=[{of(signs)}])|" if signs else ""
+        self.units = re.compile(f"{word}{MARK}*[{of(inside)}]+|{MARK}+|.", re.DOTALL)
+        self.text_of = [b"" if sp.is_control(i) else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else names[i].encode() for i in range(n)]
         self.table: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -85,7 +95,7 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, its pieces) of distinct words, in sorted order, going through their trie depth-first."""
-        pieces, before = self.id, ""
+        tails, known, follows, before = self.tails, self.pairs, self.follows, ""
         begin, last = [0], [""]  # of each prefix's surviving path: where its last piece begins, and that piece
         for word in sorted(words):
             shared = 0
@@ -95,14 +105,20 @@ class PieceModel:
                 shared += 1
             del begin[shared + 1 :], last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for at in range(max(0, end - self.longest), end):
+                at = end - 1
+                while True:
                     piece = word[at:end]
-                    if (piece in pieces or at == end - 1) and self.follows(last[at], piece):
-                        begin.append(at)
-                        last.append(piece)
-                        break
-                else:
-                    raise AssertionError(f"no path survives in {word[:end]!r}")
+                    whole = tails.get(piece)
+                    if whole or at == end - 1:
+                        left = last[at]
+                        ok = known.get((left, piece))
+                        if follows(left, piece) if ok is None else ok:
+                            break
+                    if (whole is None and at < end - 1) or not at:
+                        raise AssertionError(f"no path survives in {word[:end]!r}")
+                    at -= 1
+                begin.append(at)
+                last.append(piece)
             out, end = [], len(word)
             while end:
                 out.append(last[end])
@@ -117,15 +133,17 @@ class PieceModel:
                 ids.append(i)
             else:
                 ids += [self.byte[b] for b in p.encode()] if self.byte else [self.unknown]
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian, 4 bytes each."""
-        cut = [self.units.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in cut for w in words}.difference(self.table)
+        cut = [self.units.findall(MARK + t.replace(WRITTEN, MARK)) if t else [] for t in texts]
+        used = set().union(*cut)
+        new = used.difference(self.table)
         if len(self.table) + len(new) > TABLE_WORDS:
-            self.table.clear()
-            new = {w for words in cut for w in words}
+            # the words met first are the common ones; they stay, with those of this slice
+            stay = dict(islice(self.table.items(), TABLE_WORDS // 2))
+            self.table = stay | {w: self.table[w] for w in used.difference(new) if w not in stay}
         known = self.table
         for w, p in self.encode_words(list(new)):
             known[w] = self.ids_of(p)
@@ -156,16 +174,11 @@ def encoded(spark: SparkSession, docs: DataFrame, vocabulary: str, ids: str = "_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_for(raw.value)
         for b in batches:
-            texts = [t or "" for t in b.column(names.index("text")).to_pylist()]
-            out: list[bytes] = []
-            while len(out) < len(texts):
-                end, held = len(out), 0
-                while end < len(texts) and (held == 0 or held + len(texts[end]) <= SLICE_CHARS):
-                    held += len(texts[end])
-                    end += 1
-                out += model.encode(texts[len(out) : end])
-            same = [model.decode(i) == t for i, t in zip(out, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array(same, pa.bool_())], [*names, ids, decoded])
+            for part in text_slices(b, SLICE_BYTES):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                out = model.encode(texts)
+                same = [model.decode(i) == t for i, t in zip(out, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary()), pa.array(same, pa.bool_())], [*names, ids, decoded])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BooleanType())]))
 
