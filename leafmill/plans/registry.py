@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from leafmill.operators import flow, relational
+from leafmill.operators import archives, flow, relational, render, tables
 
-QUERIES = flow.QUERIES | relational.QUERIES
+QUERIES = flow.QUERIES | relational.QUERIES | render.QUERIES | tables.QUERIES | archives.QUERIES
