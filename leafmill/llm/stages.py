@@ -29,7 +29,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = scratch.put(ngram_join.components(spark, docs), "components")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
     kept = kept.select(F.col("doc_id").alias("__kept"), "__rows")
-    out = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left").where("__kept is not null or doc_id is null")
+    # the ids that stay grow with the input, so they are never broadcast: texts move once, whatever the size
+    out = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left").where("__kept is not null or doc_id is null")
     names = docs.columns
     if kept.where("__rows > 1").limit(1).count():
         once = out.where("__rows = 1 or __rows is null")
