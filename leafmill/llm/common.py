@@ -5,9 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make the package importable on executors whose Python path does not hold it."""
-    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
-    on_path = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
-    if app in _shipped or str(root) in on_path:
-        return
-    target = Path(tempfile.mkdtemp()) / "leafmill.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in (root / "leafmill").rglob("*.py"):
-            z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
+from leafmill.plans.session import ship
+
+#: Bytes of texts that a Python worker has as strings at a time.
+SLICE_BYTES = 3_000_000
+
+__all__ = ["SLICE_BYTES", "Scratch", "crc_mod", "crc_mod_py", "joined", "partitions_for", "shared_dir", "ship", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

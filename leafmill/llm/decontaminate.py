@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ship, table
+from leafmill.llm.common import SLICE_BYTES, ship, table, text_slices
 
 #: One edit is allowed for so many characters of an item.
 BUDGET = 16
@@ -145,7 +145,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, block_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ready = Items(shared.value)
-            for b in batches:
+            for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
                 cols = dict(zip([*names, "__items", "__distances"], b.columns, strict=True))
                 found = []
                 for text, ids, ds in zip(cols["text"].to_pylist(), cols["__items"].to_pylist(), cols["__distances"].to_pylist(), strict=True):

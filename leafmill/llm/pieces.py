@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import ship, table, text_slices
+from leafmill.llm.common import SLICE_BYTES, ship, table, text_slices
 
 #: The mark of the vocabulary, and the space that stands for it here: words of Latin letters then take one byte a letter.
 WRITTEN, MARK = "▁", " "
-#: Words and pairs of pieces kept in a worker's tables; bytes of texts whose words are sorted together; longest word kept.
-TABLE_WORDS, TABLE_PAIRS, SLICE_BYTES, KEPT_CHARS = 500_000, 300_000, 3_000_000, 64
+#: Words and pairs of pieces kept in a worker's tables; longest word kept.
+TABLE_WORDS, TABLE_PAIRS, KEPT_CHARS = 500_000, 300_000, 64
 
 _models: dict[int, PieceModel] = {}
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import crc_mod, ship, table
+from leafmill.llm.common import SLICE_BYTES, crc_mod, ship, table, text_slices
 
 BITS = 16
 DIM = 8
@@ -133,9 +133,10 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        for b in batches:
-            scores = [score_of(t, weights, bias) for t in b.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, column])
+        for whole in batches:
+            for b in text_slices(whole, SLICE_BYTES):
+                scores = [score_of(t, weights, bias) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 

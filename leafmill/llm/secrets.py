@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm.common import ship, table
+from leafmill.llm.common import SLICE_BYTES, ship, table, text_slices
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -121,7 +121,7 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
             rows = [spans_of(t) if t else [] for t in b.column("text").to_pylist()]
             count = lambda k: pa.array([sum(x[1] == k for x in r) for r in rows], pa.int64())
             base = [hashlib.sha256(shown([x for x in r if x[1] < 3]).encode()).hexdigest() for r in rows]
@@ -136,14 +136,15 @@ def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            fixed = [redact(t, s) if t and (s := spans_of(t)) else t for t in texts]
-            cols = dict(zip(names, b.columns, strict=True)) | {"text": pa.array(fixed, pa.string())}
-            if "n_chars" in cols:
-                kind, old = cols["n_chars"].type, cols["n_chars"].to_pylist()
-                cols["n_chars"] = pa.array([o if f is t or f == t else len(f) for o, t, f in zip(old, texts, fixed, strict=True)], kind)
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
+        for whole in batches:
+            for b in text_slices(whole, SLICE_BYTES):
+                texts = b.column("text").to_pylist()
+                fixed = [redact(t, s) if t and (s := spans_of(t)) else t for t in texts]
+                cols = dict(zip(names, b.columns, strict=True)) | {"text": pa.array(fixed, pa.string())}
+                if "n_chars" in cols:
+                    kind, old = cols["n_chars"].type, cols["n_chars"].to_pylist()
+                    cols["n_chars"] = pa.array([o if f is t or f == t else len(f) for o, t, f in zip(old, texts, fixed, strict=True)], kind)
+                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
     return docs.mapInArrow(run, docs.schema)
 
