@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -22,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Scratch, partitions_for, ship, table
+from leafmill.llm.common import Scratch, joined, partitions_for, ship, table
 from leafmill.llm.huffman import END, Code, read_segments, write_segment
 from leafmill.llm.pretoken import ByteBpe, words_of
 
-TABLE_WORDS = 400_000
+#: Words kept in a worker's table.
+TABLE_WORDS = 500_000
 #: Ids of a segment, of a file (about 45 MB of code), and of a block that is decoded on its own.
 SEGMENT_IDS, FILE_IDS, BLOCK_IDS = 1_000_000, 32_000_000, 512
 
@@ -53,9 +55,12 @@ class Encoder:
                 try:
                     parts.append(b"".join(map(known.__getitem__, words)))
                 except KeyError:
+                    used = set(words)
+                    new = list(used.difference(known))
                     if len(known) > TABLE_WORDS:
-                        known.clear()
-                    new = list(set(words).difference(known))
+                        # the words met first are the common ones
+                        known = self.table = dict(islice(known.items(), TABLE_WORDS // 4))
+                        new = list(used.difference(known))
                     for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
                         known[w] = np.array(e.ids, self.kind).tobytes()
                     parts.append(b"".join(map(known.__getitem__, words)))
@@ -78,7 +83,10 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, end: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder_for(raw.value).ids
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([ids(t or "", end) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "ids"])
+            # a batch's copies are encoded once
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            once = {t: ids(t, end) for t in set(texts)}
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(once.__getitem__, texts), pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -89,11 +97,10 @@ def id_counts(ids: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                c = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
+            c = np.bincount(np.frombuffer(joined(b.column("ids")), kind))
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+            total[: len(c)] += c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
