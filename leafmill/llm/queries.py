@@ -10,6 +10,7 @@ from leafmill.llm.ngram_join import op3_ngram_join
 from leafmill.llm.pieces import op6_pieces
 from leafmill.llm.quality import op5_quality
 from leafmill.llm.secrets import op2_secret_scan
+from leafmill.llm.sql import EMBEDDINGS, NGRAMS
 from leafmill.llm.token_counts import op9_token_counts
 from leafmill.llm.token_files import op10_token_files
 
@@ -27,5 +28,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_embedding_dedup": EMBEDDINGS,
+    "op3_ngram_join": NGRAMS,
     "op8_chat": OP8_SQL,
 }
