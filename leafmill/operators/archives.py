@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators.flow import documents
+from leafmill.operators.flow import documents, spread
 from leafmill.plans.session import ship
 from leafmill.sources import opc, word, xml
 
@@ -28,7 +28,7 @@ def made_packages(docs: DataFrame) -> DataFrame:
                 raw = opc.write_parts([opc.stored(name, content.encode()) for name, content in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", _BODY.format(body)))])
                 yield pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([raw], pa.binary())], ["doc", "content"])
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInArrow(run, "doc string, content binary")
+    return spread(docs.select(F.col("doc_id").cast("string").alias("doc"), "text")).mapInArrow(run, "doc string, content binary")
 
 
 def crc32_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def placed_lines(docs: DataFrame, key: str = "doc_id", geometry: Geometry = SMAL
         kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 3]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in LINES.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(run, LINES)
+    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), "text")).mapInArrow(run, LINES)
 
 
 def counted(docs: DataFrame, make: Callable[[str], tuple[int, int, int]], schema: str) -> DataFrame:
@@ -71,7 +71,13 @@ def counted(docs: DataFrame, make: Callable[[str], tuple[int, int, int]], schema
             rows = [make(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names) - 1)]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents over all cores where their files give fewer partitions than that; of large tables nothing moves."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +138,7 @@ def starts_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [f.split()[0] for f in schema.split(", ")])
 
-    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(run, schema)
+    return spread(documents(spark, sf_dir).select("doc_id", "text")).mapInArrow(run, schema)
 
 
 STARTS_SQL = _LINES_SQL + """

