@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as fn
 from leafmill.operators.lines import MONO, Paragraph, Run
 from leafmill.operators.pages import Geometry, page_starts, paginate
+from leafmill.plans.grouped import in_groups
 from leafmill.plans.session import ship
 
 SIZE, LINE = 16.0, 20.0
@@ -35,30 +36,38 @@ def paragraphs(text: str, style: dict) -> list[Paragraph]:
 LINES = "doc_id long, page int, block int, line int, start long, end long, gaps int, broken boolean, width_milli long, x_milli long, y_milli long"
 
 
-def placed_lines(docs: DataFrame, key: str = "doc_id", geometry: Geometry = SMALL, style: dict | None = None, widow: bool = True) -> DataFrame:
-    """Every line of every document (key, text): page, block, offsets and place. A null text is empty."""
+def placed_lines(docs: DataFrame, key: str = "doc_id", geometry: Geometry = SMALL, style: dict | None = None, widow: bool = True, shown: bool = False) -> DataFrame:
+    """Every line of every document (key, text): page, block, offsets and place, and its text if that is to be shown. A null text is empty."""
     ship(docs.sparkSession)
     style = {"line_height": LINE, "line_rule": "exact"} | (style or {})
+    schema = f"{LINES}, shown string" if shown else LINES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(11)]
+            rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for n, page in enumerate(paginate(paragraphs(text or "", style), geometry, widow)):
+                blocks = paragraphs(text or "", style)
+                for n, page in enumerate(paginate(blocks, geometry, widow)):
                     for p in page.lines:
                         x = p.line
-                        for c, v in zip(cols, (doc_id, n, p.block, p.index, x.start, x.end, x.gaps, x.broken, milli(x.width), milli(p.x), milli(p.y)), strict=True):
-                            c.append(v)
-                if len(cols[0]) > 50_000:
-                    yield batch_of(cols)
-                    cols = [[] for _ in range(11)]
-            yield batch_of(cols)
+                        row = (doc_id, n, p.block, p.index, x.start, x.end, x.gaps, x.broken, milli(x.width), milli(p.x), milli(p.y))
+                        rows.append((*row, text_between(blocks[p.block].runs[0].text, x.start, x.end)) if shown else row)
+                if len(rows) > 50_000:
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
 
-    def batch_of(cols: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 3]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in LINES.split(", ")])
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 3, *[pa.string()] * shown]
+        cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
-    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), "text")).mapInArrow(run, LINES)
+    return spread(docs.select(F.col(key).cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+
+
+def text_between(text: str, start: int, end: int) -> str:
+    """The text between two UTF-16 offsets."""
+    return text[start:end] if text.isascii() or max(text) <= "\uffff" else text.encode("utf-16-le")[2 * start : 2 * end].decode("utf-16-le")
 
 
 def counted(docs: DataFrame, make: Callable[[str], tuple[int, int, int]], schema: str) -> DataFrame:
@@ -155,23 +164,21 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "conv_id long, turn long, first_page int, last_page int, n_lines long, y_milli long"
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([("turn", "ascending"), ("text", "ascending")]).to_pylist()
+    def make(conv_id, group: dict[str, list]) -> list[tuple]:
         style = {"line_height": LINE, "line_rule": "exact"}
         spaces = {"user": (10.0, 20.0), "system": (0.0, 12.0)}
         blocks = []
-        for r in t:
-            before, after = spaces.get(r["role"], (20.0, 6.0))
-            blocks.append(Paragraph([Run(r["text"] or "", SIZE)], style | {"before": before, "after": after, "keep_next": r["role"] == "system"}))
+        for role, text in zip(group["role"], group["text"], strict=True):
+            before, after = spaces.get(role, (20.0, 6.0))
+            blocks.append(Paragraph([Run(text or "", SIZE)], style | {"before": before, "after": after, "keep_next": role == "system"}))
         found: dict[int, list] = {}
         for n, page in enumerate(paginate(blocks, SMALL)):
             for p in page.lines:
                 found.setdefault(p.block, []).append((n, p.y))
-        rows = [(r["conv_id"], r["turn"], found[i][0][0], found[i][-1][0], len(found[i]), milli(found[i][0][1])) for i, r in enumerate(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [f.split()[0] for f in schema.split(", ")])
+        return [(conv_id, turn, found[i][0][0], found[i][-1][0], len(found[i]), milli(found[i][0][1])) for i, turn in enumerate(group["turn"])]
 
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return rows.groupBy("conv_id").applyInArrow(run, schema)
+    return in_groups(rows, "conv_id", ["turn", "text"], make, [f.split()[0] for f in schema.split(", ")], kinds, schema)
 
 
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,13 +16,18 @@ from leafmill.operators import flow
 
 #: Layers in paint order.
 LAYERS = ("header", "footer", "behind", "row", "line", "number", "box", "note", "front")
-_OP = {"doc_id": "long", "page": "int", "layer": "int", "ordinal": "long", "kind": "string", "x": "double", "y": "double", "x2": "double", "y2": "double", "width": "double", "height": "double", "size": "double", "text": "string", "color": "string", "style": "string"}
+_OP = {"layer": "int", "ordinal": "long", "kind": "string", "x": "double", "y": "double", "x2": "double", "y2": "double", "width": "double", "height": "double", "size": "double", "text": "string", "color": "string", "style": "string"}
 
 
-def ops(rows: DataFrame, layer: str, kind: str, **columns: Column) -> DataFrame:
-    """Operations of one layer from rows (doc_id, page); what is not stated is null."""
-    stated = {"doc_id": F.col("doc_id"), "page": F.col("page"), "layer": F.lit(LAYERS.index(layer)), "kind": F.lit(kind)} | columns
-    return rows.select(*[stated.get(c, F.lit(None)).cast(t).alias(c) for c, t in _OP.items()])
+def one(layer: str, kind: str, **columns: Column) -> Column:
+    """An operation of a layer as a struct; what is not stated is null."""
+    stated = {"layer": F.lit(LAYERS.index(layer)), "kind": F.lit(kind)} | columns
+    return F.struct(*[stated.get(c, F.lit(None)).cast(t).alias(c) for c, t in _OP.items()])
+
+
+def several(rows: DataFrame, *operations: Column) -> DataFrame:
+    """The operations of each row (doc_id, page) from one pass over the rows; null ones are none."""
+    return rows.select("doc_id", "page", F.inline(F.array_compact(F.array(*operations))))
 
 
 def painted(*layers: DataFrame) -> DataFrame:
@@ -31,7 +36,7 @@ def painted(*layers: DataFrame) -> DataFrame:
     return both.withColumn("z", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("layer", "ordinal", "kind")) - 1)
 
 
-def element(style: Column | None = None) -> Column:
+def element() -> Column:
     """The SVG element of an operation."""
     n, a = fn.svg_number, lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
     color = fn.xml_attribute(F.coalesce("color", F.lit("#000000")))
@@ -42,29 +47,25 @@ def element(style: Column | None = None) -> Column:
     return F.when(F.col("kind") == "text", text).when(F.col("kind") == "rect", rect).otherwise(line)
 
 
-def svg(painted_ops: DataFrame, width: float, height: float, background: str | None = "#ffffff") -> DataFrame:
-    """One SVG text for each page."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", element().alias("e")))), lambda s: s["e"]), "")
-    size = lambda: (fn.svg_number(F.lit(width)), fn.svg_number(F.lit(height)))
-    w, h = size()
+def svg(operations: DataFrame, width: float, height: float, background: str | None = "#ffffff") -> DataFrame:
+    """One SVG text for each page, from its operations in any order."""
+    in_order = F.array_sort(F.collect_list(F.struct("layer", "ordinal", "kind", element().alias("e"))))
+    body = F.array_join(F.transform(in_order, lambda s: s["e"]), "")
+    w, h = fn.svg_number(F.lit(width)), fn.svg_number(F.lit(height))
     head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), w, F.lit('" height="'), h, F.lit('" viewBox="0 0 '), w, F.lit(" "), h, F.lit('">'))
     paper = F.concat(F.lit('<rect width="'), w, F.lit('" height="'), h, F.lit(f'" fill="{background}"/>')) if background else F.lit("")
-    return painted_ops.groupBy("doc_id", "page").agg(F.concat(head, paper, body, F.lit("</svg>")).alias("svg"))
+    return operations.groupBy("doc_id", "page").agg(F.concat(head, paper, body, F.lit("</svg>")).alias("svg"))
 
 
 def lines_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placed lines with the text that they show."""
-    docs = flow.documents(spark, sf_dir)
-    lines = flow.placed_lines(docs, widow=False)
-    blocks = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "block_text"))
-    shown = F.substring("block_text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    return lines.join(blocks, ["doc_id", "block"]).withColumn("shown", shown)
+    return flow.placed_lines(flow.documents(spark, sf_dir), widow=False, shown=True)
 
 
 def text_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text operations of the lines of documents, with what they show."""
     rows = lines_with_text(spark, sf_dir).where("width_milli > 0")
-    return ops(rows, "line", "text", ordinal=F.col("block").cast("long") * 100_000 + F.col("line"), x=F.col("x_milli") / 1000, y=F.col("y_milli") / 1000 + 16, size=F.lit(16.0), text=F.col("shown"))
+    return several(rows, one("line", "text", ordinal=F.col("block").cast("long") * 100_000 + F.col("line"), x=F.col("x_milli") / 1000, y=F.col("y_milli") / 1000 + 16, size=F.lit(16.0), text=F.col("shown")))
 
 
 def svg_text_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,19 +79,31 @@ SELECT doc_id, page, CAST(block AS BIGINT) * 100000 + line AS ordinal,
 FROM (SELECT *, CAST((row_number() OVER w - 1) // 5 AS INTEGER) AS page, row_number() OVER w - 1 AS n FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY block, line)) WHERE length(rtrim(got, ' ')) > 0"""
 
 
-def draw_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All operations of the pages of documents: a rule above a footer with the page's number, the lines, a mark at each block's first line."""
     fields = flow.page_fields(spark, sf_dir).select("doc_id", (F.col("page") - 1).cast("int").alias("page"), "field")
-    foot = ops(fields, "footer", "text", ordinal=F.lit(1), x=F.lit(10.0), y=F.lit(119.0), size=F.lit(8.0), text=F.col("field"))
-    rule = ops(fields, "footer", "line", ordinal=F.lit(0), x=F.lit(10.0), y=F.lit(112.0), x2=F.lit(202.0), y2=F.lit(112.0), width=F.lit(0.5), style=F.lit("dotted"))
-    rows = lines_with_text(spark, sf_dir)
-    mark = ops(rows.where("line = 0"), "number", "rect", ordinal=F.col("block").cast("long"), x=F.lit(4.0), y=F.col("y_milli") / 1000, width=F.lit(2.0), height=F.lit(20.0), color=F.lit("#cccccc"))
-    return painted(foot, rule, text_ops(spark, sf_dir), mark)
+    foot = several(
+        fields,
+        one("footer", "text", ordinal=F.lit(1), x=F.lit(10.0), y=F.lit(119.0), size=F.lit(8.0), text=F.col("field")),
+        one("footer", "line", ordinal=F.lit(0), x=F.lit(10.0), y=F.lit(112.0), x2=F.lit(202.0), y2=F.lit(112.0), width=F.lit(0.5), style=F.lit("dotted")),
+    )
+    place = F.col("block").cast("long") * 100_000 + F.col("line")
+    body = several(
+        lines_with_text(spark, sf_dir),
+        F.when(F.col("width_milli") > 0, one("line", "text", ordinal=place, x=F.col("x_milli") / 1000, y=F.col("y_milli") / 1000 + 16, size=F.lit(16.0), text=F.col("shown"))),
+        F.when(F.col("line") == 0, one("number", "rect", ordinal=F.col("block").cast("long"), x=F.lit(4.0), y=F.col("y_milli") / 1000, width=F.lit(2.0), height=F.lit(20.0), color=F.lit("#cccccc"))),
+    )
+    return foot.unionByName(body)
+
+
+def draw_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations of the pages of documents, in paint order."""
+    return painted(page_ops(spark, sf_dir))
 
 
 def svg_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and hash of each page's SVG."""
-    pages = svg(draw_ops(spark, sf_dir), flow.SMALL.width, flow.SMALL.height)
+    pages = svg(page_ops(spark, sf_dir), flow.SMALL.width, flow.SMALL.height)
     return pages.select("doc_id", "page", F.char_length("svg").cast("long").alias("n_chars"), F.md5("svg").alias("svg_md5"))
 
 

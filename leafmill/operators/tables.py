@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +9,7 @@ from leafmill.operators.flow import LINE, SIZE, SMALL, milli
 from leafmill.operators.lines import Paragraph, Run
 from leafmill.operators.pages import Cell, Row, Table, paginate
 from leafmill.operators.relational import LINE_ORDER
+from leafmill.plans.grouped import in_groups
 from leafmill.plans.session import ship
 
 ROWS = "doc_id long, row int, page int, repeated boolean, y_milli long, height_milli long"
@@ -26,14 +25,13 @@ def placed_rows(rows: DataFrame, key: str, order: list[str], cells: list[str], h
     def cell(text) -> Cell:
         return Cell([Paragraph([Run(str(text), SIZE)], style)])
 
-    def run(k: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in order])
-        body = [Row([cell(v) for v in r]) for r in zip(*[t.column(c).to_pylist() for c in cells], strict=True)]
+    def make(k, group: dict[str, list]) -> list[tuple]:
+        body = [Row([cell(v) for v in r]) for r in zip(*[group[c] for c in cells], strict=True)]
         pages = paginate([Table([Row([cell(h) for h in header], header=True), *body], [width] * len(cells))], SMALL)
-        out = [(k[0].as_py(), r.index, n, r.repeated, milli(r.y), milli(r.height)) for n, p in enumerate(pages) for r in p.rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], [f.split()[0] for f in ROWS.split(", ")])
+        return [(k, r.index, n, r.repeated, milli(r.y), milli(r.height)) for n, p in enumerate(pages) for r in p.rows]
 
-    return rows.groupBy(key).applyInArrow(run, ROWS)
+    wanted = list(dict.fromkeys([key, *order, *cells]))
+    return in_groups(rows.select(*wanted), key, order, make, [f.split()[0] for f in ROWS.split(", ")], kinds, ROWS)
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
