@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 
 from leafmill.operators.flow import milli
 from leafmill.operators.lines import Paragraph, Run, Stop, Tabs
-from leafmill.operators.pages import Cell, Geometry, Page, Row, Table, paginate
+from leafmill.operators.pages import Cell, Geometry, Page, Row, Table
+from leafmill.operators.sections import LineNumbers, Section, layout_sections, shown
 from leafmill.plans.session import ship
 from leafmill.sources import opc, xml
 
@@ -181,18 +182,6 @@ def read_lists(content: str | None) -> Lists:
     return out
 
 
-def shown_number(n: int, style: str) -> str:
-    if style in ("lowerLetter", "upperLetter"):
-        s = chr(97 + (n - 1) % 26) * ((n - 1) // 26 + 1) if n > 0 else ""
-    elif style in ("lowerRoman", "upperRoman"):
-        from leafmill.functions.text import _ROMAN
-
-        s = "m" * (n // 1000) + "".join(row[n // place % 10] for row, place in zip(_ROMAN, (100, 10, 1), strict=True)) if n > 0 else ""
-    else:
-        return str(n)
-    return s.upper() if style.startswith("upper") else s
-
-
 class Counters:
     """Where each list stands. Instances of one abstract list count on together."""
 
@@ -218,7 +207,7 @@ class Counters:
         for k in range(9, 0, -1):
             if f"%{k}" in out:
                 other = self.lists.level(num, k - 1)
-                out = out.replace(f"%{k}", shown_number(counts.get(k - 1, other.start if other else 1), other.format if other else level.format))
+                out = out.replace(f"%{k}", shown(counts.get(k - 1, other.start if other else 1), other.format if other else level.format))
         return out
 
 
@@ -227,18 +216,45 @@ class Counters:
 
 @dataclass
 class Document:
-    blocks: list
-    geometry: Geometry
+    sections: list[Section]
     markers: dict[int, str]
     styles_of: list[str | None]
     notes: list[tuple[str, str]]
 
+    @property
+    def blocks(self) -> list:
+        return [b for s in self.sections for b in s.blocks]
+
+    @property
+    def geometry(self) -> Geometry:
+        return self.sections[-1].geometry
+
+
+#: Numerals that page numbers and fields can ask for.
+PAGE_NUMERALS = {"lowerRoman": "lowerRoman", "upperRoman": "upperRoman", "lowerLetter": "lowerLetter", "upperLetter": "upperLetter", "roman": "lowerRoman", "ROMAN": "upperRoman", "alphabetic": "lowerLetter", "ALPHABETIC": "upperLetter"}
+
+
+def field_of(instruction: str) -> tuple[str | None, str | None]:
+    """(page or pages, how it is written) of a field's instruction; other fields are None."""
+    words = instruction.split()
+    kind = {"PAGE": "page", "NUMPAGES": "pages"}.get(words[0].upper()) if words else None
+    written = [PAGE_NUMERALS[w] for a, w in zip(words, words[1:], strict=False) if a == "\\*" and w in PAGE_NUMERALS]
+    return kind, written[0] if written else None
+
 
 class Reader:
-    def __init__(self, styles: Styles, lists: Lists):
+    def __init__(self, styles: Styles, lists: Lists, parts: dict[str, str] | None = None, footnotes: str | None = None, endnotes: str | None = None, settings: str | None = None):
+        """parts: content of headers and footers by relationship id."""
         self.styles, self.lists, self.counters = styles, lists, Counters(lists)
+        self.parts, self.bodies = parts or {}, {"footnote": footnotes, "endnote": endnotes}
         self.notes: list[tuple[str, str]] = []
         self.markers: dict[int, str] = {}
+        self.numbers: dict[str, dict[str, int]] = {"footnote": {}, "endnote": {}}  # by first reference
+        t = xml.parse(settings) if settings else None
+        root = t.nodes[next(n.id for n in t.nodes if n.kind == "element")] if t else None
+        self.even_odd = bool(t and toggle(t, root, "evenAndOddHeaders"))
+        step = number(t, t.child(root, "defaultTabStop"), "val") if t else None
+        self.step = 48.0 if step is None else step * TWIP
 
     def note(self, kind: str, detail: str) -> None:
         if (kind, detail) not in self.notes:
@@ -247,22 +263,90 @@ class Reader:
     def read(self, content: str) -> Document:
         t = self.t = xml.parse(content)
         body = next(t.elements("body"), None)
-        blocks, names, geometry = [], [], geometry_of(t, None)
+        blocks, names, ends = [], [], []
         for n in self.through(body) if body else []:
             kind = n.name.rsplit(":", 1)[-1]
             if kind == "p":
                 for p, style in self.paragraph(n, len(blocks)):
                     blocks.append(p)
                     names.append(style)
+                if (end := t.child(t.child(n, "pPr"), "sectPr")) is not None:
+                    ends.append((len(blocks), end))
             elif kind == "tbl":
                 blocks.append(self.table(n))
                 names.append(None)
             elif kind == "sectPr":
-                geometry = geometry_of(t, n)
+                ends.append((len(blocks), n))
             else:
                 self.note("not read", kind)
         self.contextual(blocks, names)
-        return Document(blocks, geometry, self.markers, names, self.notes)
+        if not ends or ends[-1][0] < len(blocks):
+            ends.append((len(blocks), None))
+        sections, at, refs = [], 0, {"header": {}, "footer": {}}
+        for end, n in ends:
+            for kind, known in refs.items():  # what a section does not state it has from the one before
+                known |= {t.attribute(r, "type", "default"): t.attribute(r, "id", "") for r in (t.children(n, f"{kind}Reference") if n else [])}
+            if sections and n is not None and t.attribute(t.child(n, "type"), "val") == "continuous":
+                self.note("continuous section", "goes on in the one before")
+                sections[-1].blocks += blocks[at:end]
+            else:
+                sections.append(self.section(n, blocks[at:end], refs))
+            at = end
+        notes = self.note_blocks("footnote")
+        for s in sections:
+            s.notes = notes
+        sections[-1].blocks += [b for _, bs in sorted(self.note_blocks("endnote").items()) for b in bs]
+        return Document(sections, self.markers, names, self.notes)
+
+    def section(self, n: xml.Node | None, blocks: list, refs: dict[str, dict[str, str]]) -> Section:
+        t = self.t
+        numbers, lines, margins = t.child(n, "pgNumType"), t.child(n, "lnNumType"), t.child(n, "pgMar")
+        start = number(t, numbers, "start")
+        s = Section(blocks, geometry_of(t, n), t.attribute(t.child(n, "type"), "val", "nextPage"), None if start is None else int(start), PAGE_NUMERALS.get(t.attribute(numbers, "fmt", ""), "decimal"))
+        s.title_page, s.even_odd = bool(toggle(t, n, "titlePg")) if n else False, self.even_odd
+        s.header_at, s.footer_at = ((number(t, margins, k) or 0) * TWIP for k in ("header", "footer"))
+        s.headers, s.footers = ({k: self.inner(self.parts[r]) for k, r in refs[kind].items() if r in self.parts} for kind in ("header", "footer"))
+        for kind in ("header", "footer"):
+            for r in refs[kind].values():
+                if r not in self.parts:
+                    self.note("missing part", r)
+        if lines is not None:
+            s.line_numbers = LineNumbers(t.attribute(lines, "restart", "newPage"), int(number(t, lines, "start") or 0), int(number(t, lines, "countBy") or 1), (number(t, lines, "distance") or 0) * TWIP)
+        return s
+
+    def inner(self, content: str, root: xml.Node | None = None, t: xml.Tree | None = None) -> list:
+        """Blocks of another part; its lists count on with the body's."""
+        outer = self.t
+        self.t = t or xml.parse(content)
+        root = root or next(n for n in self.t.nodes if n.kind == "element")
+        out = []
+        for n in self.through(root):
+            kind = n.name.rsplit(":", 1)[-1]
+            if kind == "p":
+                out += [p for p, _ in self.paragraph(n, -1)]
+            elif kind == "tbl":
+                out.append(self.table(n))
+        self.markers.pop(-1, None)
+        self.t = outer
+        return out
+
+    def note_blocks(self, kind: str) -> dict[int, list]:
+        """Number -> blocks of the notes that are referred to; references without a note are reported."""
+        if not self.numbers[kind]:
+            return {}
+        out: dict[int, list] = {}
+        t = xml.parse(self.bodies[kind]) if self.bodies[kind] else None
+        by_id = {t.attribute(n, "id"): n for n in t.elements(kind)} if t else {}
+        for id_, n in list(self.numbers[kind].items()):
+            if id_ not in by_id:
+                self.note(f"missing {kind}", id_)
+                continue
+            self.inside = self.mark(kind, n)
+            out[n] = self.inner("", by_id[id_], t)
+        return out
+
+    def mark(self, kind: str, n: int) -> str:
+        return str(n) if kind == "footnote" else shown(n, "lowerRoman")
 
     def through(self, n: xml.Node) -> Iterator[xml.Node]:
         """Children, those of content controls in their place."""
@@ -272,7 +356,7 @@ class Reader:
                 inner = self.t.child(c, "sdtContent")
                 if inner is not None:
                     yield from self.through(inner)
-            elif kind in ("ins", "moveTo", "smartTag", "hyperlink", "fldSimple"):
+            elif kind in ("ins", "moveTo", "smartTag", "hyperlink"):
                 yield from self.through(c)
             elif kind in ("del", "moveFrom"):
                 self.note("revision", kind)
@@ -302,7 +386,7 @@ class Reader:
         parts = self.runs(n, run)
         out = []
         for k, runs in enumerate(parts):
-            s = pixels(props)
+            s = pixels(props, self.step)
             if k:
                 s |= {"before": 0.0, "indent_first": 0.0, "break_before": True}
             if k < len(parts) - 1:
@@ -311,10 +395,17 @@ class Reader:
         return out
 
     def runs(self, n: xml.Node, base: dict) -> list[list[Run]]:
-        t, parts, field_ = self.t, [[]], 0
+        t, parts, state, instruction = self.t, [[]], "", ""
+        runs = []
         for r in self.through(n):
-            if r.name.rsplit(":", 1)[-1] != "r":
-                continue
+            kind = r.name.rsplit(":", 1)[-1]
+            if kind == "fldSimple":
+                simple = field_of(t.attribute(r, "instr", ""))
+                inner = [c for c in self.through(r) if c.name.rsplit(":", 1)[-1] == "r"]
+                runs += [(c, simple if k == 0 and simple[0] else None) for k, c in enumerate(inner) if k == 0 or not simple[0]]
+            elif kind == "r":
+                runs.append((r, None))
+        for r, simple in runs:
             own = t.child(r, "rPr")
             props = dict(base)
             for s in self.styles.chain(t.attribute(t.child(own, "rStyle"), "val")):
@@ -323,12 +414,32 @@ class Reader:
             if props.get("hidden"):
                 continue
             text = ""
+            if simple:
+                self.add(parts[-1], "1", props, field=simple[0], numeral=simple[1])
+                continue
             for c in t.children(r):
                 kind = c.name.rsplit(":", 1)[-1]
                 if kind == "fldChar":
-                    field_ = {"begin": 1, "separate": 2, "end": 0}.get(t.attribute(c, "fldCharType", ""), field_)
-                elif kind == "t" and field_ != 1:
-                    text += t.value(c)
+                    state = t.attribute(c, "fldCharType", "")
+                    if state == "begin":
+                        instruction = ""
+                    elif state == "separate" and field_of(instruction)[0]:
+                        field, numeral = field_of(instruction)
+                        self.add(parts[-1], "1", props, field=field, numeral=numeral)
+                elif kind == "instrText":
+                    instruction += t.value(c)
+                elif kind == "t":
+                    # what a page field showed last is left out: it is shown anew
+                    if state in ("", "end") or (state == "separate" and not field_of(instruction)[0]):
+                        text += t.value(c)
+                elif kind in ("footnoteReference", "endnoteReference"):
+                    what = kind.removesuffix("Reference")
+                    n_ = self.numbers[what].setdefault(t.attribute(c, "id", ""), len(self.numbers[what]) + 1)
+                    self.add(parts[-1], text, props)
+                    text = ""
+                    self.add(parts[-1], self.mark(what, n_), props | {"script": "superscript"}, note=n_ if what == "footnote" else None)
+                elif kind in ("footnoteRef", "endnoteRef"):
+                    text += getattr(self, "inside", "")
                 elif kind == "sym":
                     code = int(t.attribute(c, "char", "20"), 16)
                     text += chr(code - 0xF000 if 0xF000 <= code <= 0xF0FF else code)
@@ -345,12 +456,14 @@ class Reader:
             self.add(parts[-1], text, props)
         return parts
 
-    def add(self, runs: list[Run], text: str, props: dict) -> None:
+    def add(self, runs: list[Run], text: str, props: dict, **what) -> None:
         if not text:
             return
         size = props["size"] * HALF_POINT * (SCRIPT if props.get("script") in ("superscript", "subscript") else 1.0)
         spacing = (props.get("spacing") or 0) * TWIP
-        if props.get("caps"):
+        if what:
+            runs.append(Run(text, size, spacing=spacing, **what))
+        elif props.get("caps"):
             runs.append(Run(text.upper(), size, spacing=spacing))
         elif props.get("small_caps"):
             at = 0
@@ -399,7 +512,7 @@ class Reader:
                 b.style |= ({"before": 0.0} if same(i - 1) else {}) | ({"after": 0.0} if same(i + 1) else {})
 
 
-def pixels(p: dict) -> dict:
+def pixels(p: dict, step: float = 48.0) -> dict:
     """Properties in twips as the kernel's style in pixels."""
     px = lambda k: p.get(k, 0) * TWIP
     style = {"before": px("before"), "after": px("after"), "indent_left": px("left"), "indent_right": px("right"), "indent_first": px("first"), "break_before": p.get("page_break", False), "keep_lines": p.get("keep_lines", False), "keep_next": p.get("keep_next", False), "alignment": p.get("alignment"), "contextual": p.get("contextual", False)}
@@ -407,8 +520,8 @@ def pixels(p: dict) -> dict:
         style["widow"] = p["widow"]
     if p.get("line") and p.get("rule") in ("exact", "atLeast"):
         style |= {"line_height": px("line"), "line_rule": p["rule"]}
-    if p.get("stops") is not None:
-        style["tabs"] = Tabs(tuple(Stop(at * TWIP, kind) for at, kind in p["stops"]))
+    if p.get("stops") is not None or step != 48.0:
+        style["tabs"] = Tabs(tuple(Stop(at * TWIP, kind) for at, kind in p.get("stops") or ()), step)
     return style
 
 
@@ -439,14 +552,17 @@ def open_word(raw: bytes) -> Document:
     if main is None or main not in by_name:
         raise opc.BadPackage("no main part" if main is None else f"{main} is missing")
     text = lambda name: by_name[name].content().decode("utf-8-sig") if name in by_name else None
-    return Reader(read_styles(text(related(main, "styles"))), read_lists(text(related(main, "numbering")))).read(text(main))
+    rels = by_name.get(opc.relationship_part(main))
+    furniture = {r[0]: text(r[2]) for r in opc.relationships_of(rels.content(), main) if r[1] in ("header", "footer") and not r[3] and r[2] in by_name} if rels else {}
+    found = {k: text(related(main, k)) for k in ("styles", "numbering", "footnotes", "endnotes", "settings")}
+    return Reader(read_styles(found["styles"]), read_lists(found["numbering"]), furniture, found["footnotes"], found["endnotes"], found["settings"]).read(text(main))
 
 
 PLACED = "doc string, page int, block int, line int, text string, marker string, x_milli long, y_milli long, height_milli long, error string"
 
 
 def pages_of(document: Document) -> list[Page]:
-    return paginate(document.blocks, document.geometry)
+    return layout_sections(document.sections)
 
 
 def word_lines(packages: DataFrame) -> DataFrame:
@@ -459,10 +575,14 @@ def word_lines(packages: DataFrame) -> DataFrame:
             for doc, raw in zip(b.column("doc").to_pylist(), b.column("content"), strict=True):
                 try:
                     d, rows = open_word(raw.as_py() or b""), []
+                    first = [0]
+                    for s in d.sections:
+                        first.append(first[-1] + len(s.blocks))
                     for n, page in enumerate(pages_of(d)):
                         for p in page.lines:
-                            text = "".join(r.text for r in d.blocks[p.block].runs).encode("utf-16-le")[2 * p.line.start : 2 * p.line.end].decode("utf-16-le")
-                            rows.append((doc, n, p.block, p.index, text, d.markers.get(p.block) if p.index == 0 else None, milli(p.x), milli(p.y), milli(p.height), None))
+                            i = first[page.section] + p.block
+                            text = "".join(r.text for r in d.blocks[i].runs).encode("utf-16-le")[2 * p.line.start : 2 * p.line.end].decode("utf-16-le")
+                            rows.append((doc, n, i, p.index, text, d.markers.get(i) if p.index == 0 else None, milli(p.x), milli(p.y), milli(p.height), None))
                 except (opc.BadPackage, xml.BadXml) as e:
                     rows = [(doc, *[None] * 8, str(e))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [f.split()[0] for f in PLACED.split(", ")])

@@ -108,3 +108,47 @@ def test_packages_to_lines(spark):
     assert (a[0]["text"], a[0]["marker"]) == ("first", "1.") and "".join(r["text"] for r in a[1:]) == "second " * 40
     assert {r["doc"]: bool(r["error"]) for r in rows} == {"a": False, "b": True, "c": True}
     assert open_word(docx(p())).blocks
+
+
+def reader(**parts):
+    wrap = {"footnotes": "footnotes", "endnotes": "endnotes", "settings": "settings"}
+    known = {k: f"<w:{v} {W}>{parts.pop(k)}</w:{v}>" for k, v in wrap.items() if k in parts}
+    return Reader(read_styles(None), read_lists(None), {k: f"<w:hdr {W}>{v}</w:hdr>" for k, v in parts.items()}, **known)
+
+
+def read(r, inner):
+    return r.read(f"<w:document {W} xmlns:r='r'><w:body>{inner}</w:body></w:document>")
+
+
+def test_sections_inherit_furniture():
+    sect = "<w:sectPr>{}</w:sectPr>"
+    ref = "<w:headerReference w:type='{}' r:id='{}'/>"
+    d = read(reader(a=p("A"), b=p("B"), settings="<w:evenAndOddHeaders/>"), "<w:p><w:pPr>" + sect.format(ref.format("default", "a") + ref.format("first", "b") + "<w:titlePg/>") + "</w:pPr><w:r><w:t>one</w:t></w:r></w:p>" + p("two") + sect.format("<w:type w:val='oddPage'/><w:pgNumType w:fmt='lowerRoman' w:start='5'/>" + ref.format("even", "zz")))
+    one, two = d.sections
+    assert [sorted(s.headers) for s in d.sections] == [["default", "first"], ["default", "first"]] and one.title_page and not two.title_page and two.even_odd
+    assert (two.start, two.first_number, two.numerals) == ("oddPage", 5, "lowerRoman") and ("missing part", "zz") in d.notes
+    assert [(q.section, q.number) for q in pages_of(d)] == [(0, 1), (0, 2), (1, 5)]
+
+
+def test_continuous_sections_go_on():
+    d = read(reader(), "<w:p><w:pPr><w:sectPr/></w:pPr></w:p>" + p("x") + "<w:sectPr><w:type w:val='continuous'/></w:sectPr>")
+    assert len(d.sections) == 1 and len(d.blocks) == 2
+
+
+def test_notes_number_by_first_reference():
+    ref = "<w:p><w:r><w:t>t</w:t><w:footnoteReference w:id='{}'/><w:endnoteReference w:id='1'/></w:r></w:p>"
+    d = read(reader(footnotes="<w:footnote w:id='7'><w:p><w:r><w:footnoteRef/><w:t> seven</w:t></w:r></w:p></w:footnote><w:footnote w:id='3'>" + p("three") + "</w:footnote>", endnotes="<w:endnote w:id='1'>" + p("end") + "</w:endnote>"), ref.format(7) + ref.format(3) + ref.format(7) + ref.format(9))
+    assert [[r.text for r in b.runs] for b in d.blocks[:4]] == [["t", "1", "i"], ["t", "2", "i"], ["t", "1", "i"], ["t", "3", "i"]]
+    assert {k: v[0].runs[0].text for k, v in d.sections[0].notes.items()} == {1: "1 seven", 2: "three"} and d.blocks[4].runs[0].text == "end"
+    assert ("missing footnote", "9") in d.notes and len(pages_of(d)[0].footnotes) == 2
+
+
+def test_fields():
+    complex_ = "<w:r><w:fldChar w:fldCharType='begin'/></w:r><w:r><w:instrText> PAGE \\* roman </w:instrText></w:r><w:r><w:fldChar w:fldCharType='separate'/></w:r><w:r><w:t>9</w:t></w:r><w:r><w:fldChar w:fldCharType='end'/></w:r>"
+    d = read(reader(), f"<w:p>{complex_}<w:r><w:t>/</w:t></w:r><w:fldSimple w:instr='NUMPAGES'><w:r><w:t>9</w:t></w:r></w:fldSimple><w:fldSimple w:instr='DATE'><w:r><w:t>today</w:t></w:r></w:fldSimple></w:p>")
+    assert [(r.text, r.field, r.numeral) for r in d.blocks[0].runs] == [("1", "page", "lowerRoman"), ("/", None, None), ("1", "pages", None), ("today", None, None)]
+
+
+def test_line_numbers_and_tab_step():
+    d = read(reader(settings="<w:defaultTabStop w:val='360'/>"), p("a") + "<w:sectPr><w:lnNumType w:countBy='2' w:restart='continuous'/></w:sectPr>")
+    assert d.sections[0].line_numbers.by == 2 and d.blocks[0].style["tabs"].step == 360 * TWIP
