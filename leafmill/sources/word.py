@@ -109,6 +109,22 @@ class Styles:
         return out[::-1]
 
 
+#: Names of a paragraph's border sides; width of a rule that states none, in eighths of a point.
+SIDES = {"top": "top", "left": "left", "start": "left", "bottom": "bottom", "right": "right", "end": "right", "between": "inside_h"}
+RULE_EIGHTHS = 4
+
+
+def borders_of(t: xml.Tree, n: xml.Node | None) -> dict[str, tuple[float, float]]:
+    """Side -> (width, space) in pixels; nil and none are no border."""
+    out = {}
+    for c in t.children(n) if n else []:
+        side = SIDES.get(c.name.rsplit(":", 1)[-1])
+        if side and t.attribute(c, "val", "none") not in ("nil", "none"):
+            width = number(t, c, "sz")
+            out[side] = ((RULE_EIGHTHS if width is None else width) / 8 * 96 / 72, (number(t, c, "space") or 0) * 96 / 72)
+    return out
+
+
 def list_of(t: xml.Tree, n: xml.Node | None) -> tuple[str | None, int | None]:
     p = t.child(n, "numPr")
     level = number(t, t.child(p, "ilvl"), "val")
@@ -387,6 +403,8 @@ class Reader:
         out = []
         for k, runs in enumerate(parts):
             s = pixels(props, self.step)
+            if borders := borders_of(t, t.child(p, "pBdr")):  # stated on the paragraph itself only
+                s["borders"] = borders
             if k:
                 s |= {"before": 0.0, "indent_first": 0.0, "break_before": True}
             if k < len(parts) - 1:

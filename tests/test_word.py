@@ -152,3 +152,8 @@ def test_fields():
 def test_line_numbers_and_tab_step():
     d = read(reader(settings="<w:defaultTabStop w:val='360'/>"), p("a") + "<w:sectPr><w:lnNumType w:countBy='2' w:restart='continuous'/></w:sectPr>")
     assert d.sections[0].line_numbers.by == 2 and d.blocks[0].style["tabs"].step == 360 * TWIP
+
+
+def test_borders_of_a_paragraph():
+    b = body(p("x", "<w:pBdr><w:top w:val='single' w:sz='8' w:space='3'/><w:bottom w:val='nil'/><w:between w:val='single'/></w:pBdr>")).blocks[0].style["borders"]
+    assert b == {"top": (96 / 72, 4.0), "inside_h": (0.5 * 96 / 72, 0.0)}
