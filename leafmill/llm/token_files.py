@@ -1,7 +1,7 @@
 """Token ids written as canonical length-limited Huffman code, and read back.
 
-Texts are cut into words and each distinct word is encoded once by the tokenizers library; a text's ids are those of
-its words and of the added tokens between them. Global id counts give one code. Documents, in ascending doc_id order
+Texts are cut into words and each distinct word is encoded once by the tokenizers library's model of the file; a text's
+ids are those of its words and of the added tokens between them. Global id counts give one code. Documents, in ascending doc_id order
 over range partitions, go to one file a partition, in segments whose blocks of ids can each be decoded from their own
 bit offset. Files are written by Spark's committer to any store, and need no more memory than a segment to write.
 
@@ -12,7 +12,9 @@ hash; a null doc_id comes first and stays null; an empty table gives no rows; ot
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import Scratch, joined, partitions_for, ship, table
 from leafmill.llm.huffman import END, Code, read_segments, write_segment
-from leafmill.llm.pretoken import ByteBpe, words_of
+from leafmill.llm.pretoken import ByteBpe, shown_bytes, words_of
 
 #: Words kept in a worker's table.
 TABLE_WORDS = 500_000
@@ -41,9 +43,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.bpe, self.library = ByteBpe(raw), Tokenizer.from_str(raw.decode())
+        if sys.byteorder != "little":
+            raise OSError("ids are written in little-endian order")
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model, self.code = self.library.model, "HI"[self.kind == "<u4"]
+        self.shown = shown_bytes()
+        self.space = self.shown[0x20]
         self.table: dict[str, bytes] = {}
 
+    def symbols(self, word: str) -> str:
+        """A word as the vocabulary writes its bytes."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.space)
+        return word.encode().decode("latin-1").translate(self.shown)
+
     def ids(self, text: str, end: int) -> bytes:
         """The text's ids and the end id, each of self.kind."""
         known, parts = self.table, []
@@ -61,8 +74,8 @@ class Encoder:
                         # the words met first are the common ones
                         known = self.table = dict(islice(known.items(), TABLE_WORDS // 4))
                         new = list(used.difference(known))
-                    for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, self.kind).tobytes()
+                    for w in new:
+                        known[w] = array(self.code, [t.id for t in self.model.tokenize(self.symbols(w))]).tobytes()
                     parts.append(b"".join(map(known.__getitem__, words)))
         parts.append(np.array([end], self.kind).tobytes())
         return b"".join(parts)

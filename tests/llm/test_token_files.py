@@ -83,3 +83,14 @@ def test_words_are_encoded_as_in_their_text(text):
     with open(PATH, "rb") as f:
         e = token_files.encoder_for(f.read())
     assert np.frombuffer(e.ids(text, 0), e.kind).tolist() == [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 0]
+
+
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aeht nio's,.!\n\t\x0b\x1c <|>é½　\x85\x7f"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_ids_equal_the_library_on_any_text(text):
+    with open(PATH, "rb") as f:
+        e = token_files.encoder_for(f.read())
+    assert np.frombuffer(e.ids(text, 7), e.kind).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 7]
