@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
 A text's features are its character trigrams, its words and its pairs of adjacent words, hashed into one table of
-learned vectors; a pair of equal words is the same feature whatever the word. The vectors are averaged over the text
-and a softmax layer gives the two labels' shares. Training is numpy stochastic gradient descent (with per-weight step
+learned vectors; a pair of equal words is the same feature whatever the word. The vectors are averaged over the text,
+each of the three kinds by itself and then over the kinds (so that the many trigrams do not drown the pairs), and a
+softmax layer gives the two labels' shares. Training is numpy stochastic gradient descent (with per-weight step
 sizes) on a bounded sample of labelled rows; the label shares of all labelled rows set the prior. As everything after
 the look-up is linear up to the softmax, scoring folds the output layer into the table: one number a feature.
 
@@ -36,16 +37,17 @@ _REPEAT = 0  # the feature of two equal words in a row
 _POWERS = np.cumprod(np.full(64, 0x9E3779B1, np.uint32), dtype=np.uint32)
 
 
-def features(text: str) -> np.ndarray:
-    """Table rows of a text's features, in no certain order."""
+def features(text: str) -> list[np.ndarray]:
+    """Table rows of a text's trigrams, words and pairs of words."""
+    none = np.zeros(0, np.int64)
     if not text:
-        return np.zeros(0, np.int64)
+        return [none, none, none]
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     down, mix = np.uint32(32 - BITS), np.uint32(0x85EBCA6B)
-    out = []
+    out = [none, none, none]
     if len(cp) > 2:
         h = cp[:-2] * np.uint32(0x01000193) + cp[1:-1] * np.uint32(0xC2B2AE35) + cp[2:] * np.uint32(0x27D4EB2F)
-        out.append(((h ^ (h >> np.uint32(15))) * mix) >> down)
+        out[0] = ((h ^ (h >> np.uint32(15))) * mix) >> down
     ink = np.concatenate([[False], cp > 32, [False]])
     edges = np.flatnonzero(ink[1:] != ink[:-1])
     starts, ends = edges[::2], edges[1::2]
@@ -56,12 +58,22 @@ def features(text: str) -> np.ndarray:
         place = np.arange(len(letters)) - np.repeat(heads, sizes)
         words = np.add.reduceat((letters ^ np.uint32(0x5BD1E995)) * _POWERS[place & 63], heads, dtype=np.uint32)
         words = (words ^ (words >> np.uint32(13))) * mix
-        out.append(words >> down)
+        out[1] = words >> down
         if len(words) > 1:
             pairs = (words[:-1] * np.uint32(0xCC9E2D51) + words[1:] * np.uint32(0x1B873593)) >> down
             pairs[words[:-1] == words[1:]] = _REPEAT
-            out.append(pairs)
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+            out[2] = pairs
+    return [x.astype(np.int64) for x in out]
+
+
+def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows that a text uses and the share of each in its vector."""
+    kinds = [np.unique(x, return_counts=True) for x in features(text) if len(x)]
+    if not kinds:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    ids, where = np.unique(np.concatenate([i for i, _ in kinds]), return_inverse=True)
+    shares = np.concatenate([c / (c.sum() * len(kinds)) for _, c in kinds])
+    return ids, np.bincount(where, shares, len(ids)).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -70,12 +82,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     top, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     g_vectors, g_top, g_bias = np.full((1 << BITS, 1), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    rows = [np.unique(features(t), return_counts=True) for t in texts]
+    rows = [shares_of(t) for t in texts]
     for epoch in range(EPOCHS):
         step = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(rows)):
-            ids, counts = rows[i]
-            share = (counts / max(1, counts.sum())).astype(np.float32)
+            ids, share = rows[i]
             hidden = share @ vectors[ids]
             z = hidden @ top + bias
             p = np.exp(z - z.max())
@@ -117,12 +128,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5,
 
 
 def score_of(text: str | None, weights: np.ndarray, bias: float) -> float:
-    total, n = 0.0, 0
+    total, n = np.zeros(3), np.zeros(3)
     for at in range(0, len(text or ""), AT_ONCE):
-        rows = features(text[at : at + AT_ONCE])
-        total += float(weights[rows].sum(dtype=np.float64))
-        n += len(rows)
-    z = bias + (total / n if n else 0.0)
+        for k, rows in enumerate(features(text[at : at + AT_ONCE])):
+            total[k] += weights[rows].sum(dtype=np.float64)
+            n[k] += len(rows)
+    there = n > 0
+    z = bias + (float((total[there] / n[there]).mean()) if there.any() else 0.0)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 def slow_features(text):
     """The same features, one at a time."""
     w32 = lambda x: x & 0xFFFFFFFF
-    down, mix, out = 32 - quality.BITS, 0x85EBCA6B, []
+    down, mix, out = 32 - quality.BITS, 0x85EBCA6B, []  # of all kinds, in order
     cp = [ord(c) for c in text]
     for a, b, c in zip(cp, cp[1:], cp[2:], strict=False):
         h = w32(a * 0x01000193 + b * 0xC2B2AE35 + c * 0x27D4EB2F)
@@ -32,7 +32,9 @@ def slow_features(text):
 
 @pytest.mark.parametrize("text", ["", "a", "ab cd", "  leading and trailing  ", "same same same", "x" * 200, "né 漢字\n😀 ok", "\n\n", "a\x00b"])
 def test_features(text):
-    assert sorted(quality.features(text).tolist()) == sorted(slow_features(text))
+    assert np.concatenate(quality.features(text)).tolist() == slow_features(text)
+    ids, shares = quality.shares_of(text)
+    assert set(ids.tolist()) == set(slow_features(text)) and (not len(ids) or abs(shares.sum() - 1) < 1e-5)
 
 
 def test_training_tells_kinds_apart():
