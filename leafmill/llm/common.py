@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,11 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def settle(self) -> None:
+        """Lets the shuffles of frames that nothing holds any more leave the disks now, not at the driver's next full collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def remove(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

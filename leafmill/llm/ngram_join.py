@@ -19,7 +19,6 @@ table; columns besides doc_id and text are not read. Equality of n-grams is that
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,14 +245,14 @@ def components(spark: SparkSession, docs: DataFrame, size: int = 5) -> DataFrame
     kept = cut(docs, fragments, size).groupBy("fragment").applyInArrow(shared_only, _POSTINGS)
     kept = kept.groupBy("slice").applyInArrow(survivors, "kind int, doc_id long, n long, a long, b long, shared long, prefix binary, grams binary")
     kept = scratch.put(kept, "sets")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the shuffles that are done with leave the disks
+    scratch.settle()
 
     members = kept.where("kind = 0").select("doc_id", "n", "a", "b")
     node = F.xxhash64("a", "b", "n").alias("node")
     sets = kept.where("kind = 1").select(node, "n", "shared", "prefix", "grams")
     sets = scratch.put(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams")), "classes")
     lists = scratch.put(prefix_lists(sets), "lists")
+    scratch.settle()
     labels = scratch.put(connected_components(spark, links(clusters(lists), sets), scratch), "labels")
     classes = members.where("n > 0").groupBy(node).agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
     roots = classes.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -27,6 +27,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document of the least id of each group of near copies; of rows that share that id, one."""
     scratch = Scratch(spark, "near")
     found = scratch.put(ngram_join.components(spark, docs), "components")
+    scratch.settle()
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
     kept = kept.select(F.col("doc_id").alias("__kept"), "__rows")
     # the ids that stay grow with the input, so they are never broadcast: texts move once, whatever the size
