@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm.common import Scratch, partitions_for, ship, table
 from leafmill.llm.components import connected_components
@@ -38,8 +39,18 @@ def plan(classes: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - agree))
 
 
+def number_kind(rows: DataFrame) -> str:
+    """The vectors' own numbers, 4 or 8 bytes each; comparisons are in double precision either way."""
+    return "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+
+def signature_kind(bits: int) -> str:
+    return next(f"<u{n}" for n in (1, 2, 4, 8) if bits <= 8 * n)
+
+
 def checked(rows: DataFrame) -> DataFrame:
-    """vec_id, key of the class (null for vectors that link with nothing), label, the numbers as doubles."""
+    """vec_id, key of the class (null for vectors that link with nothing), label, the numbers' bytes."""
+    kind = number_kind(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -49,7 +60,7 @@ def checked(rows: DataFrame) -> DataFrame:
                 if vec_id is not None and label is not None and v.is_valid and len(v) and not v.values.null_count:
                     x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                     if np.isfinite(x).all() and x.any():
-                        raw = (x + 0.0).tobytes()  # one zero
+                        raw = (x + 0.0).astype(kind).tobytes()  # one zero
                 keys.append(hashlib.blake2b(f"{label}|".encode() + raw, digest_size=16).digest() if raw else None)
                 data.append(raw)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), b.column("label").cast(pa.int64()), pa.array(data, pa.binary())], ["vec_id", "key", "label", "data"])
@@ -64,14 +75,14 @@ def signs(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (on << np.arange(bits, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
-def bucketed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+def bucketed(classes: DataFrame, bits: int, tables: int, kind: str) -> DataFrame:
     """A row for each class and table: the bucket (label, length, table, signature hashed), the class, all its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                vectors = [np.frombuffer(x.as_buffer(), np.float64) for x in b.column("data")]
+                vectors = [np.frombuffer(x.as_buffer(), kind).astype(np.float64) for x in b.column("data")]
                 lengths = np.array([len(v) for v in vectors])
                 signatures = np.zeros((len(vectors), tables), np.uint64)
                 for n in np.unique(lengths):
@@ -79,9 +90,10 @@ def bucketed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                     x = np.stack([vectors[i] for i in of])
                     signatures[of] = signs(x / np.abs(x).max(1, keepdims=True), bits, tables)
                 labels = b.column("label").to_pylist()
+                packed = pa.array([s.tobytes() for s in signatures.astype(signature_kind(bits))], pa.binary())
                 for t in range(tables):
                     keys = [int.from_bytes(hashlib.blake2b(f"{label}|{n}|{t}|{s}".encode(), digest_size=8).digest(), "big", signed=True) for label, n, s in zip(labels, lengths, signatures[:, t].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([t] * len(keys), pa.int32()), b.column("label"), b.column("node"), b.column("size"), b.column("data"), pa.array([s.tobytes() for s in signatures], pa.binary())], ["bucket", "turn", "label", "node", "size", "data", "signs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([t] * len(keys), pa.int32()), b.column("label"), b.column("node"), b.column("size"), b.column("data"), packed], ["bucket", "turn", "label", "node", "size", "data", "signs"])
 
     return classes.select("label", "node", "size", "data").mapInArrow(run, "bucket long, turn int, label long, node long, size long, data binary, signs binary")
 
@@ -118,7 +130,7 @@ def compare(turn: int, size, x: np.ndarray, signatures: np.ndarray, block: np.nd
     return added, root
 
 
-def within_buckets(rows: DataFrame, threshold: float) -> DataFrame:
+def within_buckets(rows: DataFrame, threshold: float, bits: int, kind: str) -> DataFrame:
     """(node, added, root) of each class that a bucket links with any; rows are dealt by task key and sorted by it."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -144,7 +156,7 @@ def within_buckets(rows: DataFrame, threshold: float) -> DataFrame:
             g = g.sort_by("node")
             # another bucket may have the same hash: only equal labels, tables, lengths and signatures meet
             data = g.column("data").to_pylist()
-            turns, signatures = g.column("turn").to_numpy(), np.stack([np.frombuffer(s, np.uint64) for s in g.column("signs").to_pylist()])
+            turns, signatures = g.column("turn").to_numpy(), np.stack([np.frombuffer(s, signature_kind(bits)) for s in g.column("signs").to_pylist()])
             node, size, block = g.column("node").to_numpy(), g.column("size").to_numpy(), g.column("block").to_numpy()
             labels = g.column("label").to_pylist()
             crossing = g.column("crossing")[0].as_py()
@@ -153,7 +165,7 @@ def within_buckets(rows: DataFrame, threshold: float) -> DataFrame:
                 kinds.setdefault((t, labels[i], len(d), int(signatures[i, t])), []).append(i)
             for (turn, *_), of in kinds.items():
                 if len(of) > 1:
-                    x = np.stack([np.frombuffer(data[i], np.float64) for i in of])
+                    x = np.stack([np.frombuffer(data[i], kind).astype(np.float64) for i in of])
                     added, root = compare(turn, size[of], x, signatures[of], block[of], crossing, threshold)
                     linked = added > 0
                     out.append((node[of][linked], added[linked], node[of][root][linked]))
@@ -170,9 +182,13 @@ def within_buckets(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "node long, added long, root long")
 
 
-def tasks(rows: DataFrame) -> DataFrame:
+def large_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, blocks) of the buckets that are cut."""
+    return rows.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+
+
+def tasks(rows: DataFrame, large: DataFrame) -> DataFrame:
     """Rows with the task they go to: their bucket, or each pair of blocks that their block is part of."""
-    large = rows.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(large, "bucket", "left").withColumn("block", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     others = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
     rows = rows.withColumn("pair", F.explode(others))
@@ -188,7 +204,10 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, threshold: float = THR
     classes = scratch.put(classes.withColumn("node", F.xxhash64("key")), "classes")
     most = classes.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
     bits, n = plan(most, threshold)
-    found = scratch.put(within_buckets(tasks(bucketed(classes, bits, n)), threshold), "found")
+    kind = number_kind(rows)
+    # stored first, so that Spark knows its size: where few buckets are large, the vectors move once and not twice
+    large = scratch.put(large_buckets(bucketed(classes, bits, n, kind)), "large")
+    found = scratch.put(within_buckets(tasks(bucketed(classes, bits, n, kind), large), threshold, bits, kind), "found")
     linked = found.groupBy("node").agg(F.sum("added").alias("added"))
     labels = connected_components(spark, found.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch)
     per_class = classes.select("key", "node", "first", "size").join(linked, "node", "left").join(labels, "node", "left")

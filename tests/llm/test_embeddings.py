@@ -80,3 +80,9 @@ def test_tables_grow_with_the_largest_label():
 def test_recall_on_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert run(spark, rows) == slow(rows)
+
+
+def test_doubles(spark):
+    rows = [(1, [1.0, 1e-9], 0), (2, [1.0, 2e-9], 0), (3, [0.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((r["vec_id"], r["n_links"]) for r in near_duplicates(spark, df).collect()) == [(1, 1), (2, 1), (3, 0)]
