@@ -30,6 +30,23 @@ def baseline(rule: Column, height: Column, natural: Column, descent: Column) ->
     return F.when(rule == "exact", height * EXACT_BASELINE).when(rule == "grid", centred).when(rule == "atLeast", height - descent).otherwise(natural - descent)
 
 
+def line_height(rule: Column, stated: Column, natural: Column, paragraph_natural: Column, pitch: Column) -> Column:
+    """A line's box: as stated, at least so high, whole steps of a grid, or single spacing moved by what is stated against the paragraph's own."""
+    grid = F.greatest(stated, F.ceil(natural / pitch) * pitch)
+    by_rule = F.when(rule == "exact", stated).when(rule == "atLeast", F.greatest(stated, natural)).when(rule == "grid", grid).otherwise(F.greatest(F.lit(0.0), natural + stated - paragraph_natural))
+    return F.when(stated.isNull() | (stated <= 0), natural).otherwise(by_rule)
+
+
+def next_stop(stops: Column, step: Column, x: Column) -> Column:
+    """The first stop (ascending array) past x, else the next multiple of the step, else x itself."""
+    past = F.array_min(F.filter(stops, lambda s: s > x + 0.0001))
+    return F.coalesce(past, F.when(step > 0, (F.floor(x / step) + 1) * step), x)
+
+
+def row_height(content: Column, stated: Column, exact: Column) -> Column:
+    return F.when(stated.isNull(), content).when(exact, stated).otherwise(F.greatest(content, stated))
+
+
 def standoff(width: Column, space: Column) -> Column:
     """How far outside of its edge a rule is centred."""
     return F.when(width.isNull(), 0.0).otherwise(F.coalesce(space, F.lit(0.0)) + width / 2)

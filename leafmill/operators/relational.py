@@ -86,6 +86,40 @@ SELECT l_orderkey, l_linenumber, rule, CAST(floor(CASE rule WHEN 'exact' THEN 0.
 FROM (SELECT *, unnest(['auto', 'exact', 'atLeast', 'grid']) AS rule FROM lineitem)
 """
 
+def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of lines by every rule: quantities as natural heights, seven times the line number as what is stated; thousandths."""
+    rules = F.explode(F.array(*map(F.lit, ("auto", "exact", "atLeast", "grid"))))
+    stated = F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_linenumber") * 7).cast("double"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.alias("rule"), F.col("l_quantity").alias("natural"), stated.alias("stated"))
+    h = geometry.line_height(F.col("rule"), F.col("stated"), F.col("natural"), F.lit(20.0), F.lit(12.0))
+    return rows.select("l_orderkey", "l_linenumber", "rule", units.half_up(h * 1000).cast("long").alias("height"))
+
+
+BOXES_SQL = """
+SELECT l_orderkey, l_linenumber, rule, CAST(floor(CASE WHEN s IS NULL OR s <= 0 THEN l_quantity WHEN rule = 'exact' THEN s WHEN rule = 'atLeast' THEN greatest(s, l_quantity)
+  WHEN rule = 'grid' THEN greatest(s, ceil(l_quantity / 12) * 12) ELSE greatest(0, l_quantity + s - 20) END * 1000 + 0.5) AS BIGINT) AS height
+FROM (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber * 7.0 END AS s, unnest(['auto', 'exact', 'atLeast', 'grid']) AS rule FROM lineitem)
+"""
+
+
+def tab_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a tab goes from each part's size: stops at 10 and 25, then every 8."""
+    x = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select("p_partkey", geometry.next_stop(F.array(F.lit(10.0), F.lit(25.0)), F.lit(8.0), x).cast("long").alias("stop"))
+
+
+STOPS_SQL = "SELECT p_partkey, CAST(CASE WHEN p_size < 10 THEN 10 WHEN p_size < 25 THEN 25 ELSE (p_size // 8 + 1) * 8 END AS BIGINT) AS stop FROM part"
+
+
+def row_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables: the highest cell, a stated height as a floor or exactly."""
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("content"))
+    stated = F.when(F.col("l_orderkey") % 4 != 0, F.lit(30.0))
+    return o.select("l_orderkey", geometry.row_height(F.col("content"), stated, F.col("l_orderkey") % 2 == 0).cast("long").alias("height"))
+
+
+HEIGHTS_SQL = "SELECT l_orderkey, CAST(CASE WHEN l_orderkey % 4 = 0 THEN max(l_quantity) WHEN l_orderkey % 2 = 0 THEN 30 ELSE greatest(max(l_quantity), 30) END AS BIGINT) AS height FROM lineitem GROUP BY l_orderkey"
+
 # ---- tables: an order is a table, its lines are rows
 
 
@@ -348,6 +382,9 @@ QUERIES = {
     "numerals": (numerals, NUMERALS_SQL),
     "alignment_offsets": (alignment_offsets, ALIGNMENT_SQL),
     "baseline_offsets": (baseline_offsets, BASELINE_SQL),
+    "line_boxes": (line_boxes, BOXES_SQL),
+    "tab_stops": (tab_stops, STOPS_SQL),
+    "row_heights": (row_heights, HEIGHTS_SQL),
     "border_conflict": (border_conflict, BORDER_SQL),
     "vertical_merge_spans": (vertical_merge_spans, MERGE_SQL),
     "column_offsets": (column_offsets, OFFSETS_SQL),
