@@ -7,9 +7,9 @@ and goes. Of the others, the n-grams that a link must meet (the prefix of the or
 partial overlaps are again counted by fragment and summed for each pair.
 
 Equal sets are one class from the start. All classes whose prefixes share an n-gram meet in the cluster of the least of
-them; in a cluster one class is compared with all others, and then each that is not yet in the largest component, so no
-link between two components is missed and large groups of near copies never become all of their pairs. A cluster hands
-on what ties it together, not its links.
+them; in a cluster every two classes whose sizes allow a link are compared. A pair that meets in several clusters is
+counted in the one of the least lead. A cluster hands on the number of links of each class (copies weighted) and what
+ties it together, never its pairs.
 
 Results for odd rows: a text without words has no n-grams and is a component of its own; repeated rows are links of
 weight one like any equal texts; a null doc_id stays null and never names a component; an empty table gives an empty
@@ -36,8 +36,8 @@ from leafmill.llm.shingles import mixed, shingle_set
 PART = 75
 #: Texts that are cut into fragments together: so many bytes, so many rows (their places take 16 bits).
 SLICE_BYTES, SLICE_ROWS = 6_000_000, 60_000
-#: Fragments for each shuffle partition; fragments of the pair counts; n-grams of the classes that are compared in one task.
-SPREAD, PAIR_FRAGMENTS, TASK_GRAMS = 4, 4, 4_000_000
+#: Fragments for each shuffle partition; n-grams of the classes that are compared in one task.
+SPREAD, TASK_GRAMS = 4, 4_000_000
 
 _MEMBER = np.dtype([("doc_id", "<i8"), ("null", "?"), ("n", "<i8"), ("a", "<u8"), ("b", "<u8"), ("place", "<i4")])
 _POSTINGS = "kind int, fragment int, slice long, data binary"
@@ -175,40 +175,48 @@ def prefix_lists(classes: DataFrame) -> DataFrame:
     return classes.select("node", "prefix").mapInArrow(run, "gram long, node long")
 
 
-def tied(n: np.ndarray, grams: list[np.ndarray], part: np.ndarray, crossing: bool) -> np.ndarray:
-    """Of the classes of a cluster, the first (by place) that each is tied to by a chain of links.
+def compared(n: np.ndarray, size: np.ndarray, grams: list[np.ndarray], earlier: list[np.ndarray], part: np.ndarray, crossing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(links added, root) of each class of a cluster, classes by ascending n: every pair whose sizes allow a link is compared.
 
-    One class is compared with all others, and then each class that is not yet in the largest component: two classes
-    that are both in it need no comparison, and of any other two one is compared with all.
+    A pair that an earlier cluster holds too ties its classes, but its link is counted there. If crossing, only pairs of
+    classes of different parts count.
     """
     m = len(n)
-    sizes = np.array([len(g) for g in grams])
-    starts = np.cumsum(sizes) - sizes
+    added, root = np.zeros(m, np.int64), np.arange(m)
+    ends = np.cumsum([len(g) for g in grams])
+    starts = ends - [len(g) for g in grams]
     kinds, ids = np.unique(np.concatenate(grams), return_inverse=True)
-    edges = np.linspace(0, len(kinds), PAIR_FRAGMENTS + 1).astype(np.int64)  # of the order of n-grams
-    cuts = [np.searchsorted(g, kinds[edges[1:-1]]) + s for g, s in zip(grams, starts, strict=True)]  # where each class's fragments begin
-    begins = np.column_stack([starts, np.array(cuts).reshape(m, -1), starts + sizes])
-    root, done = np.arange(m), np.zeros(m, bool)
-    held = np.zeros(len(kinds), np.int64)
-    largest = -1
-    while True:
-        rest = np.flatnonzero(~done & (root != largest))
-        if not len(rest):
-            return root
-        i = int(rest[0])
-        done[i] = True
-        held[:] = 0
-        held[ids[starts[i] : starts[i] + sizes[i]]] = 1
-        sums = np.concatenate([[0], np.cumsum(held[ids])])
-        partial = sums[begins[:, 1:]] - sums[begins[:, :-1]]  # overlap of each class in each fragment
-        overlap = partial.sum(1)
-        linked = 100 * overlap >= PART * (n[i] + n - overlap)
+    held = np.zeros(len(kinds), np.uint8)
+    before_ends = np.cumsum([len(x) for x in earlier])
+    before_starts = before_ends - [len(x) for x in earlier]
+    before_kinds, before = np.unique(np.concatenate(earlier), return_inverse=True)
+    before_held = np.zeros(len(before_kinds), bool)
+    for i in range(m - 1):
+        end = int(np.searchsorted(n, 100 * n[i] // PART, "right"))  # larger sets cannot link with it
+        if end <= i + 1:
+            continue
+        own = ids[starts[i] : ends[i]]
+        held[own] = 1
+        overlap = np.add.reduceat(held[ids[ends[i] : ends[end - 1]]], starts[i + 1 : end] - ends[i], dtype=np.int64)
+        held[own] = 0
+        linked = 100 * overlap >= PART * (n[i] + n[i + 1 : end] - overlap)
         if crossing:
-            linked &= part != part[i]
-        linked[i] = True
-        roots = np.unique(root[linked])
-        root[np.isin(root, roots)] = roots[0]
-        largest = int(np.bincount(root).argmax())
+            linked &= part[i + 1 : end] != part[i]
+        j = np.flatnonzero(linked) + i + 1
+        if not len(j):
+            continue
+        roots = np.unique(root[np.append(j, i)])
+        if len(roots) > 1:
+            root[np.isin(root, roots)] = roots[0]
+        if before_ends[i] > before_starts[i]:
+            own = before[before_starts[i] : before_ends[i]]
+            before_held[own] = True
+            sums = np.concatenate([[0], np.cumsum(before_held[before])])
+            before_held[own] = False
+            j = j[sums[before_ends[j]] == sums[before_starts[j]]]
+        added[i] += size[j].sum()
+        added[j] += size[i]
+    return added, root
 
 
 def clusters(lists: DataFrame) -> DataFrame:
@@ -218,8 +226,9 @@ def clusters(lists: DataFrame) -> DataFrame:
 
 
 def links(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Ties (u, v) within each cluster that connect what its links connect. Large clusters are cut into parts, and each pair of parts is a task's work."""
-    rows = members.join(classes.select("node", "n", "shared", "grams"), "node")
+    """(node, added, root) of each class that a cluster links with any: the copies linked there, weighted by how many they are, and a tie. Large clusters are cut into parts, and each pair of parts is a task's work."""
+    leads = members.groupBy("node").agg(F.collect_list("lead").alias("leads"))
+    rows = members.join(classes.select("node", "n", "size", "shared", "grams").join(leads, "node"), "node").withColumn("earlier", F.filter("leads", lambda x: x < F.col("lead")))
     large = members.join(classes.select("node", "shared"), "node").groupBy("lead").agg(F.sum("shared").alias("c")).where(F.col("c") > TASK_GRAMS)
     rows = rows.join(large.select("lead", F.ceil(F.col("c") / TASK_GRAMS).cast("int").alias("parts")), "lead", "left")
     rows = rows.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
@@ -227,18 +236,19 @@ def links(members: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.withColumn("pair", F.explode(others)).withColumn("task", F.xxhash64("lead", "pair.lo", "pair.hi")).withColumn("crossing", F.col("pair.lo") != F.col("pair.hi"))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node").combine_chunks()
-        node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
+        group = group.sort_by([("n", "ascending"), ("node", "ascending")]).combine_chunks()
+        node, n, size = (group.column(c).to_numpy() for c in ("node", "n", "size"))
         grams = [unpack_sorted(x) for x in group.column("grams").to_pylist()]
-        root = tied(n, grams, group.column("part").to_numpy(), group.column("crossing")[0].as_py())
-        moved = root != np.arange(len(root))
-        return pa.table({"u": pa.array(node[moved], pa.int64()), "v": pa.array(node[root][moved], pa.int64())})
+        earlier = [np.array(x, np.int64) for x in group.column("earlier").to_pylist()]
+        added, root = compared(n, size, grams, earlier, group.column("part").to_numpy(), group.column("crossing")[0].as_py())
+        out = (added > 0) | (root != np.arange(len(root)))
+        return pa.table({"node": pa.array(node[out], pa.int64()), "added": pa.array(added[out], pa.int64()), "root": pa.array(node[root][out], pa.int64())})
 
-    return rows.select("task", "node", "n", "grams", "part", "crossing").groupBy("task").applyInArrow(run, "u long, v long")
+    return rows.select("task", "node", "n", "size", "grams", "earlier", "part", "crossing").groupBy("task").applyInArrow(run, "node long, added long, root long")
 
 
-def components(spark: SparkSession, docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+def linked(spark: SparkSession, docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id of each row of docs (doc_id, text)."""
     ship(spark)
     scratch = Scratch(spark, "ngrams")
     fragments = SPREAD * partitions_for(spark)
@@ -249,16 +259,31 @@ def components(spark: SparkSession, docs: DataFrame, size: int = 5) -> DataFrame
 
     members = kept.where("kind = 0").select("doc_id", "n", "a", "b")
     node = F.xxhash64("a", "b", "n").alias("node")
+    copies = scratch.put(members.where("n > 0").groupBy(node).agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "copies")
     sets = kept.where("kind = 1").select(node, "n", "shared", "prefix", "grams")
-    sets = scratch.put(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams")), "classes")
+    sets = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams"))
+    sets = scratch.put(sets.join(copies.select("node", "size"), "node"), "classes")
     lists = scratch.put(prefix_lists(sets), "lists")
     scratch.settle()
-    labels = scratch.put(connected_components(spark, links(clusters(lists), sets), scratch), "labels")
-    classes = members.where("n > 0").groupBy(node).agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("root"))
+    found = scratch.put(links(scratch.put(clusters(lists), "clusters"), sets), "links")
+    scratch.settle()
+    labels = scratch.put(connected_components(spark, found.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch), "labels")
+    classes = copies.join(labels, "node", "left").join(found.groupBy("node").agg(F.sum("added").alias("added")), "node", "left")
+    classes = classes.select("node", "first", (F.col("size") - 1 + F.coalesce("added", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root"))
     roots = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(roots, "root").select("node", "component_id")
+    named = classes.join(roots, "root").select("node", "n_links", "component_id")
     out = members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node")).join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def components(spark: SparkSession, docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+    return linked(spark, docs, size).drop("n_links")
+
+
+def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with the number of links of each document; op3_ngram_join has the columns of its SQL."""
+    return linked(spark, table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from leafmill.llm.chat import OP8_SQL, op8_chat
 from leafmill.llm.decontaminate import op7_decontamination
 from leafmill.llm.embeddings import op1_embedding_dedup
 from leafmill.llm.language import op4_language
-from leafmill.llm.ngram_join import op3_ngram_join
+from leafmill.llm.ngram_join import op3_ngram_join, op3_ngram_links
 from leafmill.llm.pieces import op6_pieces
 from leafmill.llm.quality import op5_quality
 from leafmill.llm.secrets import op2_secret_scan
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_join": op3_ngram_join,
+    "op3_ngram_links": op3_ngram_links,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,

@@ -138,3 +138,30 @@ def test_connected_components(spark, seed):
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in touched}
     assert connected_components(spark, spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
+def slow_links(rows):
+    """(doc_id, links) of each row, every pair compared."""
+    sets = [slow_set(t) for _, t in rows]
+    link = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b)
+    return sorted(((d, sum(link(sets[i], sets[j]) for j in range(len(rows)) if i != j)) for i, (d, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("seed, most", [(0, 4_000_000), (1, 4_000_000), (11, 300)])
+def test_links_equal_those_of_all_pairs(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(ngram_join, "TASK_GRAMS", most)
+    rows = corpus(seed)
+    rows += [rows[3], (None, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.linked(spark, docs).collect()
+    assert sorted(((r["doc_id"], r["n_links"]) for r in got), key=str) == slow_links(rows)
+    assert sum(r["n_links"] > 2 for r in got) > 10
+
+
+def test_links_within_one_component_are_all_found(spark):
+    """Different texts of one group: all are linked with all, and the copy of one counts for each."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], f"v{i}", *base[i + 1 :]]) for i in range(10, 190, 20)]
+    rows = list(enumerate([*texts, texts[0]]))
+    got = ngram_join.linked(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 9, 0) for i in range(10)}
