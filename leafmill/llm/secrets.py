@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
 For each candidate string in a sensitive context, zstandard, primed with a dictionary of code words and identifiers,
-compresses the surrounding text with and without it. The extra bytes a character are its novelty: words, paths and
-repeated identifiers cost little, random strings one byte and more.
+compresses the surrounding text, without other candidates, with it and without it. The extra bytes, as a share of those
+that random strings of its length and alphabet need in the same place, are its novelty: words and paths need less.
 
 Results for odd rows: a null text counts as empty (no spans, the hash of an empty string); repeated rows give one row
 each; an empty table gives an empty table; columns besides doc_id and text are not read. Offsets are code points, end
@@ -12,7 +12,9 @@ exclusive.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +36,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: What makes a context sensitive, within CONTEXT characters before the candidate, in any case.
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|auth|bearer|credential|private|access.?key|signature|session|client.?id|license.?key|ssh-|BEGIN", re.IGNORECASE | re.ASCII)
 CONTEXT = 96
-#: Least novelty (extra compressed bytes a character; random strings, which stay literals, have 1 and more) and least extra bytes.
-NOVELTY, EXTRA_BYTES = 0.9, 14
+#: Least novelty, how many random strings a candidate is held against, and characters of surroundings on each side.
+NOVELTY, REFERENCES, REACHES = 0.7, 4, (CONTEXT, 2 * CONTEXT, 4 * CONTEXT)
+#: Kinds of characters that an alphabet is made of.
+LETTERS = [(re.compile(f"[{letters}]"), letters) for letters in (string.ascii_lowercase, string.ascii_uppercase, string.digits)]
+SYMBOLS = "+/_=-"
+SPELT_HEX = re.compile("[0-9A-F]+|[0-9a-f]+")
 
 #: Words of code and configuration that prime the compressor.
 WORDS = """
@@ -69,13 +75,27 @@ def compressor() -> zstandard.ZstdCompressor:
     return _prime[0]
 
 
-def novelty(text: str, start: int, end: int) -> tuple[float, int]:
-    """(extra bytes a character, extra bytes) of text[start:end] against its surroundings and the dictionary."""
-    around = (text[max(0, start - 4 * CONTEXT) : start], text[end : end + 4 * CONTEXT])
+def alphabet(body: str) -> str:
+    """The characters that a string of these kinds of characters is drawn from."""
+    symbols = "".join(c for c in SYMBOLS if c in body)
+    if SPELT_HEX.fullmatch(plain := body.translate({ord(c): None for c in SYMBOLS})):
+        return string.digits + ("ABCDEF" if plain.isupper() else "abcdef") + symbols
+    return "".join(letters for kind, letters in LETTERS if kind.search(body)) + (symbols if plain else SYMBOLS + string.digits)
+
+
+def novelty(text: str, start: int, end: int) -> float:
+    """Extra bytes of text[start:end] against its surroundings and the dictionary, as a share of those of random strings of its kind. Other candidates, which may be secrets too, are no surroundings."""
     size = lambda s: len(compressor().compress(s.encode()))
     body = text[start:end]
-    extra = size(around[1] + around[0] + body) - size(around[1] + around[0])
-    return extra / len(body), extra
+    letters = alphabet(body)
+    random_ones = ["".join(random.Random(k).choices(letters, k=len(body))) for k in range(REFERENCES)]
+    extra, expected = 0, 0.0
+    for reach in REACHES:  # a few bytes hang on how the surroundings happen to be coded
+        around = CANDIDATE.sub(" ", text[end : end + reach]) + CANDIDATE.sub(" ", text[max(0, start - reach) : start])
+        without = size(around)
+        extra += size(around + body) - without
+        expected += sum(size(around + x) - without for x in random_ones) / REFERENCES
+    return extra / max(1.0, expected)
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -96,8 +116,7 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
                 continue
             if any(s < m.end() and m.start() < e for s, e in covered):
                 continue
-            share, extra = novelty(text, m.start(), m.end())
-            if share >= NOVELTY and extra >= EXTRA_BYTES:
+            if novelty(text, m.start(), m.end()) >= NOVELTY:
                 found.append((m.start(), 3, m.end()))
     return sorted(found)
 

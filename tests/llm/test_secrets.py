@@ -61,3 +61,31 @@ def test_redaction(spark):
     assert redact("abcdef", [(1, 0, 4), (2, 2, 5)]) == "a[SECRET]f"
     docs = spark.createDataFrame([(1, "x token=abcdefghijkl", 20, "k"), (2, "clean", 5, "k"), (3, None, None, "k")], "doc_id long, text string, n_chars long, extra string")
     assert sorted(map(tuple, redacted(spark, docs).collect())) == [(1, "x [SECRET]", 10, "k"), (2, "clean", 5, "k"), (3, None, None, "k")]
+
+
+def novel(text):
+    return [text[s:e] for s, k, e in spans_of(text) if k == 3]
+
+
+PROSE = "the rain had left the road by noon and the letters lay where they were put, nobody asked for them again. " * 3
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_secrets_among_others_are_new(seed):
+    keys = [random_string(100 * seed + k, 40) for k in range(6)]
+    listed = "\n".join(f"{name}_KEY: {key}" for name, key in zip(["SESSION", "AUTH", "CREDENTIAL"] * 2, keys, strict=True))
+    assert novel(f"{PROSE}\n{listed}\n{PROSE}") == keys
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("n, letters", [(512, None), (16, None), (64, "abcdefghijklmnopqrstuvwxyz0123456789")])
+def test_long_short_and_narrow_tokens_are_new(seed, n, letters):
+    key = random_string(seed, n, letters) if letters else "a1" + random_string(seed, n - 2)
+    assert novel(f"{PROSE}\nauth bearer {key}\n{PROSE}") == [key]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_first_line_of_a_key_block_is_new(seed):
+    lines = ["a1" + random_string(100 * seed + k, 62) for k in range(20)]
+    found = novel(f"{PROSE}\n-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + f"\n-----END PRIVATE KEY-----\n{PROSE}")
+    assert found[:1] == lines[:1]
