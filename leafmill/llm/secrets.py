@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
-For each candidate string in a sensitive context, zstandard, primed with a dictionary of code words and identifiers,
-compresses the surrounding text, without other candidates, with it and without it. The extra bytes, as a share of those
-that random strings of its length and alphabet need in the same place, are its novelty: words and paths need less.
+A candidate's context is sensitive with a sensitive word before or after it, or where it adjoins such a candidate with
+only line breaks between, as the lines of a key block do. For each candidate in one, zstandard, primed with a dictionary
+of code words and identifiers, compresses the surrounding text, without other candidates, with it and without it. The
+extra bytes, as a share of those that random strings of its length and alphabet need in the same place, are its novelty:
+words and paths need less.
 
 Results for odd rows: a null text counts as empty (no spans, the hash of an empty string); repeated rows give one row
 each; an empty table gives an empty table; columns besides doc_id and text are not read. Offsets are code points, end
@@ -33,9 +35,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: A candidate of the novelty measure: one string of key material.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: What makes a context sensitive, within CONTEXT characters before the candidate, in any case.
+#: What makes a context sensitive, within CONTEXT characters before or after the candidate, in any case.
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|auth|bearer|credential|private|access.?key|signature|session|client.?id|license.?key|ssh-|BEGIN", re.IGNORECASE | re.ASCII)
 CONTEXT = 96
+#: What parts candidates that adjoin, as the lines of a key block: a line break, or one written as an escape (its letter belongs to the next).
+ADJOINING = re.compile(r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\)[ \t]*")
 #: Least novelty, how many random strings a candidate is held against, and characters of surroundings on each side.
 NOVELTY, REFERENCES, REACHES = 0.7, 4, (CONTEXT, 2 * CONTEXT, 4 * CONTEXT)
 #: Kinds of characters that an alphabet is made of.
@@ -98,6 +102,19 @@ def novelty(text: str, start: int, end: int) -> float:
     return extra / max(1.0, expected)
 
 
+def in_sensitive_context(text: str) -> Iterator[re.Match]:
+    """Candidates near a sensitive word, and all that adjoin one of them in an unbroken row."""
+    row: list[re.Match] = []
+    sensitive = False
+    for m in CANDIDATE.finditer(text):
+        if row and not ADJOINING.fullmatch(text, row[-1].end(), m.start()):
+            yield from row if sensitive else ()
+            row, sensitive = [], False
+        row.append(m)
+        sensitive = sensitive or bool(SENSITIVE.search(text, max(0, m.start() - CONTEXT), m.start()) or SENSITIVE.search(text, m.end(), m.end() + CONTEXT))
+    yield from row if sensitive else ()
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, place in KINDS, end) in order; the base kinds, then what novelty adds outside of them."""
     found: list[tuple[int, int, int]] = []
@@ -109,10 +126,10 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if SENSITIVE.search(text):
         covered = sorted((s, e) for s, _, e in found)
-        for m in CANDIDATE.finditer(text):
+        for m in in_sensitive_context(text):
             body = m.group()
             # key material mixes kinds of characters; a word or a number alone is none
-            if not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)) or not SENSITIVE.search(text, max(0, m.start() - CONTEXT), m.start()):
+            if not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)):
                 continue
             if any(s < m.end() and m.start() < e for s, e in covered):
                 continue

@@ -89,3 +89,19 @@ def test_first_line_of_a_key_block_is_new(seed):
     lines = ["a1" + random_string(100 * seed + k, 62) for k in range(20)]
     found = novel(f"{PROSE}\n-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + f"\n-----END PRIVATE KEY-----\n{PROSE}")
     assert found[:1] == lines[:1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("parted", ["\n", "\r\n", "\n    "])
+def test_all_lines_of_a_key_block_are_new(seed, parted):
+    lines = ["a1" + random_string(100 * seed + k, 62) for k in range(20)]
+    block = parted.join(lines)
+    assert novel(f"{PROSE}\n-----BEGIN PRIVATE KEY-----{parted}{block}{parted}-----END PRIVATE KEY-----\n{PROSE}") == lines
+    assert novel(f"{PROSE}\n{block}{parted}-----END PRIVATE KEY-----\n{PROSE}") == lines
+    assert novel(f"{PROSE}\n{block}\n{PROSE}") == []
+
+
+def test_a_sensitive_word_may_follow():
+    key = "a1" + random_string(3, 38)
+    assert novel(f"{PROSE}\n{key} is the session key\n{PROSE}") == [key]
+    assert novel(f"{PROSE}\n{key}\n{PROSE}the session key") == []
