@@ -47,7 +47,7 @@ LETTERS = [(re.compile(f"[{letters}]"), letters) for letters in (string.ascii_lo
 SYMBOLS = "+/_=-"
 SPELT_HEX = re.compile("[0-9A-F]+|[0-9a-f]+")
 
-#: Words of code and configuration that prime the compressor.
+#: Words of code and configuration that prime the compressor, in capitals too, as constants are written.
 WORDS = """
 abstract account access address admin algorithm api append application argument array async attribute auth authorization
 await backend base64 bearer begin body boolean branch buffer bucket build byte cache callback catch certificate char class
@@ -74,7 +74,7 @@ _prime: list[zstandard.ZstdCompressor] = []
 
 def compressor() -> zstandard.ZstdCompressor:
     if not _prime:
-        primed = zstandard.ZstdCompressionDict(WORDS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed = zstandard.ZstdCompressionDict((WORDS.upper() + WORDS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         _prime.append(zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False))
     return _prime[0]
 
@@ -127,10 +127,6 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     if SENSITIVE.search(text):
         covered = sorted((s, e) for s, _, e in found)
         for m in in_sensitive_context(text):
-            body = m.group()
-            # key material mixes kinds of characters; a word or a number alone is none
-            if not (re.search("[0-9]", body) and re.search("[A-Za-z]", body)):
-                continue
             if any(s < m.end() and m.start() < e for s, e in covered):
                 continue
             if novelty(text, m.start(), m.end()) >= NOVELTY:

@@ -105,3 +105,15 @@ def test_a_sensitive_word_may_follow():
     key = "a1" + random_string(3, 38)
     assert novel(f"{PROSE}\n{key} is the session key\n{PROSE}") == [key]
     assert novel(f"{PROSE}\n{key}\n{PROSE}the session key") == []
+
+
+@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("n, letters", [(16, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), (24, "abcdefghijklmnopqrstuvwxyz"), (32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")])
+def test_secrets_without_digits_are_new(seed, n, letters):
+    key = random_string(seed, n, letters)
+    assert novel(f"{PROSE}\npassphrase {key}\n{PROSE}") == [key]
+
+
+@pytest.mark.parametrize("word", ["internationalization", "responsibilities", "authorization_provider_settings", "SESSION_TOKEN_LIFETIME", "================", "application/authentication"])
+def test_words_without_digits_are_not(word):
+    assert novel(f"{PROSE}\nthe auth session of {word} and the private key\n{PROSE}") == []
