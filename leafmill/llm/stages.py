@@ -1,7 +1,6 @@
 """Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns the documents that it keeps.
 
-All but the last return the columns that they were given. Rows without a doc_id are kept by every stage that decides by
-id groups.
+All but the last return the columns that they were given. No stage drops a row for want of a doc_id.
 """
 
 from __future__ import annotations
@@ -24,18 +23,21 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies; of rows that share that id, one."""
+    """One row of each group of near copies, of the least id (a null one after all others); rows without words are no copies."""
     scratch = Scratch(spark, "near")
-    found = scratch.put(ngram_join.components(spark, docs), "components")
+    # ids may be null or repeated: id and text together are a row's key, and rows of one key are copies
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text"))
+    found = scratch.put(ngram_join.components(spark, keyed.select(F.col("__key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__key"), "components")
     scratch.settle()
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = kept.select(F.col("doc_id").alias("__kept"), "__rows")
-    # the ids that stay grow with the input, so they are never broadcast: texts move once, whatever the size
-    out = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"), "left").where("__kept is not null or doc_id is null")
+    keys = found.where("n_shingles > 0").groupBy("__key").agg(F.first("component_id").alias("__group"), F.count("*").alias("__rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key", "__rows")).alias("first")
+    kept = keyed.select("__key", "doc_id").join(keys, "__key").groupBy("__group").agg(first).select("first.__key", "first.__rows")
+    kept = scratch.put(kept.unionByName(found.where("n_shingles = 0").select("__key").distinct().withColumn("__rows", F.lit(1).cast("long"))), "kept")
+    # the keys that stay grow with the input, so they are never broadcast: texts move once, whatever the size
+    out = keyed.join(kept.hint("merge"), "__key")
     names = docs.columns
     if kept.where("__rows > 1").limit(1).count():
-        once = out.where("__rows = 1 or __rows is null")
-        return once.select(*names).unionByName(out.where("__rows > 1").dropDuplicates(["doc_id"]).select(*names))
+        return out.where("__rows = 1").select(*names).unionByName(out.where("__rows > 1").dropDuplicates(["__key"]).select(*names))
     return out.select(*names)
 
 

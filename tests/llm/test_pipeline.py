@@ -59,3 +59,15 @@ def test_odd_rows(spark):
 
 def test_the_quality_limit_is_the_one_of_the_query():
     assert stages.QUALITY == 0.3
+
+
+def test_near_copies_under_repeated_and_null_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    near = lambda c: text(c) + " more"
+    rows = [(1, text("a")), (2, near("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (None, text("e")), (None, near("d")), (4, text("f")), (4, text("f")), (4, near("f")), (5, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in stages.one_of_near_copies(spark, docs, SF).collect()]
+    assert len(got) == 9
+    f = {r for r in got if r[0] == 4}
+    assert len(f) == 1 and f <= {(4, text("f")), (4, near("f"))}
+    assert sorted((r for r in got if r not in f), key=str) == sorted([(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (5, ""), (None, None), (None, None)], key=str)
