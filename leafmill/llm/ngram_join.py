@@ -3,8 +3,8 @@
 The n-gram order (rarest first, then by hash) is cut into fragments by hash. Each fragment sees all postings of its
 n-grams, so it knows how many texts hold each, and hands back only the shared ones, counted by text. The counts of all
 fragments are summed for each text: a text with fewer than three quarters of its n-grams shared can link with nothing
-and goes. Of the others, the n-grams that a link must meet (the prefix of the order) give the candidate pairs, whose
-partial overlaps are again counted by fragment and summed for each pair.
+and goes. Of the others, the n-grams that a link must meet (the prefix of the order) give the candidate pairs. These are
+verified on whole sets, not fragment by fragment: counts of pairs by fragment would make every candidate pair a row.
 
 Equal sets are one class from the start. All classes whose prefixes share an n-gram meet in the cluster of the least of
 them; in a cluster every two classes whose sizes allow a link are compared. A pair that meets in several clusters is
