@@ -151,20 +151,27 @@ SELECT l_orderkey, l_linenumber, side, CAST(width AS BIGINT) AS width, CAST(CASE
 """
 
 
+def merge_spans(rows: DataFrame, key: str, order: list[str], merge: str) -> DataFrame:
+    """Adds cell: cells of one column of a table, counted from 1 in each key. A continue joins the restart above it, through other continues only; every other row is a cell of its own."""
+    by = Window.partitionBy(key).orderBy(*order)
+    kind = F.coalesce(F.col(merge), F.lit("none"))
+    opener = F.last(F.when(kind != "continue", kind), ignorenulls=True).over(by)
+    return rows.withColumn("__joins", (kind == "continue") & F.coalesce(opener == "restart", F.lit(False))).withColumn("cell", F.sum((~F.col("__joins")).cast("long")).over(by)).drop("__joins")
+
+
 def vertical_merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that a merged cell covers: a restart and the continues under it; a continue without an opener is its own cell."""
+    """Rows that a merged cell covers."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, F.when(F.col("l_returnflag") == "R", "restart").when(F.col("l_returnflag") == "A", "continue").alias("merge"))
-    above = F.lag("merge").over(_by_order())
-    opens = F.coalesce(F.col("merge") != "continue", F.lit(True)) | above.isNull()
-    rows = rows.withColumn("cell", F.sum(opens.cast("long")).over(_by_order()))
-    return rows.groupBy("l_orderkey", "cell").agg(F.min("l_linenumber").alias("first_row"), F.count("*").alias("row_span"))
+    return merge_spans(rows, "l_orderkey", LINE_ORDER, "merge").groupBy("l_orderkey", "cell").agg(F.min("l_linenumber").alias("first_row"), F.count("*").alias("row_span"))
 
 
+#: Each continue looks up the nearest row above it that is none; the rows of one opener are one cell.
 MERGE_SQL = """
-WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'restart' WHEN 'A' THEN 'continue' END AS merge, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem),
-p AS (SELECT *, lag(merge) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS above FROM r),
-c AS (SELECT *, CAST(sum(CASE WHEN merge = 'continue' AND above IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS cell FROM p)
-SELECT l_orderkey, cell, min(l_linenumber) AS first_row, count(*) AS row_span FROM c GROUP BY l_orderkey, cell
+WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
+u AS (SELECT c.l_orderkey, c.k, max(o.k) AS above FROM r c JOIN r o ON o.l_orderkey = c.l_orderkey AND o.k < c.k AND o.f <> 'A' WHERE c.f = 'A' GROUP BY 1, 2),
+j AS (SELECT u.l_orderkey, u.k, u.above FROM u JOIN r ON r.l_orderkey = u.l_orderkey AND r.k = u.above WHERE r.f = 'R'),
+h AS (SELECT r.l_orderkey, r.l_linenumber, r.k, coalesce(j.above, r.k) AS head FROM r LEFT JOIN j ON j.l_orderkey = r.l_orderkey AND j.k = r.k)
+SELECT l_orderkey, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY head) AS BIGINT) AS cell, min(l_linenumber) AS first_row, count(*) AS row_span FROM h GROUP BY l_orderkey, head
 """
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from leafmill.operators.flow import milli
 from leafmill.operators.lines import Paragraph, Run, Stop, Tabs
-from leafmill.operators.pages import Cell, Geometry, Page, Row, Table
+from leafmill.operators.pages import Cell, Geometry, Page, Row, Table, natural
 from leafmill.operators.sections import LineNumbers, Section, layout_sections, shown
 from leafmill.plans.session import ship
 from leafmill.sources import opc, xml
@@ -26,6 +26,8 @@ PAGE_WIDTH, PAGE_HEIGHT, PAGE_MARGIN = 11906, 16838, 1440
 #: Spaces that built-in headings have where none is stated, and size of runs where a styles part states none, in half points.
 HEADING_BEFORE, HEADING_AFTER, UNSTATED_SIZE = 240, 120, 20
 CELL_MARGIN = 115
+#: Fixed value: how far line numbers stand off where nothing says, half a centimetre in pixels.
+LINE_NUMBER_GAP = 0.5 / 2.54 * 96
 
 
 def number(t: xml.Tree, n: xml.Node | None, name: str) -> float | None:
@@ -327,7 +329,7 @@ class Reader:
                 if r not in self.parts:
                     self.note("missing part", r)
         if lines is not None:
-            s.line_numbers = LineNumbers(t.attribute(lines, "restart", "newPage"), int(number(t, lines, "start") or 0), int(number(t, lines, "countBy") or 1), (number(t, lines, "distance") or 0) * TWIP)
+            s.line_numbers = LineNumbers(t.attribute(lines, "restart", "newPage"), int(number(t, lines, "start") or 0), int(number(t, lines, "countBy") or 1), LINE_NUMBER_GAP if number(t, lines, "distance") is None else number(t, lines, "distance") * TWIP)
         return s
 
     def inner(self, content: str, root: xml.Node | None = None, t: xml.Tree | None = None) -> list:
@@ -397,12 +399,14 @@ class Reader:
             props |= stated(left=info.left, first=None if info.hanging is None else -info.hanging)
             self.markers[at] = self.counters.marker(num, level or 0)
         props |= paragraph_properties(t, p)
-        if chain and chain[-1].name.lower().startswith("heading ") and chain[-1].name[8:].isdigit() and "before" not in props and "after" not in props:
+        if chain and chain[-1].name.lower().startswith("heading ") and chain[-1].name[8:] in tuple("123456789") and "before" not in props and "after" not in props:
             props |= {"before": HEADING_BEFORE, "after": HEADING_AFTER}
         parts = self.runs(n, run)
         out = []
         for k, runs in enumerate(parts):
             s = pixels(props, self.step)
+            if props.get("line") and props.get("rule", "auto") == "auto":  # a multiple of single spacing, in 240ths
+                s |= {"line_height": natural(runs or [Run("", run["size"] * HALF_POINT)])[0] * props["line"] / 240, "line_rule": "auto"}
             if borders := borders_of(t, t.child(p, "pBdr")):  # stated on the paragraph itself only
                 s["borders"] = borders
             if k:

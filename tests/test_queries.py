@@ -107,3 +107,12 @@ def test_an_inbox_is_read_once(spark, tmp_path):
     inbox.start(spark, *paths, once=True).awaitTermination(120)
     rows = spark.read.parquet(paths[1]).collect()
     assert sorted(r["text"] or "" for r in rows) == ["", "first", "second"] and sum(r["error"] is not None for r in rows) == 1
+
+
+def test_continues_without_a_restart_are_cells_of_their_own(spark):
+    from leafmill.operators.relational import merge_spans
+
+    kinds = ["continue", "continue", "restart", "continue", "continue", None, "continue", "restart", "restart"]
+    rows = spark.createDataFrame([(1, k, m) for k, m in enumerate(kinds)], "id long, k int, merge string")
+    got = [r["cell"] for r in merge_spans(rows, "id", ["k"], "merge").orderBy("k").collect()]
+    assert got == [1, 2, 3, 3, 3, 4, 5, 6, 7]

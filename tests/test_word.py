@@ -157,3 +157,11 @@ def test_line_numbers_and_tab_step():
 def test_borders_of_a_paragraph():
     b = body(p("x", "<w:pBdr><w:top w:val='single' w:sz='8' w:space='3'/><w:bottom w:val='nil'/><w:between w:val='single'/></w:pBdr>")).blocks[0].style["borders"]
     assert b == {"top": (96 / 72, 4.0), "inside_h": (0.5 * 96 / 72, 0.0)}
+
+
+def test_auto_line_spacing_is_a_multiple_of_single_spacing():
+    single, double = (pages_of(open_word(docx(p("a", f'<w:spacing w:line="{n}" w:lineRule="auto"/>'))))[0].lines[0] for n in (240, 480))
+    plain = pages_of(open_word(docx(p("a"))))[0].lines[0]
+    assert single.height == pytest.approx(plain.height) and double.height == pytest.approx(2 * plain.height)
+    unnamed = pages_of(open_word(docx(p("a", '<w:spacing w:line="360"/>'))))[0].lines[0]
+    assert unnamed.height == pytest.approx(1.5 * plain.height)
