@@ -57,12 +57,29 @@ def test_links_equal_those_of_all_pairs(spark, seed):
     assert run(spark, rows) == slow(rows)
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
+def test_blocks_of_a_label(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rows = clustered(5, 300)
     assert run(spark, rows) == slow(rows)
 
 
+def test_large_labels_are_dealt_by_signature(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("MOST_BLOCKS", 2), ("BUCKET", 24)):
+        monkeypatch.setattr(embeddings, name, value)
+    rows = clustered(6, 300) + [(1000 + i, r[1], 7) for i, r in enumerate(clustered(7, 20))]
+    assert run(spark, rows) == slow(rows)
+
+
+def test_each_pair_counts_once_in_a_task():
+    x = np.repeat(np.random.default_rng(1).standard_normal((3, 8)), 4, 0) * np.linspace(1, 2, 12)[:, None]
+    found = embeddings.links(x, x, 0.93, 0)
+    added, root = embeddings.counted(found, np.ones(12), np.ones(12), True)
+    assert added.tolist() == [3] * 12 and root.tolist() == [0] * 4 + [4] * 4 + [8] * 4
+    crossing = embeddings.links(x[:6], x[6:], 0.93, 0)
+    added, root = embeddings.counted(crossing, np.ones(6), np.ones(6) * 2, False)
+    assert added.tolist() == [0] * 4 + [4, 4] + [2, 2] + [0] * 4 and root.tolist() == [-1] * 4 + [4] * 4 + [-1] * 4
+
+
 def test_odd_rows(spark):
     e = [1.0, 0.0, 0.0]
     rows = [(1, e, 0), (2, [2.0, 0.0, 0.0], 0), (3, e, 1), (4, e, None), (5, None, 0), (6, [0.0, 0.0, 0.0], 0), (7, [1.0, None, 0.0], 0), (8, [float("nan"), 0.0, 1.0], 0), (9, [float("inf"), 0.0, 0.0], 0), (10, [1.0, 0.0], 0), (11, [], 0), (1, e, 0), (None, e, 0), (12, [1e30, 0.0, -0.0], 0), (13, [1e-30, 0.0, 0.0], 0)]
@@ -86,3 +103,9 @@ def test_doubles(spark):
     rows = [(1, [1.0, 1e-9], 0), (2, [1.0, 2e-9], 0), (3, [0.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted((r["vec_id"], r["n_links"]) for r in near_duplicates(spark, df).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_names_that_clash_and_long_vectors(spark):
+    rows = [(1, [1.0] * 5000, 0, 1, 2, "t"), (2, [1.0] * 4999 + [0.9], 0, 1, 2, "t"), (3, [-1.0] * 5000, 0, 1, 2, "t")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, key int, node int, task string")
+    assert sorted(tuple(r) for r in near_duplicates(spark, df).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
