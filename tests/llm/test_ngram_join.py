@@ -60,6 +60,26 @@ def test_equal_words_have_equal_hashes(monkeypatch):
     assert np.array_equal(word_hashes(text), h)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), max_size=12), min_size=1, max_size=8))
+def test_partial_overlaps_sum_to_the_whole(sets):
+    sets = sorted(sets, key=len)
+    one = ngram_join.Overlaps(np.array([len(s) for s in sets]))
+    for f in range(3):
+        one.add([np.array(sorted(x for x in s if x % 3 == f), np.uint64) for s in sets])
+    for i, counts in enumerate(one.counts):
+        assert counts.tolist() == [len(sets[i] & sets[i + 1 + k]) for k in range(len(counts))]
+        assert all(3 * len(sets[j]) > 4 * len(sets[i]) for j in range(i + 1 + len(counts), len(sets)))
+
+
+def test_fragments_grow_with_the_data_and_common_ngrams_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 800)
+    docs = spark.createDataFrame([(i, "a b c d e f " + " ".join(f"{i}w{k}" for k in range(94))) for i in range(60)], "doc_id long, text string")
+    fragments, common = ngram_join.shape(docs, 5)
+    assert fragments == 58 and len(common) == 2
+    assert ngram_join.shape(docs.limit(0), 5)[0] == 16
+
+
 def test_packed_ids_round_trip():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
     assert np.array_equal(ngram_join.unpack_sorted(ngram_join.pack_sorted(x)), x)
@@ -147,9 +167,10 @@ def slow_links(rows):
     return sorted(((d, sum(link(sets[i], sets[j]) for j in range(len(rows)) if i != j)) for i, (d, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("seed, most", [(0, 4_000_000), (1, 4_000_000), (11, 300)])
-def test_links_equal_those_of_all_pairs(spark, monkeypatch, seed, most):
-    monkeypatch.setattr(ngram_join, "TASK_GRAMS", most)
+@pytest.mark.parametrize("seed, most, classes, common", [(0, 4_000_000, 1024, 2), (1, 4_000_000, 1024, 1 << 30), (11, 300, 1024, 4), (12, 4_000_000, 3, 3)])
+def test_links_equal_those_of_all_pairs(spark, monkeypatch, seed, most, classes, common):
+    for name, value in (("TASK_GRAMS", most), ("TASK_CLASSES", classes), ("COMMON", common)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(seed)
     rows += [rows[3], (None, rows[5][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
