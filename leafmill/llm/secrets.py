@@ -4,10 +4,12 @@ A candidate's context is sensitive with a sensitive word before or after it, or
 only line breaks between, as the lines of a key block do. For each candidate in one, zstandard, primed with a dictionary
 of code words and identifiers, compresses the surrounding text, without other candidates, with it and without it. The
 extra bytes, as a share of those that random strings of its length and alphabet need in the same place, are its novelty:
-words and paths need less.
+words and paths need less. The context is CONTEXT characters on each side, the surroundings are REACHES characters on
+each side, the mean of three. Work grows in proportion to a text's length.
 
-Results for odd rows: a null text counts as empty (no spans, the hash of an empty string); repeated rows give one row
-each; an empty table gives an empty table; columns besides doc_id and text are not read. Offsets are code points, end
+Results for odd rows: a null text counts as empty (no spans, the hash of an empty string); very long texts are scanned
+whole; spans that begin together (ties) come in the order assign, access, hex, novel; a null doc_id stays null; repeated
+rows give one row each; an empty table gives an empty table; columns besides doc_id and text are not read, whatever their names. Offsets are code points, end
 exclusive.
 """
 
@@ -17,7 +19,9 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -33,15 +37,17 @@ ASSIGN_VALUE = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-#: A candidate of the novelty measure: one string of key material.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate of the novelty measure: one string of key material; what stands before an equals sign is its name.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: What makes a context sensitive, within CONTEXT characters before or after the candidate, in any case.
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|auth|bearer|credential|private|access.?key|signature|session|client.?id|license.?key|ssh-|BEGIN", re.IGNORECASE | re.ASCII)
 CONTEXT = 96
 #: What parts candidates that adjoin, as the lines of a key block: a line break, or one written as an escape (its letter belongs to the next).
 ADJOINING = re.compile(r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\)[ \t]*")
-#: Least novelty, how many random strings a candidate is held against, and characters of surroundings on each side.
-NOVELTY, REFERENCES, REACHES = 0.7, 4, (CONTEXT, 2 * CONTEXT, 4 * CONTEXT)
+#: Least novelty: of a candidate with a digit, of one of letters alone, and of letters with signs between, as names are written.
+NOVELTY, NOVELTY_LETTERS, NOVELTY_NAMES = 0.7, 0.79, 0.94
+#: How many random strings a candidate is held against, and characters of surroundings on each side.
+REFERENCES, REACHES = 4, (CONTEXT, 2 * CONTEXT, 4 * CONTEXT)
 #: Kinds of characters that an alphabet is made of.
 LETTERS = [(re.compile(f"[{letters}]"), letters) for letters in (string.ascii_lowercase, string.ascii_uppercase, string.digits)]
 SYMBOLS = "+/_=-"
@@ -87,21 +93,33 @@ def alphabet(body: str) -> str:
     return "".join(letters for kind, letters in LETTERS if kind.search(body)) + (symbols if plain else SYMBOLS + string.digits)
 
 
+@lru_cache(maxsize=1024)
+def random_ones(letters: str, n: int) -> list[bytes]:
+    """The random strings that candidates of an alphabet and length are held against."""
+    return ["".join(random.Random(k).choices(letters, k=n)).encode() for k in range(REFERENCES)]
+
+
 def novelty(text: str, start: int, end: int) -> float:
     """Extra bytes of text[start:end] against its surroundings and the dictionary, as a share of those of random strings of its kind. Other candidates, which may be secrets too, are no surroundings."""
-    size = lambda s: len(compressor().compress(s.encode()))
+    size = lambda s: len(compressor().compress(s))
     body = text[start:end]
-    letters = alphabet(body)
-    random_ones = ["".join(random.Random(k).choices(letters, k=len(body))) for k in range(REFERENCES)]
+    others = (random_ones if len(body) <= 256 else random_ones.__wrapped__)(alphabet(body), len(body))
     extra, expected = 0, 0.0
     for reach in REACHES:  # a few bytes hang on how the surroundings happen to be coded
         around = CANDIDATE.sub(" ", text[end : end + reach]) + CANDIDATE.sub(" ", text[max(0, start - reach) : start])
+        around = around.encode()
         without = size(around)
-        extra += size(around + body) - without
-        expected += sum(size(around + x) - without for x in random_ones) / REFERENCES
+        extra += size(around + body.encode()) - without
+        expected += sum(size(around + x) - without for x in others) / REFERENCES
     return extra / max(1.0, expected)
 
 
+def least_novelty(body: str) -> float:
+    if any(c.isdigit() for c in body):
+        return NOVELTY
+    return NOVELTY_LETTERS if body.isalpha() else NOVELTY_NAMES
+
+
 def in_sensitive_context(text: str) -> Iterator[re.Match]:
     """Candidates near a sensitive word, and all that adjoin one of them in an unbroken row."""
     row: list[re.Match] = []
@@ -125,11 +143,18 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if SENSITIVE.search(text):
-        covered = sorted((s, e) for s, _, e in found)
+        begins, ends = [], []  # of the stretches that the base kinds cover, in order
+        for s, _, e in sorted(found):
+            if ends and s <= ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                begins.append(s)
+                ends.append(e)
         for m in in_sensitive_context(text):
-            if any(s < m.end() and m.start() < e for s, e in covered):
+            k = bisect_left(begins, m.end())
+            if k and ends[k - 1] > m.start():
                 continue
-            if novelty(text, m.start(), m.end()) >= NOVELTY:
+            if novelty(text, m.start(), m.end()) >= least_novelty(m.group()):
                 found.append((m.start(), 3, m.end()))
     return sorted(found)
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -117,3 +118,35 @@ def test_secrets_without_digits_are_new(seed, n, letters):
 @pytest.mark.parametrize("word", ["internationalization", "responsibilities", "authorization_provider_settings", "SESSION_TOKEN_LIFETIME", "================", "application/authentication"])
 def test_words_without_digits_are_not(word):
     assert novel(f"{PROSE}\nthe auth session of {word} and the private key\n{PROSE}") == []
+
+
+def test_work_grows_with_the_length_alone():
+    """4 MB with a base span and a candidate every 100 characters."""
+    line = "the auth session at password=abcdefghijkl12 goes by application_settings_provider to the client\n"
+    text = line * (4_000_000 // len(line))
+    began = time.time()
+    found = spans_of(text)
+    assert sum(k == 0 for _, k, _ in found) == len(text) // len(line) and time.time() - began < 120
+
+
+TEMPLATES = ["Authorization: Bearer {}", "export SESSION_KEY={}", "credential: '{}'", "private key\n{}", "{} is the passphrase", "aws_secret_access_key {}", "curl https://h/?sig&auth={}&x=1", "ssh-rsa {} me@host"]
+ALPHABETS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+
+
+def test_recall_and_false_alarms():
+    """Random strings of many kinds in many contexts, and identifiers in the same contexts."""
+    r = random.Random(5)
+    met = total = 0
+    for seed in range(400):
+        key = random_string(seed, r.choice([16, 20, 32, 40, 64, 128]), r.choice(ALPHABETS))
+        text = f"{PROSE}\n{r.choice(TEMPLATES).format(key)}\n{PROSE}"
+        at, total = text.index(key), total + 1
+        met += any(s < at + len(key) and at < e for s, _, e in spans_of(text))
+    assert met >= 0.95 * total
+    parts = "user session token access key client auth provider settings manager config request response handler service private public cache table index database timeout default value name".split()
+    wrong = 0
+    for _ in range(400):
+        words = [r.choice(parts) for _ in range(r.choice([3, 4, 5]))]
+        name = r.choice(["_".join(words), "_".join(words).upper(), "".join(w.title() for w in words), "-".join(words), "/".join(words)])
+        wrong += len(novel(f"{PROSE}\n{r.choice(TEMPLATES).format(name)}\n{PROSE}"))
+    assert wrong <= 0.03 * 400
