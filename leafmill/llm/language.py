@@ -8,12 +8,15 @@ that lies farther from that centroid than the centroid's own sample did is marke
 Document frequencies cover all training rows; centroids come from a bounded sample of them.
 
 Results for odd rows: a null text or one without a letter is `und` with score 0, rejected; so is every text where nothing
-could be learned; equal cosines go to the language first by name; repeated rows give one row each; an empty table gives
-an empty table; columns besides doc_id, text and lang are not read.
+could be learned; equal cosines (ties) go to the language first by name; very long texts are taken whole; of rows that
+share a language and an id in the sample, that of the least vector is clustered; a null doc_id is one id like any other;
+repeated rows give one row each; an empty table gives an empty table; columns besides doc_id, text and lang are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +26,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import crc_mod, ship, table
+from leafmill.llm.common import SLICE_BYTES, crc_mod, ship, table, text_slices
 
 BUCKETS = 1 << 13
-#: The sample that is clustered: so many rows a language, the first by hash of their id, among texts of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 50_000
+#: The sample that is clustered: so many rows a language, the first by hash of their id.
+SAMPLE_ROWS = 300
 CENTROIDS, ROUNDS = 4, 12
 #: A text is rejected below this share of the least cosine in its centroid's sample.
 SLACK = 0.75
+#: A text is counted so many characters at a time, and to the end of the word.
 AT_ONCE = 1 << 20
 
-_LETTER = regex.compile(r"\p{L}")
+_LETTER, _GAP = regex.compile(r"\p{L}"), re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 _letters: list[np.ndarray] = []
 
 
@@ -45,18 +49,36 @@ def letters() -> np.ndarray:
 
 def counts_of(text: str) -> np.ndarray:
     """How often each bucket's strings occur."""
+    total, at, tail = np.zeros(BUCKETS, np.int64), 0, ""
+    while at < len(text):
+        end = at + AT_ONCE
+        end = m.end() if end < len(text) and (m := _GAP.search(text, end)) else len(text)
+        # the strings over the border are those of the last word and what follows, less those of the last word
+        total += _counts(tail + text[at:end]) - (_counts(tail) if tail else 0)
+        last = end
+        while last > at and not text[last - 1].isalpha():
+            last -= 1
+        if last > at:  # the last word; what stands behind it is one gap
+            word = last - 1
+            while word > at and not _GAP.match(text, word - 1):
+                word -= 1
+            tail = text[word:last] + " "
+        at = end
+    return total
+
+
+def _counts(text: str) -> np.ndarray:
     total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text), AT_ONCE):
-        cp = np.frombuffer(f" {text[at : at + AT_ONCE].lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        cp = np.where(letters()[cp], cp, np.uint32(32))
-        cp = cp[np.concatenate([[True], (cp[1:] != 32) | (cp[:-1] != 32)])]
-        down, mix = np.uint32(32 - 13), np.uint32(0x9E3779B1)
-        two = cp[:-1] * np.uint32(0x01000193) + cp[1:]
-        three = two[:-1] * np.uint32(0x01000193) + cp[2:]
-        one = cp[cp != 32]
-        for h, salt in ((one, 0x3C6EF372), (two, 0x1B873593), (three, 0x27D4EB2F)):
-            h = (h + np.uint32(salt)) * mix
-            total += np.bincount(((h ^ (h >> np.uint32(15))) * mix) >> down, minlength=BUCKETS)
+    cp = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    cp = np.where(letters()[cp], cp, np.uint32(32))
+    cp = cp[np.concatenate([[True], (cp[1:] != 32) | (cp[:-1] != 32)])]
+    down, mix = np.uint32(32 - 13), np.uint32(0x9E3779B1)
+    two = cp[:-1] * np.uint32(0x01000193) + cp[1:]
+    three = two[:-1] * np.uint32(0x01000193) + cp[2:]
+    one = cp[cp != 32]
+    for h, salt in ((one, 0x3C6EF372), (two, 0x1B873593), (three, 0x27D4EB2F)):
+        h = (h + np.uint32(salt)) * mix
+        total += np.bincount(((h ^ (h >> np.uint32(15))) * mix) >> down, minlength=BUCKETS)
     return total
 
 
@@ -104,7 +126,7 @@ def fit(spark: SparkSession, docs: DataFrame) -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS + 1, np.int64)
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
             for t in b.column("text").to_pylist():
                 seen[:BUCKETS] += counts_of(t) > 0
                 seen[BUCKETS] += 1
@@ -118,11 +140,12 @@ def fit(spark: SparkSession, docs: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(idf)
 
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "lang").withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= SAMPLE_ROWS)
-    sample = known.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    ids = known.select("lang", "doc_id").withColumn("place", F.dense_rank().over(first)).where(F.col("place") <= SAMPLE_ROWS).select("lang", "doc_id").distinct()
+    # at most SAMPLE_ROWS ids a language
+    sample = known.alias("k").join(F.broadcast(ids).alias("i"), F.expr("k.lang = i.lang and k.doc_id <=> i.doc_id"), "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
             rows = [vector_of(t, shared.value).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "vector"])
 
@@ -132,7 +155,8 @@ def fit(spark: SparkSession, docs: DataFrame) -> Model:
         centres, least = clusters(v[v.any(1)], CENTROIDS) if v.any() else (np.zeros((0, BUCKETS), np.float32), np.zeros(0))
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "place": range(len(centres)), "centre": [c.astype(np.float32).tobytes() for c in centres], "least": least})
 
-    found = sample.mapInArrow(vectors, "doc_id long, lang string, vector binary").groupBy("lang").applyInPandas(centroids, "lang string, place long, centre binary, least double").collect()
+    one = sample.mapInArrow(vectors, "doc_id long, lang string, vector binary").groupBy("lang", "doc_id").agg(F.min("vector").alias("vector"))
+    found = one.groupBy("lang").applyInPandas(centroids, "lang string, place long, centre binary, least double").collect()
     found.sort(key=lambda r: (r["lang"], r["place"]))
     centres = np.stack([np.frombuffer(r["centre"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32)
     return Model(idf, [r["lang"] for r in found], centres, np.array([r["least"] for r in found]))
@@ -144,7 +168,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
             got = [shared.value.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([bool(g[2]) for g in got], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 

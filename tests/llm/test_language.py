@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -30,6 +31,38 @@ def test_counts_equal_a_slow_count(text):
     assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(want)
 
 
+@pytest.mark.parametrize("text", ["The cat, the dog and  a bird. " * 20, "x" * 200 + " y " * 50, "né 漢字 — ß" * 40, "... 12 ... " * 30])
+@pytest.mark.parametrize("at_once", [8, 33])
+def test_long_texts_are_counted_as_a_whole(monkeypatch, text, at_once):
+    want = language.counts_of(text)
+    monkeypatch.setattr(language, "AT_ONCE", at_once)
+    assert np.array_equal(language.counts_of(text), want)
+
+
+def test_predictions_equal_slow_ones():
+    """Weights, centroids, cosines and rejection, a number at a time."""
+    texts = ["the cat sat on the mat", "a dog and the cat", "der Hund lief weg", "die Katze und der Hund", "le chat est sur la table"]
+    rng = np.random.default_rng(2)
+    idf = rng.uniform(1, 3, language.BUCKETS).astype(np.float32)
+    vectors = np.stack([language.vector_of(t, idf) for t in texts])
+    centres, least = language.clusters(vectors, 3)
+    assert np.allclose(np.linalg.norm(centres, axis=1), 1, atol=1e-5)
+    mine = [max(range(3), key=lambda c: float(v @ centres[c])) for v in vectors]
+    for c in range(3):
+        members = [v for v, m in zip(vectors, mine, strict=True) if m == c]
+        total = np.sum(members, axis=0)
+        assert np.allclose(centres[c], total / np.linalg.norm(total), atol=1e-4) and least[c] == pytest.approx(min(float(v @ centres[c]) for v in members), abs=1e-5)
+    model = language.Model(idf, ["x", "y", "z"], centres, least)
+    for t in ["the cat ran", "ein Hund", "漢字", "le chat"]:
+        counts = language.counts_of(t)
+        v = [math.log(1 + int(n)) * float(w) for n, w in zip(counts, idf, strict=True)]
+        size = math.sqrt(sum(x * x for x in v))
+        cosines = [sum(a * float(b) for a, b in zip(v, c, strict=True)) / size for c in centres]
+        best = max(range(3), key=cosines.__getitem__)
+        lang, score, rejected = model.predict(t)
+        assert (lang, rejected) == ("xyz"[best], cosines[best] < language.SLACK * least[best]) and score == pytest.approx(cosines[best], abs=1e-4)
+
+
 def test_held_out_accuracy(spark):
     rows = language.op4_language(spark, SF).collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
