@@ -2,17 +2,20 @@
 
 A text is marked (each space becomes the mark, one mark before all) and cut where no piece of the vocabulary can cross.
 The distinct marked words of a slice of texts are sorted, which lays their trie out depth-first: for each prefix the
-forward pass keeps the one surviving path's last piece, and a word only extends the prefix that it shares with the word
-before it.
+forward pass keeps the one surviving path, and a word only extends the prefix that it shares with the word before it.
 
-The vocabulary at hand is of the BPE kind, whose scores are merge ranks: the path with the greatest sum of scores is not
-what its library returns. A path survives here if its last two pieces are also what merging gives for the two alone;
-exactly one path does at each prefix, and it is the library's own encoding. (Merges stop at the ends of the pieces that
-are left at last, so the pieces of a prefix that ends with one of them are the prefix's own encoding.)
+With a vocabulary of the unigram kind, a prefix keeps the greatest sum of scores of a path to its end, carried forward
+from shorter prefixes (Viterbi), and that path's last piece; on a tie the longest piece.
 
-Results for odd rows: a null text counts as empty (no ids); characters outside the vocabulary become byte pieces; a mark
-in the text itself comes back as a space (round_trip false), as in the library; repeated rows give one row each; an
-empty table gives an empty table; columns besides doc_id and text are not read.
+The scores of a vocabulary of the BPE kind, such as the one at hand, are merge ranks: the path with the greatest sum of
+scores is not what its library returns. There a path survives if its last two pieces are also what merging gives for the
+two alone; exactly one path does at each prefix, and it is the library's own encoding. (Merges stop at the ends of the
+pieces that are left at last, so the pieces of a prefix that ends with one of them are the prefix's own encoding.)
+
+Results for odd rows: a null text counts as empty (no ids); characters outside the vocabulary become byte pieces, or
+where it has none one unknown id for each run of them; a mark in the text itself comes back as a space (round_trip false),
+as in the library; very long texts and words are encoded whole; a null doc_id stays null; repeated rows give one row each;
+an empty table gives an empty table; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,9 +41,44 @@ WRITTEN, MARK = "▁", " "
 #: Words and pairs of pieces kept in a worker's tables; longest word kept.
 TABLE_WORDS, TABLE_PAIRS, KEPT_CHARS = 500_000, 300_000, 64
 
+#: Of a serialised vocabulary, the fields of the trainer's settings and of the kind in them, and the unigram kind; how far an unknown character scores below the least piece.
+TRAINER, KIND, UNIGRAM, UNKNOWN_BELOW = 2, 3, 1, 10.0
+
 _models: dict[int, PieceModel] = {}
 
 
+def fields_of(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised message; those of fixed size are passed over."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        number, form = divmod(varint(), 8)
+        if form == 0:
+            yield number, varint()
+        elif form == 2:
+            n = varint()
+            yield number, raw[at : at + n]
+            at += n
+        else:
+            at += 8 if form == 1 else 4
+
+
+def is_unigram(raw: bytes) -> bool:
+    trainer = [v for n, v in fields_of(raw) if n == TRAINER]
+    return UNIGRAM == next((v for t in trainer[-1:] for n, v in fields_of(t) if n == KIND), UNIGRAM)
+
+
 class PieceModel:
     def __init__(self, raw: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
@@ -55,6 +93,10 @@ class PieceModel:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {names[i]: i for i in plain}
         self.score = {names[i]: sp.get_score(i) for i in plain}
+        self.unigram = is_unigram(raw)
+        if self.unigram:  # sums of scores as the library has them
+            self.score = {name: np.float32(x) for name, x in self.score.items()}
+        self.worst = np.float32(min(self.score.values(), default=0.0) - UNKNOWN_BELOW)
         if any(MARK in name.lstrip(MARK) for name in self.id):
             raise ValueError("a piece holds a mark after other characters")
         # every end of a piece, and whether it is one itself: longer strings need no look
@@ -93,6 +135,34 @@ class PieceModel:
             known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
+    def best_paths(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """(word, its pieces) of distinct words by greatest sum of scores, in sorted order, going through their trie depth-first."""
+        tails, score, worst, before = self.tails, self.score, self.worst, ""
+        begin, best = [0], [np.float32(0)]  # of each prefix: where its best path's last piece begins, and the sum of scores so far
+        for word in sorted(words):
+            shared = 0
+            for a, b in zip(word, before, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del begin[shared + 1 :], best[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                at = end - 1
+                c = word[at:end]
+                sum_, from_ = best[at] + (score[c] if c in score else worst), at
+                while at and word[at:end] in tails:
+                    at -= 1
+                    if (s := score.get(word[at:end])) is not None and best[at] + s >= sum_:
+                        sum_, from_ = best[at] + s, at
+                begin.append(from_)
+                best.append(sum_)
+            out, end = [], len(word)
+            while end:
+                out.append(word[begin[end] : end])
+                end = begin[end]
+            before = word
+            yield word, out[::-1]
+
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, its pieces) of distinct words, in sorted order, going through their trie depth-first."""
         tails, known, follows, before = self.tails, self.pairs, self.follows, ""
@@ -145,9 +215,11 @@ class PieceModel:
             stay = dict(islice(self.table.items(), TABLE_WORDS // 2))
             self.table = stay | {w: self.table[w] for w in used.difference(new) if w not in stay}
         known = self.table
-        for w, p in self.encode_words(list(new)):
+        for w, p in (self.best_paths if self.unigram else self.encode_words)(list(new)):
             known[w] = self.ids_of(p)
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        if not self.byte:  # a run of unknown characters is one id
+            out = [x[np.append(True, (x[1:] != self.unknown) | (x[:-1] != self.unknown))].tobytes() if len(x) else b"" for x in (np.frombuffer(o, "<u4") for o in out)]
         for w in [w for w in new if len(w) > KEPT_CHARS]:
             del known[w]
         return out
