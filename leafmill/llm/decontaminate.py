@@ -1,36 +1,44 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are brought to lower-case words with one space between. An item of m characters may be met with
-k = m // BUDGET edits; cut into k + 1 pieces, one piece at least must be met exactly. One automaton finds all pieces of
-a block of items; each hit's window is verified with Myers' bit-parallel distance.
+Texts and test items are brought to lower-case words with one space between, before and after; so an item is not met
+inside of other words. An item of m characters may be met with k = m // BUDGET edits; cut into k + 1 pieces, one piece at
+least must be met exactly. One automaton finds all pieces of a block of items; each hit's window is verified with Myers'
+bit-parallel distance. A block of items goes over all documents once. Where there are more, each block hands on only the
+texts that meet some of it, by a hash of the text, and the documents are joined with these at the end.
 
 Results for odd rows: a null or empty text meets nothing; an item without a word is met by nothing; items of equal text
-are both reported; repeated rows give one row each; an empty table on either side gives rows without items; columns
-besides doc_id and text, item_id and text are not read.
+(ties) are both reported, a null item_id first; items that share an id are reported once, with the least distance; very
+long texts are searched whole; a null doc_id stays null; repeated rows give one row each; an empty table on either side
+gives rows without items; columns besides doc_id and text, item_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.llm.common import SLICE_BYTES, ship, table, text_slices
+from leafmill.llm.common import SLICE_BYTES, Scratch, free_names, ship, table, text_slices
 
 #: One edit is allowed for so many characters of an item.
 BUDGET = 16
-#: Characters of items in a block; each block is broadcast and goes over all documents once.
-BLOCK_CHARS = 200_000
+#: Characters of items in a block; each block is broadcast by itself and goes over all documents once.
+BLOCK_CHARS = 1_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def plain(text: str | None) -> str:
-    return " ".join(_WORDS.findall(text.lower())) if text else ""
+    """The words of a text with a space between, before and after; empty without any."""
+    words = _WORDS.findall(text.lower()) if text else []
+    return f" {' '.join(words)} " if words else ""
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -76,12 +84,12 @@ def least_distance(m: int, masks: dict[str, int], text: str, most: int) -> int:
 class Items:
     """A block of items, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[int, str]], budget: int = BUDGET):
+    def __init__(self, items: list[tuple[int | None, str]], budget: int = BUDGET):
         by_text: dict[str, list[int]] = {}
         for key, text in items:
             if norm := plain(text):
                 by_text.setdefault(norm, []).append(key)
-        self.items = [(norm, keys, len(norm) // budget, masks_of(norm)) for norm, keys in by_text.items()]
+        self.items = [(norm, keys, (len(norm) - 2) // budget, masks_of(norm)) for norm, keys in by_text.items()]
         at: dict[str, list[tuple[int, int]]] = {}
         for i, (norm, _, k, _) in enumerate(self.items):
             for offset, piece in pieces(norm, k):
@@ -117,7 +125,7 @@ class Items:
                     if not best:
                         break
             if best <= k:
-                met.update(dict.fromkeys(keys, best))
+                met |= {key: min(best, met.get(key, best)) for key in keys}
         return met
 
 
@@ -134,31 +142,72 @@ def blocks_of(items: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple
         yield block
 
 
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs with __items (list of item ids, ascending) and __distances (of each)."""
+_ready: dict[int, Items] = {}
+
+
+def items_for(shared) -> Items:
+    """A worker's items of a broadcast; those of the one before it leave."""
+    if shared.id not in _ready:
+        _ready.clear()
+        _ready[shared.id] = Items(shared.value)
+    return _ready[shared.id]
+
+
+class Block:
+    """A block of items sent to the executors."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]]):
+        self.sent, self.id = spark.sparkContext.broadcast(items), random.getrandbits(63)
+
+    def __getstate__(self):
+        return self.sent, self.id
+
+    def __setstate__(self, state):
+        self.sent, self.id = state
+
+    @property
+    def value(self) -> list[tuple[int, str]]:
+        return self.sent.value
+
+
+def meeting(rows: DataFrame, block: Block, names: tuple[str, str], all_rows: bool) -> DataFrame:
+    """Rows (with a text) and the items of the block that each meets, with the distances; all rows or those that meet any."""
+    given = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = items_for(block)
+        for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
+            found = [sorted(ready.met_by(plain(t)).items(), key=lambda f: (f[0] is not None, f[0])) for t in b.column("text").to_pylist()]
+            if not all_rows:
+                b = b.filter(pa.array([bool(f) for f in found], pa.bool_()))
+                found = [f for f in found if f]
+            ids, ds = pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64())), pa.array([[d for _, d in f] for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, ds], [*given, *names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.ArrayType(T.IntegerType()))]))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS, names: tuple[str, str] = ("__items", "__distances")) -> DataFrame:
+    """The rows of docs with the list of items that each meets (ids, ascending) and the distances of these, under names."""
     ship(spark)
-    names = docs.columns
-    out = docs.withColumn("__items", F.array().cast("array<long>")).withColumn("__distances", F.array().cast("array<int>"))
-    schema = out.schema
-    for block in blocks_of(items, block_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ready = Items(shared.value)
-            for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
-                cols = dict(zip([*names, "__items", "__distances"], b.columns, strict=True))
-                found = []
-                for text, ids, ds in zip(cols["text"].to_pylist(), cols["__items"].to_pylist(), cols["__distances"].to_pylist(), strict=True):
-                    met = ready.met_by(plain(text))
-                    for key, d in zip(ids, ds, strict=True):
-                        met[key] = min(d, met.get(key, d))
-                    found.append(sorted(met.items()))
-                cols["__items"] = pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int64()))
-                cols["__distances"] = pa.array([[d for _, d in f] for f in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-        out = out.mapInArrow(run, schema)
-    return out
+    blocks = blocks_of(items, block_chars)
+    now, after = next(blocks, []), next(blocks, None)
+    if after is None:
+        return meeting(docs, Block(spark, now), names, all_rows=True)
+    scratch, met, id_, distance = Scratch(spark, "benchmark"), [], "item", "distance"
+    while now:
+        block = Block(spark, now)
+        rows = meeting(docs.select("text").where("text is not null"), block, (id_, distance), all_rows=False)
+        met.append(scratch.put(rows.select(F.xxhash64("text").alias("a"), F.xxhash64(F.reverse("text"), F.lit(1)).alias("b"), F.explode(F.arrays_zip(id_, distance)).alias("m")), "met"))
+        block.sent.destroy()
+        now, after = after, next(blocks, None)
+    each = reduce(DataFrame.unionByName, met).groupBy("a", "b", F.col(f"m.{id_}").alias(id_)).agg(F.min(f"m.{distance}").alias(distance))
+    found = scratch.put(each.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct(id_, distance))).alias("m")), "found")
+    scratch.only(found)
+    a, b, m = free_names([*docs.columns, *names], "__a", "__b", "__m")
+    out = docs.withColumns({a: F.xxhash64("text"), b: F.xxhash64(F.reverse("text"), F.lit(1))}).join(found.toDF(a, b, m), [a, b], "left")
+    m = F.when(F.col("text").isNotNull(), F.col(m))
+    return out.select(*docs.columns, F.coalesce(m[id_], F.array().cast("array<long>")).alias(names[0]), F.coalesce(m[distance], F.array().cast("array<int>")).alias(names[1]))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
