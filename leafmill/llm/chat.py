@@ -1,25 +1,31 @@
 """Chat formatting: tool-call linking with DataFrame functions alone.
 
-Calls and results of a conversation meet by identifier in one hash join with an aggregate of one row an identifier, so a
-hot conversation or identifier never becomes one task's group. Messages get a topological key: (the turn of the call
-they hang on or else their own, 0 for calls and other messages and 1 for results, their own turn); sorted by it, every
-result follows its call, wherever it was written. Arguments are validated against a schema and every message becomes one
-line of canonical JSON (keys sorted, no white space, absent fields left out, escapes as in RFC 8785).
-
-Results for odd rows: of calls that repeat an identifier the one of the least turn is linked, the others are `repeated`;
-a result that repeats its identifier is linked as well; a null identifier links with nothing; a null text is an absent
-field; repeated rows give one row each; an empty table gives an empty table; other columns are not read.
+Calls and results of a conversation meet by identifier in one shuffled hash join with an aggregate of one row an
+identifier, so a hot conversation or identifier never becomes one task's group. A call may need the results of other
+calls of its conversation; such needs are peeled off level by level, one round for each level, until no call is left whose
+needs are all placed. Messages get a topological key (topo_turn, topo_level, topo_step, turn): a call's topo_turn is the
+latest turn among its own and those that it needs, its level is one more than theirs, and a result is a step behind its
+call. Sorted by the key, every result follows its call and every call the results that it needs, wherever they were
+written. Arguments are validated against the schema of the call's tool, and every message becomes one line of canonical
+JSON (keys sorted, no white space, absent fields left out, escapes as in RFC 8785).
+
+Results for odd rows: of calls that repeat an identifier the one of the least turn is linked, the others are `repeated`
+(ties in turn are linked alike); a result that repeats its identifier is linked as well; a null identifier links with
+nothing; calls whose needs run in a circle, and those that need one of them, are `circular` with their own turn and level
+0; a need of no call is no need; a tool without a schema gives the error `tool:unknown`; a null or empty text is an absent
+or empty field; very long texts are written whole; repeated rows give one row each; an empty table gives an empty table;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import table
+from leafmill.llm.common import Scratch, table
 
 #: Of the arguments of the query's calls: (field, type, required, least, most); least and most bound a number, or a text's length.
 REPLY_SCHEMA = [
@@ -73,37 +79,84 @@ def canonical_json(value: Column) -> Column:
     return F.when(F.contains(json, F.lit(r"\u00")), reduce(lowered, codes, json)).otherwise(json)
 
 
-def link(messages: DataFrame, schema: list[tuple]) -> DataFrame:
+def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
+    """(conv_id, link_id, need_turn, need_level) of calls (conv_id, link_id, turn, needs) that need others; null for those in or behind a circle."""
+    scratch = Scratch(spark, "calls")
+    by = ["conv_id", "link_id"]
+    ids = scratch.put(calls.groupBy(*by).agg(F.min("turn").alias("turn"), F.min_by("needs", "turn").alias("needs")), "ids")
+    names = ids.select("conv_id", F.col("link_id").alias("need"))
+    needs = ids.select(*by, "turn", F.explode(F.array_distinct("needs")).alias("need")).join(names, ["conv_id", "need"])
+    needs = scratch.put(needs.withColumn("n", F.count("*").over(Window.partitionBy(*by))), "needs")
+    # a round's calls are the next round's needs
+    front = scratch.put(ids.join(needs.select(*by).distinct(), by, "left_anti").select("conv_id", F.col("link_id").alias("need"), F.col("turn").alias("at"), F.lit(0).alias("level")), "level")
+    placed, met = [], scratch.put(needs.limit(0).select(*by, "turn", "n", F.lit(0).alias("seen"), F.lit(0).alias("level"), F.col("turn").alias("at")), "met")
+    while needs.limit(1).count():
+        now = needs.join(front, ["conv_id", "need"]).groupBy(*by, "turn", "n").agg(F.count("*").cast("int").alias("seen"), F.max("level").alias("level"), F.max("at").alias("at"))
+        now = scratch.put(met.unionByName(now).groupBy(*by, "turn", "n").agg(F.sum("seen").cast("int").alias("seen"), F.max("level").alias("level"), F.max("at").alias("at")), "met")
+        ready = now.where("seen = n")
+        if not ready.limit(1).count():
+            break
+        placed.append(ready.select(*by, F.greatest("at", "turn").alias("need_turn"), (F.col("level") + 1).alias("need_level")))
+        front, met = placed[-1].select("conv_id", F.col("link_id").alias("need"), F.col("need_turn").alias("at"), F.col("need_level").alias("level")), now.where("seen < n")
+    wanted = needs.select(*by).distinct()
+    if not placed:
+        return wanted.withColumn("need_turn", F.lit(None).cast("long")).withColumn("need_level", F.lit(None).cast("int"))
+    return wanted.join(reduce(DataFrame.unionByName, placed), by, "left")
+
+
+def link(messages: DataFrame, schema: list[tuple] | dict[str, list[tuple]]) -> DataFrame:
     """Links messages (conv_id, turn, role, kind, link_id, content, arguments) and serialises them.
 
-    kind is call, result or message; link_id is the identifier of a call or of the call that a result answers.
+    kind is call, result or message; link_id is the identifier of a call or of the call that a result answers. Where there
+    is a column needs (array<string>), it has the identifiers of calls that a call needs; with a schema for each tool, a
+    column tool names that of a call.
     """
-    m = messages.select("conv_id", "turn", "role", "kind", "link_id", "content", "arguments")
+    tools = isinstance(schema, dict)
+    by, with_needs = ["conv_id", "link_id"], "needs" in messages.columns
+    m = messages.select(*by, "turn", "role", "kind", "content", "arguments", *["tool"] * tools, *["needs"] * with_needs)
     arguments = m.schema["arguments"].dataType
-    of_id = m.where("link_id is not null and kind in ('call', 'result')").groupBy("conv_id", "link_id")
-    ids = of_id.agg(F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"), F.count_if(F.col("kind") == "result").alias("n_results"), F.count_if(F.col("kind") == "call").alias("n_calls"))
-    m = m.join(ids.where("n_calls > 0 or n_results > 0"), ["conv_id", "link_id"], "left")
+    linking = F.col("link_id").isNotNull() & F.col("kind").isin("call", "result")
+    of_id = m.where(linking).groupBy(*by)
+    ids = of_id.agg(F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("call_turn"), F.count_if(F.col("kind") == "result").alias("n_results"))
+    if with_needs:
+        ids = ids.join(levels(messages.sparkSession, m.where(linking & (F.col("kind") == "call")).select(*by, "turn", "needs")).withColumn("has_needs", F.lit(True)), by, "left")
+        ids = ids.withColumns({"circular": F.coalesce("has_needs", F.lit(False)) & F.col("need_turn").isNull(), "call_at": F.coalesce("need_turn", "call_turn"), "level": F.coalesce("need_level", F.lit(0))}).drop("has_needs", "need_turn", "need_level")
+    else:
+        ids = ids.withColumns({"circular": F.lit(False), "call_at": F.col("call_turn"), "level": F.lit(0)})
+    # what has no identifier would all meet in one task, and is spread
+    spread = lambda linked: F.when(linked, F.lit(0)).otherwise(F.pmod(F.xxhash64("turn", "role", "content"), F.lit(1 << 20)) + 1)
+    m = m.withColumn("spread", spread(F.col("link_id").isNotNull())).join(ids.withColumn("spread", F.lit(0).cast("long")).hint("shuffle_hash"), [*by, "spread"], "left")
+    is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
+    first = is_call & (F.col("turn") == F.col("call_turn"))
     status = (
         F.when(F.col("kind") == "message", "message")
-        .when((F.col("kind") == "call") & (F.col("turn") != F.col("call_turn")), "repeated")
-        .when(F.col("kind") == "call", F.when(F.coalesce("n_results", F.lit(0)) > 0, "linked").otherwise("no_result"))
+        .when(is_call & (F.col("turn") != F.col("call_turn")), "repeated")
+        .when(first & F.col("circular"), "circular")
+        .when(is_call, F.when(F.coalesce("n_results", F.lit(0)) > 0, "linked").otherwise("no_result"))
         .otherwise(F.when(F.col("call_turn").isNotNull(), "linked").otherwise("no_call"))
     )
-    is_result = F.col("kind") == "result"
     m = m.withColumn("status", status)
-    m = m.withColumn("topo_turn", F.when(is_result, F.coalesce("call_turn", "turn")).otherwise(F.col("turn"))).withColumn("topo_step", F.when(is_result & F.col("call_turn").isNotNull(), 1).otherwise(0))
-    errors = F.when(F.col("kind") == "call", F.array_join(errors_of("arguments", arguments, schema), ",")).otherwise("")
-    m = m.withColumn("errors", errors)
+    placed = is_result | first
+    m = m.withColumn("topo_turn", F.when(placed, F.coalesce("call_at", "turn")).otherwise(F.col("turn"))).withColumn("topo_level", F.when(placed, F.coalesce("level", F.lit(0))).otherwise(0).cast("int"))
+    m = m.withColumn("topo_step", F.when(is_result & F.col("call_turn").isNotNull(), 1).otherwise(0))
+    if tools:
+        found = F.lit("tool:unknown")
+        for tool, fields in schema.items():
+            found = F.when(F.col("tool") == tool, F.array_join(errors_of("arguments", arguments, fields), ",")).otherwise(found)
+    else:
+        found = F.array_join(errors_of("arguments", arguments, schema), ",")
+    m = m.withColumn("errors", F.when(is_call, found).otherwise(""))
     line = F.struct(
-        F.when(F.col("kind") == "call", sorted_fields(F.col("arguments"), arguments)).alias("arguments"),
+        F.when(is_call, sorted_fields(F.col("arguments"), arguments)).alias("arguments"),
         F.when(is_result, F.col("link_id")).alias("call_id"),
-        F.when(F.col("kind") != "call", F.col("content")).alias("content"),
-        F.when(F.col("kind") == "call", F.col("link_id")).alias("id"),
+        F.when(~is_call, F.col("content")).alias("content"),
+        F.when(is_call, F.col("link_id")).alias("id"),
         F.col("role"),
+        *[F.when(is_call, F.col("tool")).alias("tool")] * tools,
         F.col("turn"),
-        F.when(F.col("kind") == "call", "call").when(is_result, "result").otherwise("message").alias("type"),
+        F.when(is_call, "call").when(is_result, "result").otherwise("message").alias("type"),
     )
-    return m.select("conv_id", "turn", "role", "kind", "link_id", "status", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "topo_turn", F.col("topo_step").cast("int").alias("topo_step"), "errors", canonical_json(line).alias("json"))
+    return m.select("conv_id", "turn", "role", "kind", "link_id", "status", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "topo_turn", "topo_level", F.col("topo_step").cast("int").alias("topo_step"), "errors", canonical_json(line).alias("json"))
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
@@ -141,6 +194,7 @@ SELECT m.conv_id, m.turn, m.role, m.kind, m.link_id,
        WHEN call_turn IS NOT NULL THEN 'linked' ELSE 'no_call' END AS status,
   CAST(coalesce(n_results, 0) AS BIGINT) AS n_results,
   CASE WHEN kind = 'result' THEN coalesce(call_turn, turn) ELSE turn END AS topo_turn,
+  CAST(0 AS INTEGER) AS topo_level,
   CAST(CASE WHEN kind = 'result' AND call_turn IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS topo_step,
   CASE WHEN kind <> 'call' THEN '' ELSE concat_ws(',',
        CASE WHEN text IS NULL THEN 'content:required' END,
