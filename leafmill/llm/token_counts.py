@@ -4,8 +4,9 @@ A word's symbols form a linked list; a heap holds the adjacent pairs that can me
 Each pop merges one pair; the count is the symbols less the merges. No ids are made. Words that a Python worker has
 met before come from a bounded table.
 
-Results for odd rows: a null text counts as empty (0 bytes, 0 tokens); repeated rows give one row each; an empty table
-gives an empty table; columns besides doc_id and text are not read.
+Results for odd rows: a null text counts as empty (0 bytes, 0 tokens); very long texts are cut a number of words at a time
+and very long words are not kept; pairs of one rank (ties) merge from the left; a null doc_id stays null; repeated rows give one row each; an empty table
+gives an empty table; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ship, table
+from leafmill.llm.common import SLICE_BYTES, ship, table, text_slices
 from leafmill.llm.pretoken import ByteBpe, words_of
 
-#: Words kept in a worker's table; it is emptied when full.
-TABLE_WORDS = 600_000
+#: Words kept in a worker's table; it is emptied when full. Longer words are not kept.
+TABLE_WORDS, KEPT_CHARS = 600_000, 64
 
 _counters: dict[int, Counter] = {}
 
@@ -69,9 +70,13 @@ class Counter:
                 except KeyError:
                     if len(table) > TABLE_WORDS:
                         table.clear()
-                    for w in set(words).difference(table):
+                    new = set(words).difference(table)
+                    for w in new:
                         table[w] = self.word(w)
                     total += sum(map(table.__getitem__, words))
+                    for w in new:
+                        if len(w) > KEPT_CHARS:
+                            del table[w]
         return total
 
 
@@ -91,7 +96,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocabulary: str, limit: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter_for(raw.value).text
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
             texts = b.column("text").to_pylist()
             sizes = [0 if t is None else len(t.encode()) for t in texts]
             counts = [0 if not t else count(t) for t in texts]

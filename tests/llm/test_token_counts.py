@@ -33,3 +33,9 @@ def test_null_repeated_and_empty_rows(spark):
     rows = sorted(map(tuple, count_tokens(spark, docs, PATH, limit=1).collect()), key=str)
     assert rows == sorted([(1, 11, 2, True), (1, 11, 2, True), (2, 0, 0, False), (None, 0, 0, False)], key=str)
     assert count_tokens(spark, docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a lone word, and 12 more\n" * 45_000, "漢字 ñandú " * 120_000, "x" * 1_200_000])
+def test_very_long_texts(counter, text):
+    assert len(text) > 1_000_000 and counter.text(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, counter.table)) <= 64
