@@ -6,7 +6,9 @@ over range partitions, go to one file a partition, in segments whose blocks of i
 bit offset. Files are written by Spark's committer to any store, and need no more memory than a segment to write.
 
 Results for odd rows: a null text has no ids but the end id; documents with equal ids follow each other, by their ids'
-hash; a null doc_id comes first and stays null; an empty table gives no rows; other columns are not read.
+hash (ties); a null doc_id comes first and stays null; very long texts are one document of a segment of their own size, and
+very long words are not kept; repeated rows are documents each; an empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Scratch, joined, partitions_for, ship, table
+from leafmill.llm.common import SLICE_BYTES, Scratch, joined, partitions_for, ship, table, text_slices, without_shuffles
 from leafmill.llm.huffman import END, Code, read_segments, write_segment
 from leafmill.llm.pretoken import ByteBpe, shown_bytes, words_of
 
-#: Words kept in a worker's table.
-TABLE_WORDS = 500_000
+#: Words kept in a worker's table, and the longest of them.
+TABLE_WORDS, KEPT_CHARS = 500_000, 64
 #: Ids of a segment, of a file (about 45 MB of code), and of a block that is decoded on its own.
 SEGMENT_IDS, FILE_IDS, BLOCK_IDS = 1_000_000, 32_000_000, 512
 
@@ -77,6 +79,9 @@ class Encoder:
                     for w in new:
                         known[w] = array(self.code, [t.id for t in self.model.tokenize(self.symbols(w))]).tobytes()
                     parts.append(b"".join(map(known.__getitem__, words)))
+                    for w in new:
+                        if len(w) > KEPT_CHARS:
+                            del known[w]
         parts.append(np.array([end], self.kind).tobytes())
         return b"".join(parts)
 
@@ -95,7 +100,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, end: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder_for(raw.value).ids
-        for b in batches:
+        for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
             # a batch's copies are encoded once
             texts = [t or "" for t in b.column("text").to_pylist()]
             once = {t: ids(t, end) for t in set(texts)}
@@ -157,7 +162,8 @@ def write_files(spark: SparkSession, docs: DataFrame, vocabulary: str, path: str
     rows = ids.select("doc_id", "ids", key).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
     segments = rows.select("doc_id", "ids").mapInArrow(run, "segment binary")
     # as text without a change of bytes: Spark's own committer then writes plain files to any store
-    segments.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", END).text(f"{path}/ids")
+    with without_shuffles(spark):
+        segments.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", END).text(f"{path}/ids")
     spark.createDataFrame([(code.to_bytes(),)], "value binary").select(F.col("value").cast("string")).coalesce(1).write.option("lineSep", END).text(f"{path}/code")
     scratch.drop(ids)
 

@@ -94,3 +94,12 @@ def test_ids_equal_the_library_on_any_text(text):
     with open(PATH, "rb") as f:
         e = token_files.encoder_for(f.read())
     assert np.frombuffer(e.ids(text, 7), e.kind).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 7]
+
+
+def test_very_long_words_are_not_kept():
+    with open(PATH, "rb") as f:
+        one = token_files.encoder_for(f.read())
+    text = "long " * 220_000 + "x" * 70_000 + " " + "é" * 200
+    got = np.frombuffer(one.ids(text, 0), one.kind)
+    assert got.tolist() == [*one.library.encode(text, add_special_tokens=False).ids, 0]
+    assert max(map(len, one.table)) <= 64
