@@ -7,33 +7,38 @@ softmax layer gives the two labels' shares. Training is numpy stochastic gradien
 sizes) on a bounded sample of labelled rows; the label shares of all labelled rows set the prior. As everything after
 the look-up is linear up to the softmax, scoring folds the output layer into the table: one number a feature.
 
-Results for odd rows: a null or empty text has no features and gets the prior; repeated rows give one row each; rows
-labelled more than once train with their least label; without labels of both kinds every score is the share of label 1
-(1 without any label); an empty table gives an empty table; other columns are not read.
+Results for odd rows: a null or empty text has no features and gets the prior; very long texts are scored whole; ties: of
+rows that share a sampled id the one of the least features trains, and rows labelled more than once train with their
+least label; a null doc_id is scored, and teaches nothing; repeated rows give one row each; without labels of both kinds every score is the share of label 1
+(1 without any label); an empty table gives an empty table; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import SLICE_BYTES, crc_mod, ship, table, text_slices
+from leafmill.llm.common import SLICE_BYTES, Scratch, crc_mod, ship, table, text_slices
 
 BITS = 16
 DIM = 8
-#: The training sample: so many rows of each label, the first by hash of their id, among texts of at most so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 2_500, 20_000
+#: The training sample: so many rows of each label, the first by hash of their id, and of these the first whose features take so many bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 2_500, 64_000_000
 EPOCHS, RATE = 6, 0.25
-#: Features of one text are looked up so many characters at a time.
+#: Features of one text are looked up so many characters at a time, and to the end of the word.
 AT_ONCE = 1 << 20
 
-_REPEAT = 0  # the feature of two equal words in a row
+#: The feature of two equal words in a row, whatever the word; hashed features may share it, as any two may share one.
+_REPEAT = 0
+_GAP = re.compile("[\x00-\x20]")
 _POWERS = np.cumprod(np.full(64, 0x9E3779B1, np.uint32), dtype=np.uint32)
 
 
@@ -66,23 +71,45 @@ def features(text: str) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in out]
 
 
-def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows that a text uses and the share of each in its vector."""
-    kinds = [np.unique(x, return_counts=True) for x in features(text) if len(x)]
-    if not kinds:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    ids, where = np.unique(np.concatenate([i for i, _ in kinds]), return_inverse=True)
-    shares = np.concatenate([c / (c.sum() * len(kinds)) for _, c in kinds])
-    return ids, np.bincount(where, shares, len(ids)).astype(np.float32)
+def stretches(text: str) -> Iterator[tuple[int, str]]:
+    """(sign, stretch): the features of a text are those of the stretches, taken away where the sign is -1. A stretch begins with the last word of the one before, whose own features are taken away once."""
+    at, tail, word = 0, "", ""
+    while at < len(text):
+        end = at + AT_ONCE
+        end = m.end() if end < len(text) and (m := _GAP.search(text, end)) else len(text)
+        if tail:
+            yield -1, tail
+        yield 1, tail + text[at:end]
+        last = end
+        while last > at and ord(text[last - 1]) <= 32:
+            last -= 1
+        if last > at:
+            start = last - 1
+            while start > at and ord(text[start - 1]) > 32:
+                start -= 1
+            word = text[start:last]
+        tail = word + text[max(last, end - 2) : end]  # enough for a pair of words and for trigrams
+        at = end
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
-    """(a logit share for each table row, the offset of the sample) from numpy gradient descent, one text at a time."""
+def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows that a text uses and the share of each in its vector."""
+    counts = np.zeros((3, 1 << BITS), np.int64)
+    for sign, part in stretches(text or ""):
+        for k, rows in enumerate(features(part)):
+            counts[k] += sign * np.bincount(rows, minlength=1 << BITS)
+    there = [c / c.sum() for c in counts if c.any()]
+    shares = sum(there) / max(1, len(there)) if there else counts[0]
+    ids = np.flatnonzero(shares)
+    return ids, shares[ids].astype(np.float32)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
+    """(a logit share for each table row, the offset of the sample) from numpy gradient descent, one text (its table rows and their shares) at a time."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     top, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     g_vectors, g_top, g_bias = np.full((1 << BITS, 1), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    rows = [shares_of(t) for t in texts]
     for epoch in range(EPOCHS):
         step = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(rows)):
@@ -103,36 +130,54 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     return vectors @ (top[:, 1] - top[:, 0]), float(bias[1] - bias[0])
 
 
+def sample(spark: SparkSession, docs: DataFrame, known: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, table rows, shares) of the training sample."""
+    ship(spark)
+    scratch = Scratch(spark, "labels")
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS)
+    ids = scratch.put(there, "sampled")
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in text_slices(whole, SLICE_BYTES)):
+            found = [shares_of(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), b.column("place").cast(pa.int32()), *(pa.array([x.astype(kind).tobytes() for x in side], pa.binary()) for kind, side in (("<u4", [i for i, _ in found]), ("<f4", [w for _, w in found])))], ["quality", "place", "ids", "shares"])
+
+    # at most twice SAMPLE_ROWS ids; their texts are met in one pass over the documents
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "quality", "place")), "doc_id").select("text", "quality", "place")
+    rows = chosen.mapInArrow(shares, "quality int, place int, ids binary, shares binary")
+    rows = scratch.put(rows.groupBy("quality", "place").agg(F.min(F.struct("ids", "shares")).alias("x")), "features")
+    taken, out = {0: 0, 1: 0}, []
+    for r in rows.orderBy("place", "quality").toLocalIterator():
+        taken[r["quality"]] += len(r["x"]["ids"]) + len(r["x"]["shares"])
+        if taken[r["quality"]] <= SAMPLE_BYTES:
+            out.append((r["quality"], np.frombuffer(r["x"]["ids"], "<u4").astype(np.int64), np.frombuffer(r["x"]["shares"], "<f4")))
+    scratch.only()
+    return out
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> tuple[np.ndarray, float]:
     """Learns from the rows of labels whose id is outside the held fold."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return np.zeros(1 << BITS, np.float32), 40.0 if shares.get(1, 1) else -40.0
-    texts, ys = [], []
-    # sampled by id among the texts of the allowed size, without moving the texts: first ids and sizes, then the chosen rows
-    sized = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id").distinct().join(known, "doc_id")
-    for label in (0, 1):
-        ids = sized.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-        chosen = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids.select("doc_id")), "doc_id")
-        got = {r["doc_id"]: r["text"] for r in chosen.orderBy("doc_id", "text").collect()}
-        texts += got.values()
-        ys += [label] * len(got)
-    n1 = sum(ys)
-    if not 0 < n1 < len(ys):
+    got = sample(spark, docs, known)
+    n1 = sum(q for q, _, _ in got)
+    if not 0 < n1 < len(got):
         return np.zeros(1 << BITS, np.float32), math.log(shares[1] / shares[0])
-    table_, bias = train(texts, ys)
+    table_, bias = train([(ids, w) for _, ids, w in got], [q for q, _, _ in got])
     # the sample holds the labels in other shares than the rows it stands for
-    return table_.astype(np.float32), bias + math.log(shares[1] / shares[0]) - math.log(n1 / (len(ys) - n1))
+    return table_.astype(np.float32), bias + math.log(shares[1] / shares[0]) - math.log(n1 / (len(got) - n1))
 
 
 def score_of(text: str | None, weights: np.ndarray, bias: float) -> float:
     total, n = np.zeros(3), np.zeros(3)
-    for at in range(0, len(text or ""), AT_ONCE):
-        for k, rows in enumerate(features(text[at : at + AT_ONCE])):
-            total[k] += weights[rows].sum(dtype=np.float64)
-            n[k] += len(rows)
+    for sign, part in stretches(text or ""):
+        for k, rows in enumerate(features(part)):
+            total[k] += sign * weights[rows].sum(dtype=np.float64)
+            n[k] += sign * len(rows)
     there = n > 0
     z = bias + (float((total[there] / n[there]).mean()) if there.any() else 0.0)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
