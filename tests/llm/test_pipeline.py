@@ -71,3 +71,16 @@ def test_near_copies_under_repeated_and_null_ids(spark):
     f = {r for r in got if r[0] == 4}
     assert len(f) == 1 and f <= {(4, text("f")), (4, near("f"))}
     assert sorted((r for r in got if r not in f), key=str) == sorted([(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (5, ""), (None, None), (None, None)], key=str)
+
+
+def test_columns_whose_names_clash(spark):
+    names = ["__score", "__key", "__rows", "__items", "__distances", "__ids", "__round_trip", "piece_ids", "N_Pieces", "round_trip", "group", "score", "component_id", "n_shingles", "quality", "__a"]
+    rows = [(i, f"text {i} of a quiet river and its {i} hills", *[f"{n}{i}" for n in names]) for i in range(4)] + [(9, "text 3 of a quiet river and its 3 hills", *names), (None, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for _, f in corpus_pipeline.STAGES[:4]:
+        docs = f(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", *names]
+    assert sorted(tuple(r) for r in docs.collect() if r["doc_id"] is not None) == rows[:4]
+    last = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert last.columns == ["doc_id", "text", *names, "piece_ids_", "round_trip_", "n_pieces_"]
+    assert all(r["piece_ids"] == f"piece_ids{r['doc_id']}" and r["round_trip_"] and r["n_pieces_"] > 5 for r in last.collect() if r["doc_id"] is not None)
