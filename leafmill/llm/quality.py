@@ -130,12 +130,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: in
     return vectors @ (top[:, 1] - top[:, 0]), float(bias[1] - bias[0])
 
 
-def sample(spark: SparkSession, docs: DataFrame, known: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, table rows, shares) of the training sample."""
+def sample(spark: SparkSession, docs: DataFrame, known: DataFrame, counts: dict[int, int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, table rows, shares) of the training sample, given the rows of each label."""
     ship(spark)
     scratch = Scratch(spark, "labels")
-    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    there = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS)
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
+    # ids beyond twice the share that is wanted cannot be among the first, but where most labels have no document
+    wanted = F.create_map(*[F.lit(x) for q, n in counts.items() for x in (q, min(1.0, 2 * SAMPLE_ROWS / n))])[F.col("quality")]
+    low = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < wanted * (1 << 30))
+    there = low.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS)
     ids = scratch.put(there, "sampled")
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5,
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return np.zeros(1 << BITS, np.float32), 40.0 if shares.get(1, 1) else -40.0
-    got = sample(spark, docs, known)
+    got = sample(spark, docs, known, shares)
     n1 = sum(q for q, _, _ in got)
     if not 0 < n1 < len(got):
         return np.zeros(1 << BITS, np.float32), math.log(shares[1] / shares[0])

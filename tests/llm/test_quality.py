@@ -92,12 +92,12 @@ def test_training_and_the_folded_score_equal_slow_ones():
 def test_the_sample_has_one_row_an_id_and_a_bound(spark, monkeypatch):
     docs = spark.createDataFrame([(i // 2, f"text {i} of many words", "q") for i in range(80)], "doc_id long, text string, quality string")
     known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
-    assert sorted(q for q, _, _ in quality.sample(spark, docs, known)) == [0] * 20 + [1] * 20
+    assert sorted(q for q, _, _ in quality.sample(spark, docs, known, {0: 30, 1: 30})) == [0] * 20 + [1] * 20
     monkeypatch.setattr(quality, "SAMPLE_ROWS", 7)
-    got = quality.sample(spark, docs, known)
+    got = quality.sample(spark, docs, known, {0: 30, 1: 30})
     assert len(got) == 14
     monkeypatch.setattr(quality, "SAMPLE_BYTES", 3 * max(8 * len(ids) for _, ids, _ in got))
-    assert 4 <= len(quality.sample(spark, docs, known)) < 14
+    assert 4 <= len(quality.sample(spark, docs, known, {0: 30, 1: 30})) < 14
 
 
 def test_training_tells_kinds_apart():
