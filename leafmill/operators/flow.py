@@ -37,28 +37,29 @@ LINES = "doc_id long, page int, block int, line int, start long, end long, gaps
 
 
 def placed_lines(docs: DataFrame, key: str = "doc_id", geometry: Geometry = SMALL, style: dict | None = None, widow: bool = True, shown: bool = False) -> DataFrame:
-    """Every line of every document (key, text): page, block, offsets and place, and its text if that is to be shown. A null text is empty."""
+    """Every line of every document (key, text): page, block, offsets and place, and if its text is to be shown that, its place on the page, and how many pages there are. A null text is empty."""
     ship(docs.sparkSession)
     style = {"line_height": LINE, "line_rule": "exact"} | (style or {})
-    schema = f"{LINES}, shown string" if shown else LINES
+    schema = f"{LINES}, shown string, on_page int, n_pages int" if shown else LINES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 blocks = paragraphs(text or "", style)
-                for n, page in enumerate(paginate(blocks, geometry, widow)):
-                    for p in page.lines:
+                pages = paginate(blocks, geometry, widow)
+                for n, page in enumerate(pages):
+                    for k, p in enumerate(page.lines):
                         x = p.line
                         row = (doc_id, n, p.block, p.index, x.start, x.end, x.gaps, x.broken, milli(x.width), milli(p.x), milli(p.y))
-                        rows.append((*row, text_between(blocks[p.block].runs[0].text, x.start, x.end)) if shown else row)
+                        rows.append((*row, text_between(blocks[p.block].runs[0].text, x.start, x.end), k, len(pages)) if shown else row)
                 if len(rows) > 50_000:
                     yield batch_of(rows)
                     rows = []
             yield batch_of(rows)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 3, *[pa.string()] * shown]
+        kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 3, *[pa.string(), pa.int32(), pa.int32()] * shown]
         cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 

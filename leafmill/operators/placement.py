@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.relational import LINE_ORDER, table
+from leafmill.plans.session import ship
 
 
 # ---- lines beside floats
@@ -76,20 +80,33 @@ SELECT doc_id, section, d AS default_ref, coalesce(f, d) AS first_ref, coalesce(
 """
 
 
-def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First physical page of each section: one that must begin on an even or odd page puts a blank page before it where it would not."""
-    s = _sections(spark, sf_dir)
-    lists = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "start", "n_pages"))).alias("s"))
-    empty = F.array().cast("array<struct<section:bigint,first_page:bigint,blank:boolean>>")
+def section_starts(sections: DataFrame) -> DataFrame:
+    """(doc_id, section, first_page, blank) of sections (doc_id, section, start, n_pages): one that must begin on an even or odd page puts a blank page before it where it would not.
+
+    Each page number hangs on the one before, so a document's sections stream through one task in order; none is gathered.
+    """
+    ship(sections.sparkSession)
 
-    def step(acc: Column, x: Column) -> Column:
-        blank = ((x["start"] == "evenPage") & (acc["next"] % 2 == 1)) | ((x["start"] == "oddPage") & (acc["next"] % 2 == 0))
-        at = acc["next"] + blank.cast("long")
-        row = F.struct(x["section"].alias("section"), at.alias("first_page"), blank.alias("blank"))
-        return F.struct((at + x["n_pages"]).alias("next"), F.array_append(acc["out"], row).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, page = object(), 1
+        for b in batches:
+            firsts, blanks = [], []
+            for d, start, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "n_pages")), strict=True):
+                page, doc = page if d == doc else 1, d
+                blank = (start == "evenPage" and page % 2 == 1) or (start == "oddPage" and page % 2 == 0)
+                page += blank
+                firsts.append(page)
+                blanks.append(blank)
+                page += n
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("section"), pa.array(firsts, pa.int64()), pa.array(blanks, pa.bool_())], ["doc_id", "section", "first_page", "blank"])
 
-    out = lists.select("doc_id", F.aggregate("s", F.struct(F.lit(1).cast("long").alias("next"), empty.alias("out")), step)["out"].alias("out"))
-    return out.select("doc_id", F.inline("out"))
+    rows = sections.select("doc_id", "section", "start", "n_pages").repartition("doc_id").sortWithinPartitions("doc_id", "section")
+    return rows.mapInArrow(run, "doc_id long, section long, first_page long, blank boolean")
+
+
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First physical page of each section."""
+    return section_starts(_sections(spark, sf_dir))
 
 
 PAGES_SQL = f"""
@@ -110,6 +127,10 @@ def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(inherited_furniture(spark, sf_dir), ["doc_id", "section"]).select("doc_id", "section", "page", variant.alias("header"))
 
 
+PAGE_FURNITURE_SQL = PAGES_SQL[: PAGES_SQL.rindex("SELECT")] + """, c AS (SELECT doc_id, section, max(d) OVER w AS d, max(f) OVER w AS f, max(e) OVER w AS e, n_pages AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY section)),
+g AS (SELECT r.doc_id, r.section, r.first_page, c.d, c.f, c.e, unnest(generate_series(CAST(r.first_page AS BIGINT), CAST(r.first_page + c.n - 1 AS BIGINT))) AS page FROM r JOIN c ON c.doc_id = r.doc_id AND c.section = r.section)
+SELECT doc_id, section, page, CASE WHEN page = first_page THEN coalesce(f, d) WHEN page % 2 = 0 THEN coalesce(e, d) ELSE d END AS header FROM g"""
+
 # ---- formats of cells
 
 #: Conditional formats in the order in which later ones win.
@@ -203,7 +224,7 @@ QUERIES = {
     "lines_beside_floats": (lines_beside_floats, FLOATS_SQL),
     "inherited_furniture": (inherited_furniture, FURNITURE_SQL),
     "section_pages": (section_pages, PAGES_SQL),
-    "page_furniture": (page_furniture, None),
+    "page_furniture": (page_furniture, PAGE_FURNITURE_SQL),
     "cell_conditions": (cell_conditions, CELLS_SQL),
     "cell_borders": (cell_borders, BORDERS_SQL),
     "positions": (positions, POSITIONS_SQL),

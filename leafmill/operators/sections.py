@@ -34,6 +34,8 @@ class Section:
     line_numbers: LineNumbers | None = None
     border_from: str | None = None  # page, text
     border: dict[str, float] = field(default_factory=dict)  # side -> gap to the rule's centre
+    border_rules: dict = field(default_factory=dict)  # side -> rule
+    number_size: float = 16.0  # of line numbers
 
 
 def shown(n: int, style: str) -> str:
@@ -72,7 +74,7 @@ def variant(s: Section, furniture: dict[str, list], index: int, number: int) ->
 
 
 def moved(lines: list[PlacedLine], x: float, y: float) -> list[PlacedLine]:
-    return [PlacedLine(p.block, p.index, p.line, p.x + x, p.y + y, p.height, p.baseline, p.spacing) for p in lines]
+    return [p.moved(x, y) for p in lines]
 
 
 def place_notes(pager: Pager, pages: list[Page]) -> None:
@@ -82,18 +84,19 @@ def place_notes(pager: Pager, pages: list[Page]) -> None:
     at = 0
     while at < len(pages) or owed:
         if at == len(pages):
-            pages.append(Page())
+            pages.append(Page(limits=pager.limits_of(at)))
         page = pages[at]
+        top, foot = page.limits
         for n in page.notes:
             owed += stack(pager.note_blocks.get(n, []), width)[0]
-        used = max([g.top, *(p.y + p.height for p in page.lines), *(r.y + r.height for r in page.rows)])
-        room = max(0.0, pager.page_foot - used) - pager.separator(page.notes[0] if page.notes else None)
+        used = max([top, *(p.y + p.height for p in page.lines), *(r.y + r.height for r in page.rows)])
+        room = max(0.0, foot - used) - pager.separator(page.notes[0] if page.notes else None)
         taken, height = 0, 0.0
         while taken < len(owed) and (taken == 0 or height + owed[taken].height <= room):
             height += owed[taken].height
             taken += 1
         if taken:
-            y = pager.page_foot - height
+            y = foot - height
             page.rule = y - RULE_GAP
             for p in owed[:taken]:
                 page.footnotes += moved([replace(p, y=0.0)], g.left, y)
@@ -102,6 +105,23 @@ def place_notes(pager: Pager, pages: list[Page]) -> None:
         at += 1
 
 
+def limits_of(s: Section, first: int, total: int):
+    """Where the text of each page of a section may begin and must end: the margins, or a header or footer that is taller."""
+    g, heights = s.geometry, {}
+
+    def height(furniture: dict[str, list], k: int) -> float:
+        blocks = variant(s, furniture, k, first + k)
+        if blocks and id(blocks) not in heights:
+            heights[id(blocks)] = stack(with_fields(blocks, first + k, total, s.numerals), g.width - g.left - g.right)[2]
+        return heights[id(blocks)] if blocks else 0.0
+
+    def limits(k: int) -> tuple[float, float]:
+        head, foot = height(s.headers, k), height(s.footers, k)
+        return max(g.top, s.header_at + head) if head else g.top, min(g.height - g.bottom, g.height - s.footer_at - foot) if foot else g.height - g.bottom
+
+    return limits
+
+
 def _run(sections: list[Section], widow: bool, total: int | None) -> list[Page]:
     pages: list[Page] = []
     for k, s in enumerate(sections):
@@ -110,7 +130,7 @@ def _run(sections: list[Section], widow: bool, total: int | None) -> list[Page]:
             pages.append(Page(number=len(pages) + 1, section=k - 1))
         first = len(pages) + 1 if s.first_number is None else s.first_number
         body = with_fields(s.blocks, first, total or 1, s.numerals) if total or any(isinstance(b, Paragraph) and any(r.field for r in b.runs) for b in s.blocks) else s.blocks
-        pager = Pager(body, s.geometry, widow, s.notes)
+        pager = Pager(body, s.geometry, widow, s.notes, limits_of(s, first, total or 1))
         laid = pager.run()
         if s.notes:
             place_notes(pager, laid)
@@ -127,8 +147,9 @@ def _run(sections: list[Section], widow: bool, total: int | None) -> list[Page]:
             width, count = g.width - g.left - g.right, total or len(pages)
             for blocks, at, keep in ((variant(s, s.headers, i, page.number), lambda h, s=s: s.header_at, page.header), (variant(s, s.footers, i, page.number), lambda h, s=s, g=g: g.height - s.footer_at - h, page.footer)):
                 if blocks:
-                    lines, _, height = stack(with_fields(blocks, page.number, count, s.numerals), width)
+                    lines, rows, height = stack(with_fields(blocks, page.number, count, s.numerals), width)
                     keep += moved(lines, g.left, at(height))
+                    page.furniture_rows += [replace(r, x=r.x + g.left, y=r.y + at(height)) for r in rows]
     return pages
 
 

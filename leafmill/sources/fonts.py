@@ -75,7 +75,7 @@ class Font:
         for c in set(characters):
             by_glyph.setdefault(self.glyph(ord(c)), []).append(c)
         pairs = {(a, b): v for (x, y), v in self.pairs.items() if x in by_glyph and y in by_glyph for a in by_glyph[x] for b in by_glyph[y]}
-        return Face(self.em, self.advances[0], self.ascent, -self.descent, self.gap, {c: self.advance(ord(c)) for c in set(characters)}, pairs)
+        return Face(self.em, self.advances[0], self.ascent, -self.descent, self.gap, {c: self.advance(ord(c)) for c in set(characters)}, pairs, (self.underline_thickness / 2 - self.underline, self.underline_thickness), (self.strikeout, self.strikeout_thickness))
 
 
 def tables_of(raw: bytes) -> dict[str, Bytes]:

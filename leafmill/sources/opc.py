@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.plans.grouped import in_groups
 from leafmill.plans.session import ship
 from leafmill.sources import xml
 
@@ -163,14 +164,17 @@ def saved(rows: DataFrame, replacements: DataFrame) -> DataFrame:
     new = replacements.select("doc", "name", F.col("content").alias("new"))
     both = rows.where("error is null").join(new, ["doc", "name"], "left")
 
-    def run(group: pa.Table) -> pa.Table:
+    columns = ["doc", "ord", "name", "method", "crc", "size", "time", "date", "attributes", "data", "new"]
+
+    def make(doc: str, group: dict[str, list]) -> list[tuple]:
         found = []
-        for r in group.sort_by("ord").to_pylist():
-            p = Part(r["name"], r["method"], r["crc"], r["size"], r["data"], r["time"], r["date"], r["attributes"])
-            found.append(p if r["new"] is None else stored(p.name, r["new"], p.time, p.date, p.attributes))
-        return pa.table({"doc": pa.array([group.column("doc")[0].as_py()], pa.string()), "content": pa.array([write_parts(found)], pa.binary())})
+        for _, _, name, method, crc, size, time, date, attributes, data, new_content in zip(*(group[c] for c in columns), strict=True):
+            p = Part(name, method, crc, size, data, time, date, attributes)
+            found.append(p if new_content is None else stored(name, new_content, time, date, attributes))
+        return [(doc, write_parts(found))]
 
-    return both.groupBy("doc").applyInArrow(run, "doc string, content binary")
+    # one function a partition, not one call a package
+    return in_groups(both.select(*columns), "doc", ["ord"], make, ["doc", "content"], (pa.string(), pa.binary()), "doc string, content binary", at_once=200)
 
 
 # ---- relationships

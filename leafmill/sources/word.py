@@ -6,25 +6,28 @@ explicit off is a value of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.operators.flow import milli
-from leafmill.operators.lines import Paragraph, Run, Stop, Tabs
-from leafmill.operators.pages import Cell, Geometry, Page, Row, Table, natural
+from leafmill.operators.display import Op, Painter, shown_lines
+from leafmill.operators.flow import milli, text_between
+from leafmill.operators.lines import MONO, Face, Look, Paragraph, Run, Stop, Tabs, Text
+from leafmill.operators.pages import Cell, Geometry, Page, Row, Rule, Table, natural, standoff
 from leafmill.operators.sections import LineNumbers, Section, layout_sections, shown
 from leafmill.plans.session import ship
 from leafmill.sources import opc, xml
 
 #: Pixels of a twip and of a half point; script size, rise and drop; small capitals; the page that is not stated, in twips.
 TWIP, HALF_POINT = 96 / 1440, 96 / 144
-SCRIPT, SMALL_CAPS = 0.58, 0.8
+SCRIPT, SUPER_RISE, SUB_DROP, SMALL_CAPS = 0.58, 0.395, 0.09, 0.8
 PAGE_WIDTH, PAGE_HEIGHT, PAGE_MARGIN = 11906, 16838, 1440
 #: Spaces that built-in headings have where none is stated, and size of runs where a styles part states none, in half points.
-HEADING_BEFORE, HEADING_AFTER, UNSTATED_SIZE = 240, 120, 20
+HEADING_BEFORE, HEADING_AFTER, UNSTATED_SIZE, UNSTATED_FAMILY = 240, 120, 20, "Liberation Serif"
 CELL_MARGIN = 115
 #: Fixed value: how far line numbers stand off where nothing says, half a centimetre in pixels.
 LINE_NUMBER_GAP = 0.5 / 2.54 * 96
@@ -61,8 +64,8 @@ def paragraph_properties(t: xml.Tree, n: xml.Node | None) -> dict:
     tabs = t.child(n, "tabs")
     stops = None
     if tabs is not None:
-        found = [(number(t, s, "pos"), STOPS.get(t.attribute(s, "val", ""))) for s in t.children(tabs, "tab")]
-        stops = tuple(sorted((at, kind) for at, kind in found if at is not None and kind))
+        found = [(number(t, s, "pos"), STOPS.get(t.attribute(s, "val", "")), t.attribute(s, "leader")) for s in t.children(tabs, "tab")]
+        stops = tuple(sorted((x for x in found if x[0] is not None and x[1]), key=lambda x: x[0]))
     rule = t.attribute(spacing, "lineRule")
     return stated(
         before=number(t, spacing, "before"), after=number(t, spacing, "after"), line=number(t, spacing, "line"), rule=rule if rule in ("auto", "exact", "atLeast") else None,
@@ -72,6 +75,39 @@ def paragraph_properties(t: xml.Tree, n: xml.Node | None) -> dict:
     )
 
 
+#: How underlines and rules are drawn, by their names; what is not named is single, and solid. Colours of highlights.
+UNDERLINES = {"double": "double", "wavyDouble": "double", "dotted": "dotted", "dottedHeavy": "dotted", "dash": "dashed", "dashedHeavy": "dashed", "dashLong": "dashed", "dotDash": "dashed", "dotDotDash": "dashed"}
+RULES = {"dashed": "dashed", "dashSmallGap": "dashed", "dotted": "dotted", "dotDash": "dashed", "dotDotDash": "dashed", "double": "double", "triple": "double"}
+HIGHLIGHTS = {
+    "black": "#000000", "blue": "#0000FF", "cyan": "#00FFFF", "darkBlue": "#000080", "darkCyan": "#008080", "darkGray": "#808080", "darkGreen": "#008000", "darkMagenta": "#800080", "darkRed": "#800000", "darkYellow": "#808000",
+    "green": "#00FF00", "lightGray": "#C0C0C0", "magenta": "#FF00FF", "red": "#FF0000", "white": "#FFFFFF", "yellow": "#FFFF00",
+}
+
+
+def color_of(t: xml.Tree, n: xml.Node | None, name: str, auto: str | None = None) -> str | None:
+    """A stated colour; auto where it says so."""
+    value = t.attribute(n, name)
+    return None if value is None else auto if value == "auto" else f"#{value}"
+
+
+def underline_of(t: xml.Tree, n: xml.Node | None) -> tuple[str, str | None] | None:
+    value = t.attribute(n, "val")
+    return None if value in (None, "none") else (UNDERLINES.get(value, "single"), color_of(t, n, "color"))
+
+
+def strike_of(t: xml.Tree, n: xml.Node) -> str | None:
+    return "double" if toggle(t, n, "dstrike") else "single" if toggle(t, n, "strike") else None
+
+
+def rule_of(t: xml.Tree, n: xml.Node | None) -> Rule | None:
+    """A border's side; nil and none state nothing."""
+    value = t.attribute(n, "val")
+    if value in (None, "nil", "none"):
+        return None
+    width = number(t, n, "sz")
+    return Rule((width if width and width > 0 else RULE_EIGHTHS) / 8 * 96 / 72, (number(t, n, "space") or 0) * 96 / 72, color_of(t, n, "color", "#000000") or "#000000", RULES.get(value, "solid"))
+
+
 def run_properties(t: xml.Tree, n: xml.Node | None) -> dict:
     if n is None:
         return {}
@@ -80,10 +116,17 @@ def run_properties(t: xml.Tree, n: xml.Node | None) -> dict:
     return stated(
         family=t.attribute(fonts, "ascii") or t.attribute(fonts, "hAnsi"), size=number(t, t.child(n, "sz"), "val"), bold=toggle(t, n, "b"), italic=toggle(t, n, "i"),
         caps=toggle(t, n, "caps"), small_caps=toggle(t, n, "smallCaps"), hidden=toggle(t, n, "vanish"), spacing=number(t, t.child(n, "spacing"), "val"),
-        script=script if script in ("superscript", "subscript", "baseline") else None,
+        script=script if script in ("superscript", "subscript", "baseline") else None, position=number(t, t.child(n, "position"), "val"),
+        color=color_of(t, t.child(n, "color"), "val", "#000000"), underline=underline_of(t, t.child(n, "u")), strike=strike_of(t, n), kerned=kerned_of(t, t.child(n, "kern")),
+        highlight=HIGHLIGHTS.get(t.attribute(t.child(n, "highlight"), "val", "")) or color_of(t, t.child(n, "shd"), "fill"),
     )
 
 
+def kerned_of(t: xml.Tree, n: xml.Node | None) -> bool | None:
+    """Kerning is on from a size on; from 0 it is off."""
+    return None if n is None else (1 if number(t, n, "val") is None else number(t, n, "val")) > 0
+
+
 @dataclass
 class Style:
     id: str
@@ -93,6 +136,8 @@ class Style:
     paragraph: dict
     run: dict
     num: tuple[str | None, int | None]
+    table: xml.Node | None = None  # properties of tables
+    conditions: dict[str, tuple[dict, dict, xml.Node | None]] = field(default_factory=dict)  # paragraph, run and cell properties of parts of a table
 
 
 @dataclass
@@ -101,6 +146,19 @@ class Styles:
     default: dict[str, str] = field(default_factory=dict)
     paragraph: dict = field(default_factory=dict)
     run: dict = field(default_factory=dict)
+    tree: xml.Tree | None = None
+
+    def table_chain(self, style: str | None) -> list[Style]:
+        return [s for s in self.chain(style) if s.kind == "table"]
+
+    def conditions(self, style: str | None) -> dict[str, tuple[dict, dict, xml.Node | None]]:
+        """Of each part of a table what the style and those it is based on state; cell properties are those of the nearest."""
+        out: dict[str, tuple[dict, dict, xml.Node | None]] = {}
+        for s in self.table_chain(style):
+            for part, (p, r, cell) in s.conditions.items():
+                under = out.get(part, ({}, {}, None))
+                out[part] = (under[0] | p, under[1] | r, cell or under[2])
+        return out
 
     def chain(self, style: str | None) -> list[Style]:
         """The style and what it is based on, root first; a missing style or a circle ends the way."""
@@ -116,15 +174,26 @@ SIDES = {"top": "top", "left": "left", "start": "left", "bottom": "bottom", "rig
 RULE_EIGHTHS = 4
 
 
-def borders_of(t: xml.Tree, n: xml.Node | None) -> dict[str, tuple[float, float]]:
-    """Side -> (width, space) in pixels; nil and none are no border."""
-    out = {}
-    for c in t.children(n) if n else []:
-        side = SIDES.get(c.name.rsplit(":", 1)[-1])
-        if side and t.attribute(c, "val", "none") not in ("nil", "none"):
-            width = number(t, c, "sz")
-            out[side] = ((RULE_EIGHTHS if width is None else width) / 8 * 96 / 72, (number(t, c, "space") or 0) * 96 / 72)
-    return out
+def borders_of(t: xml.Tree, n: xml.Node | None, sides: dict[str, str] = SIDES) -> dict[str, Rule]:
+    """Side -> rule of what states one."""
+    found = [(sides.get(c.name.rsplit(":", 1)[-1]), rule_of(t, c)) for c in (t.children(n) if n else [])]
+    return {side: rule for side, rule in found if side and rule}
+
+
+#: Names of a table's border sides.
+TABLE_SIDES = {"top": "top", "left": "left", "start": "left", "bottom": "bottom", "right": "right", "end": "right", "insideH": "inside_h", "insideV": "inside_v"}
+#: The look of a table that states none, and its bits.
+LOOK, FIRST_ROW, LAST_ROW, FIRST_COLUMN, LAST_COLUMN, NO_ROW_BANDS, NO_COLUMN_BANDS = 0x1E0, 0x20, 0x40, 0x80, 0x100, 0x200, 0x400
+
+
+def parts_of(look: int, row: int, rows: int, column: int, columns: int) -> list[str]:
+    """The parts of a table that a cell belongs to, in the order in which later ones win."""
+    edge = lambda bit, at, n: bool(look & bit) and at == n
+    first_row, last_row = edge(FIRST_ROW, row, 0), edge(LAST_ROW, row, rows - 1)
+    first_col, last_col = edge(FIRST_COLUMN, column, 0), edge(LAST_COLUMN, column, columns - 1)
+    band = lambda off, at, first, kind: [] if off else [f"band{1 + (at - bool(first)) % 2}{kind}"]
+    bands = band(look & NO_ROW_BANDS or first_row or last_row, row, look & FIRST_ROW, "Horz") + band(look & NO_COLUMN_BANDS or first_col or last_col, column, look & FIRST_COLUMN, "Vert")
+    return bands + [name for name, on in (("firstCol", first_col), ("lastCol", last_col), ("lastRow", last_row), ("firstRow", first_row)) if on]
 
 
 def list_of(t: xml.Tree, n: xml.Node | None) -> tuple[str | None, int | None]:
@@ -137,14 +206,16 @@ def read_styles(content: str | None) -> Styles:
     if content is None:
         return Styles(run={"size": 22.0})
     t = xml.parse(content)
-    out = Styles(run={"size": float(UNSTATED_SIZE)})
+    out = Styles(run={"size": float(UNSTATED_SIZE), "family": UNSTATED_FAMILY}, tree=t)
     for d in t.elements("docDefaults"):
         out.paragraph = paragraph_properties(t, t.child(t.child(d, "pPrDefault"), "pPr"))
         out.run |= run_properties(t, t.child(t.child(d, "rPrDefault"), "rPr"))
     for s in t.elements("style"):
         id_, kind = t.attribute(s, "styleId", ""), t.attribute(s, "type", "paragraph")
         p = t.child(s, "pPr")
-        out.by_id[id_] = Style(id_, t.attribute(t.child(s, "name"), "val", ""), kind, t.attribute(t.child(s, "basedOn"), "val"), paragraph_properties(t, p), run_properties(t, t.child(s, "rPr")), list_of(t, p))
+        out.by_id[id_] = Style(id_, t.attribute(t.child(s, "name"), "val", ""), kind, t.attribute(t.child(s, "basedOn"), "val"), paragraph_properties(t, p), run_properties(t, t.child(s, "rPr")), list_of(t, p), t.child(s, "tblPr"))
+        for c in t.children(s, "tblStylePr"):
+            out.by_id[id_].conditions[t.attribute(c, "type", "")] = (paragraph_properties(t, t.child(c, "pPr")), run_properties(t, t.child(c, "rPr")), t.child(c, "tcPr"))
         if t.attribute(s, "default") in ("1", "true"):
             out.default[kind] = id_
     return out
@@ -161,6 +232,9 @@ class Level:
     restart: int | None
     left: float | None
     hanging: float | None
+    suffix: str = "tab"  # space, nothing
+    justification: str = "left"
+    family: str | None = None
 
 
 @dataclass
@@ -178,7 +252,7 @@ def read_level(t: xml.Tree, n: xml.Node) -> Level:
     value = lambda name: t.attribute(t.child(n, name), "val")
     indent = t.child(t.child(n, "pPr"), "ind")
     restart = value("lvlRestart")
-    return Level(int(value("start") or 1), value("numFmt") or "decimal", value("lvlText") or "", None if restart is None else int(restart), number(t, indent, "left"), number(t, indent, "hanging"))
+    return Level(int(value("start") or 1), value("numFmt") or "decimal", value("lvlText") or "", None if restart is None else int(restart), number(t, indent, "left"), number(t, indent, "hanging"), value("suff") or "tab", {"right": "right", "end": "right", "center": "center"}.get(value("lvlJc") or "", "left"), t.attribute(t.child(t.child(n, "rPr"), "rFonts"), "ascii"))
 
 
 def read_lists(content: str | None) -> Lists:
@@ -261,8 +335,9 @@ def field_of(instruction: str) -> tuple[str | None, str | None]:
 
 
 class Reader:
-    def __init__(self, styles: Styles, lists: Lists, parts: dict[str, str] | None = None, footnotes: str | None = None, endnotes: str | None = None, settings: str | None = None):
-        """parts: content of headers and footers by relationship id."""
+    def __init__(self, styles: Styles, lists: Lists, parts: dict[str, str] | None = None, footnotes: str | None = None, endnotes: str | None = None, settings: str | None = None, faces: dict[tuple[str, bool, bool], Face] | None = None):
+        """parts: content of headers and footers by relationship id. faces: by family (in lower case), bold, italic; what is missing is set in the monospaced face."""
+        self.faces, self.lent = faces or {}, ({}, {})  # paragraph and run properties that a table's style lends to its cells
         self.styles, self.lists, self.counters = styles, lists, Counters(lists)
         self.parts, self.bodies = parts or {}, {"footnote": footnotes, "endnote": endnotes}
         self.notes: list[tuple[str, str]] = []
@@ -328,6 +403,9 @@ class Reader:
             for r in refs[kind].values():
                 if r not in self.parts:
                     self.note("missing part", r)
+        if borders := borders_of(t, edge := t.child(n, "pgBorders")):
+            s.border_from = "page" if t.attribute(edge, "offsetFrom") == "page" else "text"
+            s.border, s.border_rules = {side: standoff(rule) for side, rule in borders.items()}, borders
         if lines is not None:
             s.line_numbers = LineNumbers(t.attribute(lines, "restart", "newPage"), int(number(t, lines, "start") or 0), int(number(t, lines, "countBy") or 1), LINE_NUMBER_GAP if number(t, lines, "distance") is None else number(t, lines, "distance") * TWIP)
         return s
@@ -387,17 +465,20 @@ class Reader:
         style = t.attribute(t.child(p, "pStyle"), "val")
         style = style if style in self.styles.by_id else self.styles.default.get("paragraph")
         chain = self.styles.chain(style)
-        props, run = dict(self.styles.paragraph), dict(self.styles.run)
-        num, level = None, None
+        props, run = self.styles.paragraph | self.lent[0], self.styles.run | self.lent[1]
+        num, level, marker = None, None, None
         for s in chain:
             props |= s.paragraph
             run |= s.run
             num, level = s.num[0] or num, s.num[1] if s.num[1] is not None else level
         own_num, own_level = list_of(t, p)
-        num, level = own_num or num, own_level if own_level is not None else level
-        if num and num != "0" and (info := self.lists.level(num, level or 0)):
+        num, level = own_num or num, own_level if own_level is not None or own_num else level
+        info = self.lists.level(num, level or 0) if num and num != "0" else None
+        if info:
             props |= stated(left=info.left, first=None if info.hanging is None else -info.hanging)
-            self.markers[at] = self.counters.marker(num, level or 0)
+            self.markers[at] = marker = self.counters.marker(num, level or 0)
+        elif num and num != "0":
+            self.note("unknown list", num)
         props |= paragraph_properties(t, p)
         if chain and chain[-1].name.lower().startswith("heading ") and chain[-1].name[8:] in tuple("123456789") and "before" not in props and "after" not in props:
             props |= {"before": HEADING_BEFORE, "after": HEADING_AFTER}
@@ -406,16 +487,33 @@ class Reader:
         for k, runs in enumerate(parts):
             s = pixels(props, self.step)
             if props.get("line") and props.get("rule", "auto") == "auto":  # a multiple of single spacing, in 240ths
-                s |= {"line_height": natural(runs or [Run("", run["size"] * HALF_POINT)])[0] * props["line"] / 240, "line_rule": "auto"}
+                s |= {"line_height": natural(runs or [self.run("", run)])[0] * props["line"] / 240, "line_rule": "auto"}
+            if marker and not k:
+                self.place_marker(s, info, self.run(marker, run | ({"family": info.family} if info.family else {})))
             if borders := borders_of(t, t.child(p, "pBdr")):  # stated on the paragraph itself only
                 s["borders"] = borders
             if k:
                 s |= {"before": 0.0, "indent_first": 0.0, "break_before": True}
             if k < len(parts) - 1:
                 s |= {"after": 0.0, "keep_next": False}
-            out.append((Paragraph(runs or [Run("", run["size"] * HALF_POINT)], s), style))
+            out.append((Paragraph(runs or [self.run("", run)], s), style))
         return out
 
+    def place_marker(self, s: dict, level: Level, run: Run) -> None:
+        """Puts a list's marker beside the paragraph of style s, and its text behind it: at the stop that a tab leads to, after a space, or at once."""
+        indent, hanging = s["indent_left"], max(0.0, -s["indent_first"])
+        width = Text([run]).sums[-1]
+        left = indent - hanging - {"right": width, "center": width / 2}.get(level.justification, 0.0)
+        behind = left + width
+        if level.suffix == "tab":
+            tabs = s.get("tabs") or Tabs((), self.step)
+            stops = [x.at for x in tabs.stops if x.at >= behind] or [math.ceil(behind / self.step) * self.step if self.step > 0 else behind]
+            begin = min([*stops, *([indent] if indent >= behind else [])])
+        else:
+            begin = max(indent, behind + (Text([replace(run, text=" ")]).sums[-1] if level.suffix == "space" else 0.0))
+        s["marker"] = (run, indent - left)
+        s["indent_first"] = math.floor((begin - indent) / TWIP + 0.5) * TWIP
+
     def runs(self, n: xml.Node, base: dict) -> list[list[Run]]:
         t, parts, state, instruction = self.t, [[]], "", ""
         runs = []
@@ -478,53 +576,117 @@ class Reader:
             self.add(parts[-1], text, props)
         return parts
 
+    def run(self, text: str, props: dict, scale: float = 1.0, **what) -> Run:
+        """A run of a text as its properties say."""
+        size, script = props["size"] * HALF_POINT, props.get("script")
+        bold, italic, family = bool(props.get("bold")), bool(props.get("italic")), props.get("family")
+        rise = (props.get("position") or 0) * HALF_POINT + {"superscript": size * SUPER_RISE, "subscript": -size * SUB_DROP}.get(script, 0.0)
+        look = Look(props.get("color"), props.get("highlight"), props.get("underline"), props.get("strike"), family, bold, italic)
+        face = self.faces.get(((family or "").strip().lower(), bold, italic), MONO)
+        return Run(text, size * (SCRIPT if script in ("superscript", "subscript") else 1.0) * scale, face, (props.get("spacing") or 0) * TWIP, bool(props.get("kerned")), look=look, rise=rise, **what)
+
     def add(self, runs: list[Run], text: str, props: dict, **what) -> None:
         if not text:
             return
-        size = props["size"] * HALF_POINT * (SCRIPT if props.get("script") in ("superscript", "subscript") else 1.0)
-        spacing = (props.get("spacing") or 0) * TWIP
-        if what:
-            runs.append(Run(text, size, spacing=spacing, **what))
+        if what or not (props.get("caps") or props.get("small_caps")):
+            runs.append(self.run(text, props, **what))
         elif props.get("caps"):
-            runs.append(Run(text.upper(), size, spacing=spacing))
-        elif props.get("small_caps"):
-            at = 0
-            while at < len(text):
-                small, end = text[at] != text[at].upper(), at
-                while end < len(text) and (text[end] != text[end].upper()) == small:
-                    end += 1
-                runs.append(Run(text[at:end].upper(), size * (SMALL_CAPS if small else 1.0), spacing=spacing))
-                at = end
+            runs.append(self.run(text.upper(), props))
         else:
-            runs.append(Run(text, size, spacing=spacing))
+            for small, letters in groupby(text, lambda c: c != c.upper()):
+                runs.append(self.run("".join(letters).upper(), props, SMALL_CAPS if small else 1.0))
 
     def table(self, n: xml.Node) -> Table:
         t, p = self.t, self.t.child(n, "tblPr")
-        widths = [(number(t, c, "w") or 0) * TWIP for c in t.children(t.child(n, "tblGrid"), "gridCol")] if t.child(n, "tblGrid") else []
-        rows = []
-        for r in self.through(n):
-            if r.name.rsplit(":", 1)[-1] != "tr":
-                continue
+        style, outer = t.attribute(t.child(p, "tblStyle"), "val"), self.lent
+        chain = self.styles.table_chain(style)
+        levels = [(self.styles.tree, s.table) for s in chain] + [(t, p)]
+        self.lent = tuple({k: v for s in chain for k, v in getattr(s, kind).items()} for kind in ("paragraph", "run"))
+        conditions = self.styles.conditions(style)
+        try:
+            look = int(t.attribute(t.child(p, "tblLook"), "val", ""), 16)
+        except ValueError:
+            look = LOOK
+        grid = [number(t, c, "w") or 0.0 for c in t.children(t.child(n, "tblGrid"), "gridCol")] if t.child(n, "tblGrid") else []
+        width = t.child(p, "tblW")
+        kind, asked = t.attribute(width, "type", ""), number(t, width, "w")
+        rows, found = [r for r in self.through(n) if r.name.rsplit(":", 1)[-1] == "tr"], []
+        for r in rows:
             rp, cells = t.child(r, "trPr"), []
-            for c in self.through(r):
-                if c.name.rsplit(":", 1)[-1] != "tc":
-                    continue
-                cp, blocks = t.child(c, "tcPr"), []
-                for b in self.through(c):
-                    kind = b.name.rsplit(":", 1)[-1]
-                    if kind == "p":
-                        blocks += [x for x, _ in self.paragraph(b, -1)]
-                    elif kind == "tbl":
-                        blocks.append(self.table(b))
-                merge = t.child(cp, "vMerge")
-                cells.append(Cell(blocks, int(number(t, t.child(cp, "gridSpan"), "val") or 1), None if merge is None else t.attribute(merge, "val", "continue"), t.attribute(t.child(cp, "vAlign"), "val", "top")))
+            for c in (c for c in self.through(r) if c.name.rsplit(":", 1)[-1] == "tc"):
+                cells.append(self.cell(c, [conditions[k] for k in parts_of(look, len(found), len(rows), len(cells), len(grid)) if k in conditions]))
             height = t.child(rp, "trHeight")
             stated_height = number(t, height, "val")
-            rows.append(Row(cells, toggle(t, rp, "tblHeader") or False, toggle(t, rp, "cantSplit") or False, None if stated_height is None else stated_height * TWIP, t.attribute(height, "hRule") == "exact"))
+            found.append(Row(cells, toggle(t, rp, "tblHeader") or False, toggle(t, rp, "cantSplit") or False, None if stated_height is None else stated_height * TWIP, t.attribute(height, "hRule") == "exact"))
         self.markers.pop(-1, None)
-        width = t.child(p, "tblW")
-        kind, asked = t.attribute(width, "type", ""), number(t, width, "w")
-        return Table(rows, widths, (CELL_MARGIN * TWIP, CELL_MARGIN * TWIP, 0.0, 0.0), preferred=asked * TWIP if kind == "dxa" and asked else None, fraction=asked / 5000 if kind == "pct" and asked else None, alignment={"center": "center", "right": "right", "end": "right"}.get(t.attribute(t.child(p, "jc"), "val", ""), "left"))
+        self.lent = outer
+        margins = [CELL_MARGIN, CELL_MARGIN, 0.0, 0.0]
+        for tree, level in levels:
+            own = margins_of(tree, tree.child(level, "tblCellMar")) if tree else {}
+            margins = [own.get(side, m) for side, m in zip(MARGINS, margins, strict=True)]
+        for r in found:
+            for c in r.cells:
+                if c.margins:  # what a cell does not state is its table's
+                    c.margins = tuple((m if own is None else own) * TWIP for own, m in zip(c.margins, margins, strict=True))
+        borders: dict[str, Rule] = {}
+        for tree, level in levels:
+            borders |= borders_of(tree, tree.child(level, "tblBorders"), TABLE_SIDES) if tree else {}
+        indent = t.child(p, "tblInd")
+        return Table(
+            found, [w * TWIP for w in self.column_widths(rows, grid, asked if kind == "dxa" else None)], tuple(m * TWIP for m in margins), borders, color_of(t, t.child(p, "shd"), "fill"),
+            preferred=asked * TWIP if kind == "dxa" and asked else None, fraction=asked / 5000 if kind == "pct" and asked else None,
+            alignment={"center": "center", "right": "right", "end": "right"}.get(t.attribute(t.child(p, "jc"), "val", ""), "left"),
+            indent=None if indent is None else (number(t, indent, "w") or 0) * TWIP if t.attribute(indent, "type", "dxa") == "dxa" else 0.0,
+        )
+
+    def cell(self, n: xml.Node, applying: list[tuple[dict, dict, xml.Node | None]]) -> Cell:
+        """A cell; applying: what the parts of the table that it belongs to lend it, the last one winning."""
+        t, p, outer = self.t, self.t.child(n, "tcPr"), self.lent
+        for paragraph, run, _ in applying:
+            self.lent = (self.lent[0] | paragraph, self.lent[1] | run)
+        blocks, names = [], []
+        for b in self.through(n):
+            kind = b.name.rsplit(":", 1)[-1]
+            if kind == "p":
+                for x, style in self.paragraph(b, -1):
+                    blocks.append(x)
+                    names.append(style)
+            elif kind == "tbl":
+                blocks.append(self.table(b))
+                names.append(None)
+        self.contextual(blocks, names)
+        self.lent = outer
+        borders, fill, styles = {}, None, self.styles.tree
+        for tree, props in [*((styles, cell) for _, _, cell in applying), (t, p)]:
+            if props is not None:
+                borders |= borders_of(tree, tree.child(props, "tcBorders"), TABLE_SIDES)
+                fill = color_of(tree, tree.child(props, "shd"), "fill") or fill
+        margins, merge = margins_of(t, t.child(p, "tcMar")), t.child(p, "vMerge")
+        merged = None if merge is None else "restart" if t.attribute(merge, "val") == "restart" else "continue"
+        return Cell(blocks, int(number(t, t.child(p, "gridSpan"), "val") or 1), merged, t.attribute(t.child(p, "vAlign"), "val", "top"), tuple(margins.get(side) for side in MARGINS) if margins else None, borders, fill)
+
+    def column_widths(self, rows: list[xml.Node], grid: list[float], table: float | None) -> list[float]:
+        """Widths of columns in twips: the grid's, then those that spanning cells ask for, shared as the columns were, then those of single cells; the last one wins."""
+        t, asked = self.t, []
+        for r in rows:
+            column = 0
+            for c in (c for c in self.through(r) if c.name.rsplit(":", 1)[-1] == "tc"):
+                p = t.child(c, "tcPr")
+                span, w = max(1, int(number(t, t.child(p, "gridSpan"), "val") or 1)), t.child(p, "tcW")
+                kind, value = t.attribute(w, "type", "dxa"), number(t, w, "w")
+                if kind == "pct" and value is not None and table is not None:
+                    value = math.floor(table * value / 5000 + 0.5)
+                if w is not None and value is not None and kind != "dxa" and table is None:
+                    self.note("width of a cell", kind)
+                elif value and value > 0:
+                    asked.append((span, column, value))
+                column += span
+        widths = dict(enumerate(grid))
+        for span, column, value in sorted(asked, key=lambda a: a[0] == 1):
+            over = [widths.get(column + k, 0.0) for k in range(span)]
+            for k, w in enumerate(over):
+                widths[column + k] = value * w / sum(over) if sum(over) > 0 else value / span
+        return [widths.get(k, 0.0) for k in range(max(widths, default=-1) + 1)]
 
     def contextual(self, blocks: list, names: list[str | None]) -> None:
         """Spaces beside a paragraph of the same style fall away where a paragraph asks for it."""
@@ -534,6 +696,16 @@ class Reader:
                 b.style |= ({"before": 0.0} if same(i - 1) else {}) | ({"after": 0.0} if same(i + 1) else {})
 
 
+#: Sides of a cell's margins, in the kernel's order.
+MARGINS = ("left", "right", "top", "bottom")
+
+
+def margins_of(t: xml.Tree, n: xml.Node | None) -> dict[str, float]:
+    """Side -> margin in twips, of the sides that are stated."""
+    sides = {side: t.child(n, side) for side in MARGINS} if n is not None else {}
+    return {side: 0.0 if t.attribute(c, "type") == "nil" else number(t, c, "w") for side, c in sides.items() if number(t, c, "w") is not None}
+
+
 def pixels(p: dict, step: float = 48.0) -> dict:
     """Properties in twips as the kernel's style in pixels."""
     px = lambda k: p.get(k, 0) * TWIP
@@ -543,7 +715,7 @@ def pixels(p: dict, step: float = 48.0) -> dict:
     if p.get("line") and p.get("rule") in ("exact", "atLeast"):
         style |= {"line_height": px("line"), "line_rule": p["rule"]}
     if p.get("stops") is not None or step != 48.0:
-        style["tabs"] = Tabs(tuple(Stop(at * TWIP, kind) for at, kind in p.get("stops") or ()), step)
+        style["tabs"] = Tabs(tuple(Stop(at * TWIP, kind, leader) for at, kind, leader in p.get("stops") or ()), step)
     return style
 
 
@@ -555,13 +727,20 @@ def geometry_of(t: xml.Tree, n: xml.Node | None) -> Geometry:
     width = get(size, "w", PAGE_WIDTH)
     count, gap = int(get(cols, "num", 1)), get(cols, "space", 720)
     columns = ()
-    if count > 1:
+    own = t.children(cols, "col") if cols is not None and t.attribute(cols, "equalWidth") in ("0", "false") else []
+    if own:  # each of its own width, with its own space behind it
+        at, found = left, []
+        for c in own:
+            found.append((at * TWIP, get(c, "w", 0) * TWIP))
+            at += get(c, "w", 0) + get(c, "space", 0)
+        columns = tuple(found)
+    elif count > 1:
         each = (width - left - right - gap * (count - 1)) / count
         columns = tuple(((left + k * (each + gap)) * TWIP, each * TWIP) for k in range(count))
     return Geometry(width * TWIP, get(size, "h", PAGE_HEIGHT) * TWIP, abs(get(m, "top", PAGE_MARGIN)) * TWIP, abs(get(m, "bottom", PAGE_MARGIN)) * TWIP, left * TWIP, right * TWIP, columns)
 
 
-def open_word(raw: bytes) -> Document:
+def open_word(raw: bytes, faces: dict[tuple[str, bool, bool], Face] | None = None) -> Document:
     """A document from its package; BadPackage or BadXml if it cannot be read."""
     by_name = {p.name: p for p in opc.read_parts(raw)}
 
@@ -577,36 +756,74 @@ def open_word(raw: bytes) -> Document:
     rels = by_name.get(opc.relationship_part(main))
     furniture = {r[0]: text(r[2]) for r in opc.relationships_of(rels.content(), main) if r[1] in ("header", "footer") and not r[3] and r[2] in by_name} if rels else {}
     found = {k: text(related(main, k)) for k in ("styles", "numbering", "footnotes", "endnotes", "settings")}
-    return Reader(read_styles(found["styles"]), read_lists(found["numbering"]), furniture, found["footnotes"], found["endnotes"], found["settings"]).read(text(main))
-
-
-PLACED = "doc string, page int, block int, line int, text string, marker string, x_milli long, y_milli long, height_milli long, error string"
+    return Reader(read_styles(found["styles"]), read_lists(found["numbering"]), furniture, found["footnotes"], found["endnotes"], found["settings"], faces).read(text(main))
 
 
 def pages_of(document: Document) -> list[Page]:
     return layout_sections(document.sections)
 
 
-def word_lines(packages: DataFrame) -> DataFrame:
-    """Every line of the paragraphs of each package (doc, content), placed; a package that cannot be read gives one row with its error."""
+PLACED = "doc string, page int, layer string, block int, line int, text string, marker string, x_milli long, y_milli long, height_milli long, error string"
+_PLACED = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+OPERATIONS = "doc string, page int, z int, layer string, kind string, x double, y double, x2 double, y2 double, width double, height double, size double, text string, color string, style string, family string, bold boolean, italic boolean, kerned boolean, error string"
+_OPERATIONS = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 7, *[pa.string()] * 4, *[pa.bool_()] * 3, pa.string())
+#: Rows of a batch that a task hands on.
+ROWS_AT_ONCE = 20_000
+
+
+def laid_out(packages: DataFrame, make: Callable[[str, Document], Iterator[tuple]], schema: str, kinds: tuple) -> DataFrame:
+    """The rows that make gives of each package (doc, content), where the package is; one that cannot be read gives a row with its error, the last column."""
     ship(packages.sparkSession)
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
         for b in batches:
             for doc, raw in zip(b.column("doc").to_pylist(), b.column("content"), strict=True):
                 try:
-                    d, rows = open_word(raw.as_py() or b""), []
-                    first = [0]
-                    for s in d.sections:
-                        first.append(first[-1] + len(s.blocks))
-                    for n, page in enumerate(pages_of(d)):
-                        for p in page.lines:
-                            i = first[page.section] + p.block
-                            text = "".join(r.text for r in d.blocks[i].runs).encode("utf-16-le")[2 * p.line.start : 2 * p.line.end].decode("utf-16-le")
-                            rows.append((doc, n, i, p.index, text, d.markers.get(i) if p.index == 0 else None, milli(p.x), milli(p.y), milli(p.height), None))
+                    rows += make(doc, open_word(raw.as_py() or b""))
                 except (opc.BadPackage, xml.BadXml) as e:
-                    rows = [(doc, *[None] * 8, str(e))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [f.split()[0] for f in PLACED.split(", ")])
+                    rows.append((doc, *[None] * (len(kinds) - 2), str(e)))
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield batch()
+                    rows = []
+        yield batch()
+
+    return packages.select("doc", "content").mapInArrow(run, schema)
+
+
+def _lines(doc: str, d: Document) -> list[tuple]:
+    first, rows, whole = [0], [], {}
+    for s in d.sections:
+        first.append(first[-1] + len(s.blocks))
+    for n, page in enumerate(pages_of(d)):
+        for layer, block, line, p in shown_lines(page):
+            if id(p.source) not in whole:
+                whole[id(p.source)] = (p.source, "".join(r.text for r in p.source.runs))
+            text = text_between(whole[id(p.source)][1], p.line.start, p.line.end)
+            rows.append((doc, n, layer, block + first[page.section] if layer in ("line", "row") else block, line, text, p.marker and p.marker[0].text, milli(p.x), milli(p.y), milli(p.height), None))
+        rows += [(doc, n, "number", k, None, str(number), None, milli(right), milli(y), None, None) for k, (number, right, y) in enumerate(page.line_numbers)]
+    return rows
+
+
+def word_lines(packages: DataFrame) -> DataFrame:
+    """Every line of text of each package (doc, content), placed: of the body, of tables (the row in place of the line), headers, footers and notes, and the numbers beside lines (their right edge and baseline)."""
+    return laid_out(packages, _lines, PLACED, _PLACED)
+
+
+def _operations(doc: str, d: Document) -> Iterator[tuple]:
+    painter = Painter()
+    for n, page in enumerate(pages_of(d)):
+        s = d.sections[page.section]
+        sheet = Op("page", "page", 0.0, 0.0, width=s.geometry.width, height=s.geometry.height)
+        for z, o in enumerate([sheet, *painter.page(page, s)]):
+            yield (doc, n, z, o.layer, o.kind, o.x, o.y, o.x2, o.y2, o.width, o.height, o.size, o.text, o.color, o.style, o.family, o.bold, o.italic, o.kerned, None)
+
 
-    return packages.select("doc", "content").mapInArrow(run, PLACED)
+def word_operations(packages: DataFrame) -> DataFrame:
+    """The draw operations of every page of each package (doc, content), z counting in paint order; the first of each page, of kind page, is its sheet."""
+    return laid_out(packages, _operations, OPERATIONS, _OPERATIONS)

@@ -1,7 +1,7 @@
 import pytest
 
 from leafmill.operators.lines import Paragraph
-from leafmill.operators.pages import Table
+from leafmill.operators.pages import Rule, Table
 from leafmill.sources.word import HALF_POINT, TWIP, Counters, Reader, open_word, pages_of, read_lists, read_styles, word_lines
 from tests.test_sources import REL, RELS, archive
 
@@ -156,7 +156,7 @@ def test_line_numbers_and_tab_step():
 
 def test_borders_of_a_paragraph():
     b = body(p("x", "<w:pBdr><w:top w:val='single' w:sz='8' w:space='3'/><w:bottom w:val='nil'/><w:between w:val='single'/></w:pBdr>")).blocks[0].style["borders"]
-    assert b == {"top": (96 / 72, 4.0), "inside_h": (0.5 * 96 / 72, 0.0)}
+    assert b == {"top": Rule(96 / 72, 4.0), "inside_h": Rule(0.5 * 96 / 72, 0.0)}
 
 
 def test_auto_line_spacing_is_a_multiple_of_single_spacing():
