@@ -10,8 +10,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from leafmill.operators.lines import ENDS, MONO, SOFT, Paragraph, Run, Tabs, Text, tab_move
-from leafmill.operators.pages import RULE_WIDTH, Box, Page, PlacedLine, PlacedRow, Rule
+from leafmill.operators.lines import ENDS, MONO, SOFT, Paragraph, Picture, Run, Tabs, Text, tab_move
+from leafmill.operators.pages import RULE_WIDTH, Box, Page, PlacedFloat, PlacedLine, PlacedRow, Rule
 from leafmill.operators.sections import Section
 
 #: The thinnest rule, a tenth of a point; the colour that is not stated; glyphs of tab leaders.
@@ -25,7 +25,7 @@ _WORDS = re.compile(r" +|[^ ]+")
 @dataclass(slots=True)
 class Op:
     layer: str
-    kind: str  # text, rect, line
+    kind: str  # text, rect, line, image
     x: float
     y: float
     x2: float | None = None
@@ -40,6 +40,8 @@ class Op:
     bold: bool = False
     italic: bool = False
     kerned: bool = False
+    media: str | None = None  # of an image: its type and its bytes
+    content: bytes | None = None
 
 
 def leader_count(leader: str, exact: float) -> int:
@@ -83,6 +85,10 @@ class Painter:
             if s < e:
                 hyphen = e == last and text.text[e - 1] == SOFT and last < len(text.text)
                 begin, ops, x = x, [], x
+                if run.picture:
+                    yield self.image(layer, run.picture, x, base - run.rise - run.picture.height)
+                    x += run.picture.width
+                    continue
                 for m in _PARTS.finditer(text.text, s, e):
                     if m.group() == "\t":
                         x = self.tab(layer, p, run, text, spans, tab_at.get(m.start()), x, base - run.rise, ops)
@@ -179,6 +185,19 @@ class Painter:
             if side in b.borders:
                 yield self.rule(layer, b.borders[side], x, top, x, bottom)
 
+    # ---- pictures and boxes of text
+
+    def image(self, layer: str, p: Picture, x: float, y: float) -> Op:
+        return Op(layer, "image", x, y, width=p.width, height=p.height, text=p.description, media=p.media, content=p.content)
+
+    def floats(self, layer: str, floats: list[PlacedFloat]) -> Iterator[Op]:
+        for f in floats:
+            if f.of.picture:
+                yield self.image(layer, f.of.picture, f.x, f.y)
+            yield from self.rows(layer, f.rows)
+            for p in f.lines:
+                yield from self.line(layer, p)
+
     # ---- a page
 
     def page(self, page: Page, s: Section) -> Iterator[Op]:
@@ -186,6 +205,7 @@ class Painter:
         for layer, lines in (("header", page.header), ("footer", page.footer)):
             for p in lines:
                 yield from self.line(layer, p)
+        yield from self.floats("behind", [f for f in page.floats if f.of.behind])
         yield from self.rows("row", page.rows)
         for p in page.lines:
             yield from self.line("line", p)
@@ -201,6 +221,7 @@ class Painter:
             yield Op("note", "line", s.geometry.left, page.rule, s.geometry.left + RULE_WIDTH, page.rule, width=THINNEST, color=INK, style="solid")
         for p in page.footnotes:
             yield from self.line("note", p)
+        yield from self.floats("front", [f for f in page.floats if not f.of.behind])
 
 
 def shown_lines(page: Page) -> Iterator[tuple[str, int, int, PlacedLine]]:
@@ -221,3 +242,6 @@ def shown_lines(page: Page) -> Iterator[tuple[str, int, int, PlacedLine]]:
     yield from of_rows("row", page.rows)
     yield from (("line", p.block, p.index, p) for p in page.lines)
     yield from (("note", p.block, p.index, p) for p in page.footnotes)
+    for f in page.floats:
+        yield from of_rows("float", f.rows)
+        yield from (("float", p.block, p.index, p) for p in f.lines)

@@ -36,8 +36,8 @@ def painted(*layers: DataFrame) -> DataFrame:
     return both.withColumn("z", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("layer", "ordinal", "part", "kind")) - 1)
 
 
-def element() -> Column:
-    """The SVG element of an operation."""
+def element(pictures: bool = False) -> Column:
+    """The SVG element of an operation; pictures have a type and content too."""
     n, a = fn.svg_number, lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
     color = fn.xml_attribute(F.coalesce("color", F.lit("#000000")))
     dash = F.when(F.col("style") == "dashed", a("stroke-dasharray", F.concat(n(F.col("width") * 3), F.lit(","), n(F.col("width") * 2)))).when(F.col("style") == "dotted", a("stroke-dasharray", F.concat(n(F.col("width")), F.lit(","), n(F.col("width") * 2)))).otherwise("")
@@ -48,7 +48,13 @@ def element() -> Column:
     text = F.concat(F.lit("<text"), a("x", n(F.col("x"))), a("y", n(F.col("y"))), family, a("font-size", n(F.col("size"))), weight, slant, a("fill", color), kerning, F.lit(' xml:space="preserve">'), fn.xml_text(F.coalesce("text", F.lit(""))), F.lit("</text>"))
     rect = F.concat(F.lit("<rect"), a("x", n(F.col("x"))), a("y", n(F.col("y"))), a("width", n(F.col("width"))), a("height", n(F.col("height"))), a("fill", color), F.lit("/>"))
     line = F.concat(F.lit("<line"), a("x1", n(F.col("x"))), a("y1", n(F.col("y"))), a("x2", n(F.col("x2"))), a("y2", n(F.col("y2"))), a("stroke", color), a("stroke-width", n(F.col("width"))), dash, F.lit("/>"))
-    return F.when(F.col("kind") == "text", text).when(F.col("kind") == "rect", rect).otherwise(line)
+    if not pictures:
+        return F.when(F.col("kind") == "text", text).when(F.col("kind") == "rect", rect).otherwise(line)
+    label = F.when(F.col("text").isNull(), "").otherwise(a("aria-label", fn.xml_attribute(F.col("text"))))
+    source = F.concat(F.lit("data:"), F.col("media"), F.lit(";base64,"), F.base64("content"))
+    # base64 writes lines; an attribute has none
+    image = F.concat(F.lit("<image"), a("x", n(F.col("x"))), a("y", n(F.col("y"))), a("width", n(F.col("width"))), a("height", n(F.col("height"))), label, F.lit(' preserveAspectRatio="xMidYMid meet"'), a("href", F.regexp_replace(source, "[\\r\\n]", "")), F.lit("/>"))
+    return F.when(F.col("kind") == "text", text).when(F.col("kind") == "rect", rect).when(F.col("kind") == "image", image).otherwise(line)
 
 
 def _sheet(width: Column, height: Column, background: str | None) -> tuple[Column, Column]:
@@ -71,7 +77,7 @@ def word_svg(operations: DataFrame, background: str | None = "#ffffff") -> DataF
     """(doc, page, svg): one SVG text for each page of packages, from the operations of `word_operations`."""
     rows = operations.where("error is null")
     of_page = F.col("kind") == "page"
-    in_order = F.array_sort(F.collect_list(F.when(~of_page, F.struct("z", element().alias("e")))))
+    in_order = F.array_sort(F.collect_list(F.when(~of_page, F.struct("z", element(pictures=True).alias("e")))))
     body = F.array_join(F.transform(in_order, lambda s: s["e"]), "")
     head, paper = _sheet(F.max(F.when(of_page, F.col("width"))), F.max(F.when(of_page, F.col("height"))), background)
     return rows.groupBy("doc", "page").agg(F.concat(head, paper, body, F.lit("</svg>")).alias("svg"))

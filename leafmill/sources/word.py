@@ -7,6 +7,7 @@ explicit off is a value of its own.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from itertools import groupby
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from leafmill.operators.display import Op, Painter, shown_lines
 from leafmill.operators.flow import milli, text_between
-from leafmill.operators.lines import MONO, Face, Look, Paragraph, Run, Stop, Tabs, Text
-from leafmill.operators.pages import Cell, Geometry, Page, Row, Rule, Table, natural, standoff
+from leafmill.operators.lines import MONO, OBJECT, Face, Look, Paragraph, Picture, Run, Stop, Tabs, Text
+from leafmill.operators.pages import Cell, Float, Geometry, Page, Row, Rule, Table, natural, standoff
 from leafmill.operators.sections import LineNumbers, Section, layout_sections, shown
 from leafmill.plans.session import ship
 from leafmill.sources import opc, xml
@@ -335,8 +336,9 @@ def field_of(instruction: str) -> tuple[str | None, str | None]:
 
 
 class Reader:
-    def __init__(self, styles: Styles, lists: Lists, parts: dict[str, str] | None = None, footnotes: str | None = None, endnotes: str | None = None, settings: str | None = None, faces: dict[tuple[str, bool, bool], Face] | None = None):
-        """parts: content of headers and footers by relationship id. faces: by family (in lower case), bold, italic; what is missing is set in the monospaced face."""
+    def __init__(self, styles: Styles, lists: Lists, parts: dict[str, str] | None = None, footnotes: str | None = None, endnotes: str | None = None, settings: str | None = None, faces: dict[tuple[str, bool, bool], Face] | None = None, media: dict[str, tuple[bytes, str]] | None = None):
+        """parts: content of headers and footers by relationship id. media: content and type of pictures by the same. faces: by family (in lower case), bold, italic; what is missing is set in the monospaced face."""
+        self.media, self.floats = media or {}, []
         self.faces, self.lent = faces or {}, ({}, {})  # paragraph and run properties that a table's style lends to its cells
         self.styles, self.lists, self.counters = styles, lists, Counters(lists)
         self.parts, self.bodies = parts or {}, {"footnote": footnotes, "endnote": endnotes}
@@ -482,12 +484,16 @@ class Reader:
         props |= paragraph_properties(t, p)
         if chain and chain[-1].name.lower().startswith("heading ") and chain[-1].name[8:] in tuple("123456789") and "before" not in props and "after" not in props:
             props |= {"before": HEADING_BEFORE, "after": HEADING_AFTER}
+        outer, self.floats = self.floats, []
         parts = self.runs(n, run)
+        floats, self.floats = self.floats, outer
         out = []
         for k, runs in enumerate(parts):
             s = pixels(props, self.step)
             if props.get("line") and props.get("rule", "auto") == "auto":  # a multiple of single spacing, in 240ths
                 s |= {"line_height": natural(runs or [self.run("", run)])[0] * props["line"] / 240, "line_rule": "auto"}
+            if floats and not k:
+                s["floats"] = floats
             if marker and not k:
                 self.place_marker(s, info, self.run(marker, run | ({"family": info.family} if info.family else {})))
             if borders := borders_of(t, t.child(p, "pBdr")):  # stated on the paragraph itself only
@@ -571,7 +577,17 @@ class Reader:
                     text += "\n"
                 elif kind in ("tab", "noBreakHyphen", "softHyphen"):
                     text += {"tab": "\t", "noBreakHyphen": "‑", "softHyphen": "­"}[kind]
-                elif kind in ("drawing", "pict", "object"):
+                elif kind in ("drawing", "pict"):
+                    found = self.drawing(c) if kind == "drawing" else self.vml(c)
+                    if isinstance(found, Picture):
+                        self.add(parts[-1], text, props)
+                        text = ""
+                        parts[-1].append(replace(self.run(OBJECT, props), picture=found))
+                    elif found:
+                        self.floats.append(found)
+                    else:
+                        self.note("not drawn", kind)
+                elif kind == "object":
                     self.note("not drawn", kind)
             self.add(parts[-1], text, props)
         return parts
@@ -596,6 +612,53 @@ class Reader:
             for small, letters in groupby(text, lambda c: c != c.upper()):
                 runs.append(self.run("".join(letters).upper(), props, SMALL_CAPS if small else 1.0))
 
+    # ---- pictures and boxes of text
+
+    def within(self, n: xml.Node | None, name: str) -> xml.Node | None:
+        """The first element of a name anywhere under a node."""
+        return next(self.t.elements(name, n.id), None) if n else None
+
+    def picture(self, id_: str | None, width: float, height: float, description: str | None) -> Picture | None:
+        if id_ is not None and id_ not in self.media:
+            self.note("missing picture", id_)
+        return Picture(width, height, *self.media[id_], description) if id_ in self.media else None
+
+    def box_blocks(self, n: xml.Node | None) -> list:
+        """Blocks of a box of text, none without one."""
+        content, floats = self.within(n, "txbxContent"), self.floats
+        out = self.inner("", content, self.t) if content else []
+        self.floats = floats
+        return out
+
+    def drawing(self, n: xml.Node) -> Picture | Float | None:
+        t = self.t
+        frame = t.child(n, "inline") or t.child(n, "anchor")
+        extent = t.child(frame, "extent")
+        width, height = ((number(t, extent, k) or 0) * EMU for k in ("cx", "cy"))
+        picture = self.picture(t.attribute(self.within(frame, "blip"), "embed"), width, height, t.attribute(t.child(frame, "docPr"), "descr"))
+        if frame is None or not frame.name.endswith("anchor"):
+            return picture
+        blocks = [] if picture else self.box_blocks(frame)
+        if not picture and not blocks:
+            return None
+        body = self.within(frame, "bodyPr")
+        inset = tuple((INSETS[k] if number(t, body, k) is None else number(t, body, k)) * EMU for k in INSETS)
+
+        def position(name: str, default: str) -> tuple[str, float, str | None]:
+            p = t.child(frame, name)
+            off, align = t.child(p, "posOffset"), t.child(p, "align")
+            start = RELATIVE.get(t.attribute(p, "relativeFrom", ""), default)
+            return start, float(t.value(off) or 0) * EMU if off else 0.0, t.value(align).strip() if align else None
+
+        clear = tuple((number(t, frame, k) or 0) * EMU for k in ("distL", "distT", "distR", "distB"))
+        return Float(width, height, picture, blocks, inset, position("positionH", "column"), position("positionV", "column")[:2], clear, t.child(frame, "wrapNone") is None, (t.attribute(frame, "behindDoc") or "0") in ("1", "true"))
+
+    def vml(self, n: xml.Node) -> Picture | None:
+        """An older picture, of the size that its shape's style states."""
+        shape = self.within(n, "shape") or self.within(n, "rect")
+        style = dict(x.split(":", 1) for x in self.t.attribute(shape, "style", "").replace(" ", "").split(";") if ":" in x)
+        return self.picture(self.t.attribute(self.within(n, "imagedata"), "id"), css_px(style.get("width")), css_px(style.get("height")), self.t.attribute(shape, "alt"))
+
     def table(self, n: xml.Node) -> Table:
         t, p = self.t, self.t.child(n, "tblPr")
         style, outer = t.attribute(t.child(p, "tblStyle"), "val"), self.lent
@@ -696,6 +759,19 @@ class Reader:
                 b.style |= ({"before": 0.0} if same(i - 1) else {}) | ({"after": 0.0} if same(i + 1) else {})
 
 
+#: Pixels of a unit of drawings; where they are placed from; what a box of text keeps inside of itself; pixels of units of style sheets.
+EMU = 96 / 914400
+RELATIVE = {"column": "column", "character": "column", "margin": "margin", "leftMargin": "margin", "rightMargin": "margin", "insideMargin": "margin", "outsideMargin": "margin", "page": "page", "paragraph": "paragraph", "line": "paragraph", "topMargin": "margin", "bottomMargin": "margin"}
+INSETS = {"lIns": 91440, "tIns": 45720, "rIns": 91440, "bIns": 45720}
+CSS = {"": 1.0, "px": 1.0, "pt": 96 / 72, "pc": 16.0, "in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4}
+
+
+def css_px(length: str | None) -> float:
+    """A style sheet's length in pixels; 0 if it is none."""
+    m = re.fullmatch(r"(-?[0-9.]+)([a-z]*)", (length or "").strip().lower())
+    return float(m[1]) * CSS[m[2]] if m and m[2] in CSS and m[1].count(".") < 2 and m[1].strip("-.") else 0.0
+
+
 #: Sides of a cell's margins, in the kernel's order.
 MARGINS = ("left", "right", "top", "bottom")
 
@@ -755,8 +831,9 @@ def open_word(raw: bytes, faces: dict[tuple[str, bool, bool], Face] | None = Non
     text = lambda name: by_name[name].content().decode("utf-8-sig") if name in by_name else None
     rels = by_name.get(opc.relationship_part(main))
     furniture = {r[0]: text(r[2]) for r in opc.relationships_of(rels.content(), main) if r[1] in ("header", "footer") and not r[3] and r[2] in by_name} if rels else {}
+    media = {r[0]: (by_name[r[2]].content(), opc.PICTURES.get(r[2].rsplit(".", 1)[-1].lower(), "application/octet-stream")) for r in opc.relationships_of(rels.content(), main) if r[1] == "image" and not r[3] and r[2] in by_name} if rels else {}
     found = {k: text(related(main, k)) for k in ("styles", "numbering", "footnotes", "endnotes", "settings")}
-    return Reader(read_styles(found["styles"]), read_lists(found["numbering"]), furniture, found["footnotes"], found["endnotes"], found["settings"], faces).read(text(main))
+    return Reader(read_styles(found["styles"]), read_lists(found["numbering"]), furniture, found["footnotes"], found["endnotes"], found["settings"], faces, media).read(text(main))
 
 
 def pages_of(document: Document) -> list[Page]:
@@ -765,8 +842,8 @@ def pages_of(document: Document) -> list[Page]:
 
 PLACED = "doc string, page int, layer string, block int, line int, text string, marker string, x_milli long, y_milli long, height_milli long, error string"
 _PLACED = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-OPERATIONS = "doc string, page int, z int, layer string, kind string, x double, y double, x2 double, y2 double, width double, height double, size double, text string, color string, style string, family string, bold boolean, italic boolean, kerned boolean, error string"
-_OPERATIONS = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 7, *[pa.string()] * 4, *[pa.bool_()] * 3, pa.string())
+OPERATIONS = "doc string, page int, z int, layer string, kind string, x double, y double, x2 double, y2 double, width double, height double, size double, text string, color string, style string, family string, bold boolean, italic boolean, kerned boolean, media string, content binary, error string"
+_OPERATIONS = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 7, *[pa.string()] * 4, *[pa.bool_()] * 3, pa.string(), pa.binary(), pa.string())
 #: Rows of a batch that a task hands on.
 ROWS_AT_ONCE = 20_000
 
@@ -821,7 +898,7 @@ def _operations(doc: str, d: Document) -> Iterator[tuple]:
         s = d.sections[page.section]
         sheet = Op("page", "page", 0.0, 0.0, width=s.geometry.width, height=s.geometry.height)
         for z, o in enumerate([sheet, *painter.page(page, s)]):
-            yield (doc, n, z, o.layer, o.kind, o.x, o.y, o.x2, o.y2, o.width, o.height, o.size, o.text, o.color, o.style, o.family, o.bold, o.italic, o.kerned, None)
+            yield (doc, n, z, o.layer, o.kind, o.x, o.y, o.x2, o.y2, o.width, o.height, o.size, o.text, o.color, o.style, o.family, o.bold, o.italic, o.kerned, o.media, o.content, None)
 
 
 def word_operations(packages: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ def test_runs_are_drawn_one_after_the_other():
 
 
 def test_justified_words_stand_by_themselves():
-    ops = ops_of([para("abcde fg " * 40, alignment="justify")])
+    ops = ops_of([para("abcde fgh " * 40, alignment="justify")])
     first = [o for o in ops if o.y == 18.0]
-    assert [o.text for o in first[:3]] == ["abcde", "fg", "abcde"] and first[-1].x + 5 == pytest.approx(90.0)
+    assert [o.text for o in first[:3]] == ["abcde", "fgh", "abcde"] and first[-1].x + 3 == pytest.approx(90.0)
 
 
 def test_tabs_and_leaders():
@@ -166,3 +166,92 @@ def test_faces_measure_their_runs():
     wide = Face(em=10, advance=20, ascent=8, descent=2)
     one, two = (pages_of(open_word(docx(p("ab", rpr="<w:rFonts w:ascii='Wide'/><w:sz w:val='20'/>")), faces))[0].lines[0].line.width for faces in (None, {("wide", False, False): wide}))
     assert two == pytest.approx(4 * 20 * HALF_POINT) != one and W
+
+
+# ---- pictures, boxes of text, floats
+
+NAMES = "xmlns:wp='wp' xmlns:a='a' xmlns:r='r' xmlns:wps='wps'"
+EMUS = 9525  # of a pixel
+
+
+def drawing(kind, inner, more="", cx=50, cy=30):
+    return f"<w:r><w:drawing {NAMES}><wp:{kind} {more}><wp:extent cx='{cx * EMUS}' cy='{cy * EMUS}'/><wp:docPr descr='a &quot;b&quot;'/>{inner}</wp:{kind}></w:drawing></w:r>"
+
+
+def with_picture(inner):
+    from tests.test_sources import REL, RELS, archive
+
+    return archive(
+        ("_rels/.rels", RELS.format(REL.format("r", "officeDocument", "word/document.xml", ""))),
+        ("word/_rels/document.xml.rels", RELS.format(REL.format("pic", "image", "media/one.png", ""))),
+        ("word/media/one.png", "png bytes"),
+        ("word/document.xml", f"<w:document {W}><w:body>{inner}</w:body></w:document>"),
+    )
+
+
+BLIP = "<a:blip r:embed='pic'/>"
+
+
+def test_inline_pictures_stand_on_the_baseline():
+    d = open_word(with_picture(f"<w:p><w:r><w:t>a</w:t></w:r>{drawing('inline', BLIP)}<w:r><w:t>b</w:t></w:r></w:p>"))
+    page = pages_of(d)[0]
+    ops = list(Painter().page(page, d.sections[0]))
+    assert [o.kind for o in ops] == ["text", "image", "text"]
+    image, letter = ops[1], 22 * HALF_POINT * 1229 / 2048
+    assert (image.width, image.height, image.text, image.media, image.content) == (50.0, 30.0, 'a "b"', "image/png", b"png bytes")
+    assert image.y + image.height == pytest.approx(page.lines[0].y + page.lines[0].baseline) and ops[2].x == pytest.approx(96 + letter + 50)
+    assert page.lines[0].height > 30.0
+
+
+def test_missing_pictures_are_reported():
+    d = open_word(with_picture(f"<w:p>{drawing('inline', BLIP.replace('pic', 'no'))}</w:p>" + p("x")))
+    assert ("missing picture", "no") in d.notes and ("not drawn", "drawing") in d.notes
+
+
+def test_text_flows_beside_floats():
+    place = "<wp:positionH relativeFrom='column'><wp:posOffset>0</wp:posOffset></wp:positionH><wp:positionV relativeFrom='paragraph'><wp:posOffset>0</wp:posOffset></wp:positionV>"
+    inner = f"<w:p>{drawing('anchor', place + BLIP, f'distR={chr(39)}{10 * EMUS}{chr(39)}', 200, 40)}<w:r><w:t>{'word ' * 120}</w:t></w:r></w:p>"
+    page = pages_of(open_word(with_picture(inner)))[0]
+    f = page.floats[0]
+    assert (f.x, f.y, f.of.width) == (96.0, 96.0, 200.0) and f.of.clear == (0.0, 0.0, 10.0, 0.0)
+    xs = [(w.x, f.meets(w.y, w.height)) for w in page.lines]
+    assert all(x == pytest.approx(306.0 if near else 96.0) for x, near in xs) and {n for _, n in xs} == {True, False}
+    over = pages_of(open_word(with_picture(inner.replace("<wp:extent", "<wp:wrapNone/><wp:extent"))))[0]
+    assert all(w.x == 96.0 for w in over.lines)
+
+
+def test_floats_go_with_their_paragraph_and_align():
+    place = "<wp:positionH relativeFrom='page'><wp:align>right</wp:align></wp:positionH><wp:positionV relativeFrom='page'><wp:posOffset>0</wp:posOffset></wp:positionV>"
+    size = "<w:sectPr><w:pgSz w:w='6000' w:h='4000'/></w:sectPr>"
+    d = open_word(with_picture(p("a ") * 7 + f"<w:p>{drawing('anchor', place + BLIP, 'behindDoc=' + repr('1'))}<w:r><w:t>last</w:t></w:r></w:p>" + size))
+    pages = pages_of(d)
+    last = next(k for k, page in enumerate(pages) if page.floats)
+    assert last == len(pages) - 1 > 0 and pages[last].floats[0].x == pytest.approx(6000 * TWIP - 50)
+    ops = list(Painter().page(pages[last], d.sections[0]))
+    assert ops[0].kind == "image" and ops[-1].text == "last"
+
+
+def test_boxes_of_text(spark):
+    box = f"<wps:txbx><w:txbxContent>{p('boxed text')}</w:txbxContent></wps:txbx><wps:bodyPr lIns='0' tIns='{10 * EMUS}'/>"
+    raw = with_picture(f"<w:p>{drawing('anchor', box, '', 200, 60)}<w:r><w:t>body</w:t></w:r></w:p>")
+    f = pages_of(open_word(raw))[0].floats[0]
+    assert (f.lines[0].x, f.lines[0].y) == (96.0, 106.0) and f.of.inset == pytest.approx((0.0, 10.0, 9.6, 4.8))
+    docs = spark.createDataFrame([("a", bytearray(raw))], "doc string, content binary")
+    assert sorted((r["layer"], r["text"]) for r in word_lines(docs).collect()) == [("float", "boxed text"), ("line", "body")]
+
+
+def test_pictures_in_svg(spark):
+    from leafmill.operators.render import word_svg
+
+    docs = spark.createDataFrame([("a", bytearray(with_picture(f"<w:p>{drawing('inline', BLIP)}</w:p>")))], "doc string, content binary")
+    svg = word_svg(word_operations(docs)).first()["svg"]
+    assert 'aria-label="a &quot;b&quot;" preserveAspectRatio="xMidYMid meet" href="data:image/png;base64,cG5nIGJ5dGVz"/>' in svg
+
+
+def test_older_pictures_and_lengths():
+    from leafmill.sources.word import css_px
+
+    d = open_word(with_picture("<w:p><w:r><w:pict xmlns:v='v' xmlns:r='r'><v:shape style='width:36pt; height:1in' alt='old'><v:imagedata r:id='pic'/></v:shape></w:pict></w:r></w:p>"))
+    image = d.blocks[0].runs[0].picture
+    assert (image.width, image.height, image.description) == (48.0, 96.0, "old")
+    assert [css_px(x) for x in ("2.54cm", "-10", "1x", None, "..")] == [pytest.approx(96.0), -10.0, 0.0, 0.0, 0.0]
