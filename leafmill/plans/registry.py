@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from leafmill.operators import archives, flow, placement, relational, render, tables
+from leafmill.operators import archives, editor, flow, placement, relational, render, tables
 
-QUERIES = flow.QUERIES | relational.QUERIES | placement.QUERIES | render.QUERIES | tables.QUERIES | archives.QUERIES
+QUERIES = flow.QUERIES | relational.QUERIES | placement.QUERIES | render.QUERIES | tables.QUERIES | archives.QUERIES | editor.QUERIES
