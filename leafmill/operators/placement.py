@@ -174,18 +174,44 @@ SELECT l_orderkey, row, "column", concat_ws(',', CASE WHEN rows_on AND br = 0 TH
 """
 
 
+def resolved_edges(cells: DataFrame, key: str, row: str, column: str, sides: dict[str, str], outer: dict[str, Column], inside: dict[str, Column]) -> DataFrame:
+    """The rules that each cell of a table draws, as widths: top (where its row opens the table), bottom, left and right.
+
+    sides names the columns of a cell's own top, bottom, left and right rule; what a cell does not state is the table's
+    outer rule at its edges and the inside one (h, v) elsewhere. Of two that meet the stronger stands, and the upper or
+    left cell draws it. Rows and columns count from 0 without gaps.
+    """
+    below, behind = Window.partitionBy(key, column).orderBy(row), Window.partitionBy(key, row).orderBy(column)
+    last = {row: F.lead(row).over(below).isNull(), column: F.lead(column).over(behind).isNull()}
+    own = lambda side, edge, kind: F.coalesce(F.col(sides[side]), F.when(edge, outer[side]).otherwise(inside[kind]))
+    cells = cells.withColumns({"__t": own("top", F.col(row) == 0, "h"), "__b": own("bottom", last[row], "h"), "__l": own("left", F.col(column) == 0, "v"), "__r": own("right", last[column], "v")})
+    cells = cells.withColumns({"__under": F.lead("__t").over(below), "__next": F.lead("__l").over(behind)})
+    drawn = {"top": F.when(F.col(row) == 0, F.col("__t")), "bottom": F.greatest("__b", "__under"), "left": F.when(F.col(column) == 0, F.col("__l")), "right": F.greatest("__r", "__next")}
+    return cells.select(*[F.col(c) for c in (key, row, column)], *[v.alias(f"{k}_rule") for k, v in drawn.items()])
+
+
 def cell_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upper edge of each cell: its own border, else the table's outer one in the first row and the inside one below; widths."""
+    """Orders as tables of three columns whose cells state some rules; widths of the rules that each cell draws."""
     by = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    own = F.when(F.col("l_returnflag") == "R", (F.col("l_linenumber") * 2).cast("long"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, F.row_number().over(by).alias("row"), own.alias("own"))
-    outer, inside = F.when(F.col("l_orderkey") % 2 == 0, 8), F.when(F.col("l_orderkey") % 3 == 0, 4)
-    return rows.select("l_orderkey", "row", F.coalesce("own", F.when(F.col("row") == 1, outer).otherwise(inside)).cast("long").alias("top"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.row_number().over(by) - 1).alias("row"))
+    cells = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("column"))
+    states = lambda n: F.when((F.col("row") + F.col("column") * 2 + F.lit(n)) % 3 == 0, F.col("l_linenumber") + n)
+    cells = cells.select("l_orderkey", "row", "column", *[states(k).alias(side) for k, side in enumerate(("top", "bottom", "left", "right"))])
+    k = F.col("l_orderkey")
+    outer = dict.fromkeys(("top", "bottom", "left", "right"), F.when(k % 2 == 0, 5))
+    inside = {"h": F.when(k % 3 == 0, 2), "v": F.when(k % 5 == 0, 1)}
+    return resolved_edges(cells, "l_orderkey", "row", "column", {side: side for side in outer}, outer, inside)
 
 
+#: The same from joins: each cell with its neighbours by their places.
 BORDERS_SQL = """
-WITH r AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS row, CASE WHEN l_returnflag = 'R' THEN l_linenumber * 2 END AS own FROM lineitem)
-SELECT l_orderkey, row, CAST(coalesce(own, CASE WHEN row = 1 THEN CASE WHEN l_orderkey % 2 = 0 THEN 8 END ELSE CASE WHEN l_orderkey % 3 = 0 THEN 4 END END) AS BIGINT) AS top FROM r
+WITH r AS (SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INTEGER) AS row, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS n FROM lineitem),
+c AS (SELECT *, unnest([0, 1, 2]) AS "column" FROM r),
+s AS (SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN 5 END AS o, CASE WHEN l_orderkey % 3 = 0 THEN 2 END AS h, CASE WHEN l_orderkey % 5 = 0 THEN 1 END AS v, (row + "column" * 2) % 3 AS m FROM c),
+e AS (SELECT l_orderkey, row, "column", n, CASE WHEN m = 0 THEN l_linenumber WHEN row = 0 THEN o ELSE h END AS t, CASE WHEN m = 2 THEN l_linenumber + 1 WHEN row = n - 1 THEN o ELSE h END AS b,
+  CASE WHEN m = 1 THEN l_linenumber + 2 WHEN "column" = 0 THEN o ELSE v END AS l, CASE WHEN m = 0 THEN l_linenumber + 3 WHEN "column" = 2 THEN o ELSE v END AS r FROM s)
+SELECT e.l_orderkey, e.row, e."column", CASE WHEN e.row = 0 THEN e.t END AS top_rule, greatest(e.b, u.t) AS bottom_rule, CASE WHEN e."column" = 0 THEN e.l END AS left_rule, greatest(e.r, x.l) AS right_rule
+FROM e LEFT JOIN e u ON u.l_orderkey = e.l_orderkey AND u."column" = e."column" AND u.row = e.row + 1 LEFT JOIN e x ON x.l_orderkey = e.l_orderkey AND x.row = e.row AND x."column" = e."column" + 1
 """
 
 # ---- positions

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry, text, units
@@ -127,19 +127,25 @@ HEIGHTS_SQL = "SELECT l_orderkey, CAST(CASE WHEN l_orderkey % 4 = 0 THEN max(l_q
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
-def _by_order() -> Window:
-    return Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+def _in_order(key: str, order: list[str]) -> Window:
+    return Window.partitionBy(key).orderBy(*order)
+
+
+def meeting_rules(rows: DataFrame, key: str, order: list[str], width: str, space: str) -> DataFrame:
+    """Adds, of each row's lower rule against the next row's upper one: side (whose rule draws), rule (its width), standoff and room."""
+    width_of_next = F.lead(width).over(_in_order(key, order))
+    rows = rows.withColumn("__next", width_of_next).withColumn("side", geometry.stronger(F.col(width), F.col("__next")))
+    rows = rows.withColumn("rule", F.when(F.col("side") == "earlier", F.col(width)).otherwise(F.when(F.col("side") == "later", F.col("__next"))))
+    return rows.withColumns({"standoff": geometry.standoff(F.col("rule"), F.col(space)), "room": geometry.room(F.col("rule"), F.col(space))}).drop("__next")
 
 
 def border_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row's lower rule against the next row's upper one: width and side that draw, standoff and room."""
+    """Orders as tables whose rows state rules."""
     own = F.when(F.col("l_returnflag") != "N", F.floor(F.col("l_quantity") / 10))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, own.alias("own"), F.when(F.col("l_linestatus") == "F", 2.0).alias("space"))
-    rows = rows.withColumn("next", F.lead("own").over(_by_order()))
-    side = geometry.stronger(F.col("own"), F.col("next"))
-    rows = rows.withColumn("side", side).withColumn("width", F.when(side == "earlier", F.col("own")).otherwise(F.when(side == "later", F.col("next"))))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, own.alias("own"), F.when(F.col("l_linestatus") == "F", 2.0).alias("gap"))
+    rows = meeting_rules(rows, "l_orderkey", LINE_ORDER, "own", "gap")
     halves = lambda x: (x * 2).cast("long")
-    return rows.select("l_orderkey", "l_linenumber", "side", F.col("width").cast("long").alias("width"), halves(geometry.standoff(F.col("width"), F.col("space"))).alias("standoff_halves"), halves(geometry.room(F.col("width"), F.col("space"))).alias("room_halves"))
+    return rows.select("l_orderkey", "l_linenumber", "side", F.col("rule").cast("long").alias("width"), halves(F.col("standoff")).alias("standoff_halves"), halves(F.col("room")).alias("room_halves"))
 
 
 BORDER_SQL = """
@@ -175,39 +181,57 @@ SELECT l_orderkey, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY head
 """
 
 
+def left_edges(columns: DataFrame, key: str, order: list[str], width: str) -> DataFrame:
+    """Adds left_edge: the widths of the columns before."""
+    before = _in_order(key, order).rowsBetween(Window.unboundedPreceding, -1)
+    return columns.withColumn("left_edge", F.coalesce(F.sum(width).over(before), F.lit(0)))
+
+
 def column_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as columns of a table: each one's left edge is the widths before it."""
-    before = _by_order().rowsBetween(Window.unboundedPreceding, -1)
-    width = F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", width.alias("width"), F.coalesce(F.sum(width).over(before), F.lit(0)).cast("long").alias("left_edge"))
+    """Lines as columns of a table."""
+    columns = table(spark, sf_dir, "lineitem").withColumn("width", F.col("l_quantity").cast("long"))
+    return left_edges(columns, "l_orderkey", LINE_ORDER, "width").select("l_orderkey", "l_linenumber", "width", F.col("left_edge").cast("long").alias("left_edge"))
 
 
 OFFSETS_SQL = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS width, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_edge FROM lineitem"
 
 
+def fitted(tables: DataFrame, own: str, preferred: str, fraction: str, alignment: str, indent: str, measure: Column | float) -> DataFrame:
+    """Adds width, scale and left_edge of tables: their preferred width, else that share of the measure, else the grid's own; centred, at the right, or as far in as they say."""
+    room = F.lit(measure) if isinstance(measure, float) else measure
+    asked = F.coalesce(room * F.col(fraction), F.col(preferred))
+    width = F.when((asked > 0) & (F.col(own) > 0), asked).otherwise(F.col(own))
+    left = F.when(F.col(alignment) == "center", (room - F.col("width")) / 2).when(F.col(alignment) == "right", room - F.col("width")).otherwise(F.coalesce(F.col(indent), F.lit(0.0)))
+    return tables.withColumn("width", width).withColumn("scale", F.when(F.col(own) > 0, F.col("width") / F.col(own)).otherwise(1.0)).withColumn("left_edge", left)
+
+
 def table_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables brought to a preferred width of 100 (odd orders) and aligned in a measure of 120: scaled width and left edge, thousandths."""
-    fit = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("own"))
-    fit = fit.withColumn("width", F.when(F.col("l_orderkey") % 2 == 1, 100.0).otherwise(F.col("own")))
-    align = F.element_at(F.array(*map(F.lit, ("left", "center", "right"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
-    fit = fit.withColumn("alignment", align)
-    thousandths = lambda x: units.half_up(x * 1000).cast("long")
-    return fit.select("l_orderkey", "alignment", thousandths(F.col("width")).alias("width"), thousandths(F.col("width") / F.col("own")).alias("scale"), thousandths(geometry.line_offset(F.lit(120.0), F.col("width"), F.col("alignment"))).alias("left_edge"))
+    """Orders as tables of their quantities' widths in a measure of 120: odd ones want 100, every fourth a third of the measure; thousandths."""
+    k = F.col("l_orderkey")
+    tables = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("own"))
+    align = F.element_at(F.array(*map(F.lit, ("left", "center", "right"))), (k % 3 + 1).cast("int"))
+    tables = tables.withColumns({"preferred": F.when(k % 2 == 1, 100.0), "fraction": F.when(k % 4 == 0, 1 / 3), "alignment": align, "indent": F.when(k % 5 == 0, 7.0)})
+    thousandths = lambda c: units.half_up(F.col(c) * 1000).cast("long").alias(c)
+    return fitted(tables, "own", "preferred", "fraction", "alignment", "indent", 120.0).select("l_orderkey", "alignment", *map(thousandths, ("width", "scale", "left_edge")))
 
 
 FIT_SQL = """
-WITH f AS (SELECT l_orderkey, sum(l_quantity) AS own FROM lineitem GROUP BY l_orderkey),
-w AS (SELECT *, CASE WHEN l_orderkey % 2 = 1 THEN 100.0 ELSE own END AS width, ['left', 'center', 'right'][CAST(l_orderkey % 3 + 1 AS INTEGER)] AS alignment FROM f)
+WITH f AS (SELECT l_orderkey, sum(l_quantity) AS own, CASE l_orderkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'center' ELSE 'right' END AS alignment FROM lineitem GROUP BY l_orderkey),
+w AS (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN 40.0 WHEN 1 THEN 100.0 WHEN 3 THEN 100.0 ELSE own END AS width FROM f)
 SELECT l_orderkey, alignment, CAST(floor(width * 1000 + 0.5) AS BIGINT) AS width, CAST(floor(width / own * 1000 + 0.5) AS BIGINT) AS scale,
-  CAST(floor(CASE alignment WHEN 'center' THEN greatest(0, 120.0 - width) / 2 WHEN 'right' THEN greatest(0, 120.0 - width) ELSE 0 END * 1000 + 0.5) AS BIGINT) AS left_edge FROM w
+  CAST(floor(CASE alignment WHEN 'left' THEN CASE WHEN l_orderkey % 5 = 0 THEN 7 ELSE 0 END WHEN 'right' THEN 120 - width ELSE 60 - width / 2 END * 1000 + 0.5) AS BIGINT) AS left_edge FROM w
 """
 
 
+def leading(rows: DataFrame, key: str, order: list[str], is_header: Column) -> DataFrame:
+    """Adds leads: whether a row and all rows of its table before it are headers; they repeat on each page."""
+    return rows.withColumn("leads", F.min(is_header.cast("int")).over(_in_order(key, order)) == 1)
+
+
 def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leading rows that are headers (flag not N): they repeat on each page."""
-    is_header = (F.col("l_returnflag") != "N").cast("int")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.min(is_header).over(_by_order()).alias("lead_flag"))
-    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n_rows"), F.sum("lead_flag").alias("n_header_rows"))
+    """Orders as tables whose rows are headers where their flag is not N."""
+    rows = leading(table(spark, sf_dir, "lineitem"), "l_orderkey", LINE_ORDER, F.col("l_returnflag") != "N")
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n_rows"), F.count_if("leads").alias("n_header_rows"))
 
 
 HEADER_SQL = """
@@ -218,17 +242,18 @@ SELECT l_orderkey, count(*) AS n_rows, CAST(sum(lead_flag) AS BIGINT) AS n_heade
 # ---- paragraphs: a turn of a conversation is a paragraph, its role the style
 
 
-def _by_turn() -> Window:
-    return Window.partitionBy("conv_id").orderBy("turn")
+def gaps(paragraphs: DataFrame, key: str, order: list[str], before: str, after: str) -> DataFrame:
+    """Adds gap and added: the larger of the space after the paragraph above and the own space before, and what of it the one above has not made already."""
+    above = F.coalesce(F.lag(after).over(_in_order(key, order)), F.lit(0))
+    return paragraphs.withColumns({"added": F.greatest(F.col(before) - above, F.lit(0)), "gap": F.greatest(F.col(before), above)})
 
 
 def paragraph_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gap above each paragraph is the larger of the space after the one before and its own space before."""
+    """Turns with the spaces of their roles."""
     before = F.when(F.col("role") == "user", 10).when(F.col("role") == "system", 0).otherwise(20)
     after = F.when(F.col("role") == "user", 20).when(F.col("role") == "system", 12).otherwise(6)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", before.alias("before"), after.alias("after"))
-    above = F.coalesce(F.lag("after").over(_by_turn()), F.lit(0))
-    return rows.select("conv_id", "turn", F.greatest(F.col("before") - above, F.lit(0)).alias("added"), F.greatest(F.col("before"), above).alias("gap"))
+    return gaps(rows, "conv_id", ["turn"], "before", "after").select("conv_id", "turn", "added", "gap")
 
 
 GAPS_SQL = """
@@ -238,11 +263,17 @@ SELECT conv_id, turn, greatest(b - above, 0) AS added, greatest(b, above) AS gap
 """
 
 
+def beside_same(paragraphs: DataFrame, key: str, order: list[str], style: str, before: str, after: str) -> DataFrame:
+    """Space before and after fall away beside a paragraph of the same style; a null style is like no other."""
+    w = _in_order(key, order)
+    same = lambda other: F.coalesce(other.over(w) == F.col(style), F.lit(False))
+    return paragraphs.withColumns({before: F.when(same(F.lag(style)), 0).otherwise(F.col(before)), after: F.when(same(F.lead(style)), 0).otherwise(F.col(after))})
+
+
 def contextual_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Space before and after fall away beside a paragraph of the same style."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.length("text") % 3 == 0, "body").otherwise(F.col("role")).alias("style"))
-    same = lambda other: F.coalesce(other.over(_by_turn()).eqNullSafe(F.col("style")) & other.over(_by_turn()).isNotNull(), F.lit(False))
-    return rows.select("conv_id", "turn", "style", F.when(same(F.lag("style")), 0).otherwise(10).alias("space_before"), F.when(same(F.lead("style")), 0).otherwise(10).alias("space_after"))
+    """Turns whose style is their role, or body."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.length("text") % 3 == 0, "body").otherwise(F.col("role")).alias("style"), F.lit(10).alias("space_before"), F.lit(10).alias("space_after"))
+    return beside_same(rows, "conv_id", ["turn"], "style", "space_before", "space_after")
 
 
 CONTEXTUAL_SQL = """
@@ -258,22 +289,29 @@ def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("based_on"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") + 10).alias("size"), F.when(F.col("n_nationkey") % 5 == 1, F.col("n_nationkey") % 2 == 0).alias("bold"))
     style = style.unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("root").alias("based_on"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_regionkey") + 40).alias("size"), F.lit(None).cast("boolean").alias("bold")))
     style = style.unionByName(spark.createDataFrame([("root", None, 99, False)], "id string, based_on string, size int, bold boolean"))
-    return cascade(spark, style, ["size", "bold"])
+    return cascade(style.withColumn("doc_id", F.lit(0)), ["size", "bold"]).drop("doc_id")
+
+
+def cascade(style: DataFrame, properties: list[str]) -> DataFrame:
+    """Resolves the properties of styles (doc_id, id, based_on, properties...) along the chains in their document. Null means not stated.
 
+    A missing parent or a circle ends a chain. A chain stays in its document, so a document's styles are one map that each
+    of them walks: one aggregate and no join, however long the chains; a document's styles are few.
+    """
+    fields = F.struct(*[F.col(p) for p in properties])
+    known = style.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("based_on", fields.alias("own"))))).alias("styles"), F.collect_list("id").alias("ids"))
+    each = known.select("doc_id", "styles", F.explode("ids").alias("id"))
+    start = F.struct(F.array(F.col("id")).alias("seen"), F.lit(False).alias("ended"))
+
+    def step(acc: Column, _: Column) -> Column:
+        parent = F.try_element_at(F.col("styles"), F.element_at(acc["seen"], -1))["based_on"]
+        ends = acc["ended"] | parent.isNull() | ~F.array_contains(F.map_keys("styles"), parent) | F.array_contains(acc["seen"], parent)
+        return F.when(ends, F.struct(acc["seen"].alias("seen"), F.lit(True).alias("ended"))).otherwise(F.struct(F.array_append(acc["seen"], parent).alias("seen"), F.lit(False).alias("ended")))
 
-def cascade(spark: SparkSession, style: DataFrame, properties: list[str]) -> DataFrame:
-    """Resolves the properties of styles (id, based_on, properties...) along their chains; a missing parent or a cycle ends a chain. Null means not stated."""
-    style.createOrReplaceTempView("__style")
-    chain = spark.sql("""
-      WITH RECURSIVE chain(id, at, depth, seen) AS (
-        SELECT id, id, 0, array(id) FROM __style
-        UNION ALL
-        SELECT c.id, s.based_on, c.depth + 1, array_append(c.seen, s.based_on) FROM chain c JOIN __style s ON s.id = c.at
-        WHERE s.based_on IS NOT NULL AND NOT array_contains(c.seen, s.based_on))
-      SELECT id, at, depth FROM chain""")
-    stated = style.drop("based_on").withColumnRenamed("id", "at")
-    nearest = [F.min_by(F.col(p), F.when(F.col(p).isNotNull(), F.col("depth"))).alias(p) for p in properties]
-    return chain.join(stated, "at").groupBy("id").agg((F.count("*") - 1).alias("depth"), *nearest)
+    chain = F.aggregate(F.map_keys("styles"), start, step)["seen"]
+    each = each.select("doc_id", "id", "styles", chain.alias("chain"))
+    stated = lambda p: F.array_compact(F.transform("chain", lambda c: F.try_element_at(F.col("styles"), c)["own"][p]))
+    return each.select("doc_id", "id", (F.size("chain") - 1).cast("long").alias("depth"), *[F.try_element_at(stated(p), F.lit(1)).alias(p) for p in properties])
 
 
 CASCADE_SQL = """
@@ -325,11 +363,16 @@ SELECT l_orderkey, l_linenumber, level, CAST(n0 AS VARCHAR) || CASE WHEN level >
 """
 
 
+def numbered(references: DataFrame, key: str, order: list[str], note: str) -> DataFrame:
+    """(key, note, n_references, number): notes number by their first reference."""
+    first = references.groupBy(key, note).agg(F.min(F.struct(*order)).alias("__first"), F.count("*").alias("n_references"))
+    return first.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy("__first", note))).drop("__first")
+
+
 def note_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes number by first reference: parts are notes, an order's lines their references; endnotes in lower roman."""
-    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first_line"), F.count("*").alias("n_references"))
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("first_line", "l_partkey"))
-    return first.select("l_orderkey", "l_partkey", "n_references", n.cast("long").alias("footnote"), text.roman(n).alias("endnote"))
+    """Parts as notes, an order's lines as their references; endnotes in lower roman."""
+    found = numbered(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber"], "l_partkey")
+    return found.select("l_orderkey", "l_partkey", "n_references", F.col("number").cast("long").alias("footnote"), text.roman(F.col("number")).alias("endnote"))
 
 
 NOTES_SQL = """

@@ -116,3 +116,29 @@ def test_continues_without_a_restart_are_cells_of_their_own(spark):
     rows = spark.createDataFrame([(1, k, m) for k, m in enumerate(kinds)], "id long, k int, merge string")
     got = [r["cell"] for r in merge_spans(rows, "id", ["k"], "merge").orderBy("k").collect()]
     assert got == [1, 2, 3, 3, 3, 4, 5, 6, 7]
+
+
+def test_styles_resolve_in_their_own_document(spark):
+    from leafmill.operators.relational import cascade
+
+    rows = [(1, "a", None, 10, None), (1, "b", "a", None, True), (1, "c", "b", 30, None), (2, "b", "c", None, None), (2, "c", "b", 7, None), (2, "d", "gone", None, False), (3, "a", "a", None, None)]
+    style = spark.createDataFrame(rows, "doc_id int, id string, based_on string, size int, bold boolean")
+    got = {(r["doc_id"], r["id"]): (r["depth"], r["size"], r["bold"]) for r in cascade(style, ["size", "bold"]).collect()}
+    assert got == {(1, "a"): (0, 10, None), (1, "b"): (1, 10, True), (1, "c"): (2, 30, True), (2, "b"): (1, 7, None), (2, "c"): (1, 7, None), (2, "d"): (0, None, False), (3, "a"): (0, None, None)}
+
+
+def test_relational_operators_take_any_columns(spark):
+    from leafmill.operators import placement, relational
+
+    p = spark.createDataFrame([("d", 1, "s", 5, 9), ("d", 2, "s", 7, 3), ("d", 3, None, 1, 1), ("d", 4, None, 1, 1)], "doc string, k int, style string, b int, a int")
+    assert [(r["added"], r["gap"]) for r in relational.gaps(p, "doc", ["k"], "b", "a").orderBy("k").collect()] == [(5, 5), (0, 9), (0, 3), (0, 1)]
+    assert [(r["b"], r["a"]) for r in relational.beside_same(p, "doc", ["k"], "style", "b", "a").orderBy("k").collect()] == [(5, 0), (0, 3), (1, 1), (1, 1)]
+    refs = spark.createDataFrame([("d", 1, "z"), ("d", 2, "y"), ("d", 3, "z"), ("e", 1, "y")], "doc string, at int, note string")
+    assert {(r["doc"], r["note"]): (r["number"], r["n_references"]) for r in relational.numbered(refs, "doc", ["at"], "note").collect()} == {("d", "z"): (1, 2), ("d", "y"): (2, 1), ("e", "y"): (1, 1)}
+    t = spark.createDataFrame([(1, 50.0, 80.0, None, "center", None), (2, 50.0, None, 0.5, "left", 4.0), (3, 0.0, 10.0, None, "right", None)], "id int, own double, preferred double, fraction double, alignment string, indent double")
+    assert [(r["width"], r["scale"], r["left_edge"]) for r in relational.fitted(t, "own", "preferred", "fraction", "alignment", "indent", 100.0).orderBy("id").collect()] == [(80.0, 1.6, 10.0), (50.0, 1.0, 4.0), (0.0, 1.0, 100.0)]
+    cells = spark.createDataFrame([("t", r, c, 3 if (r, c) == (1, 0) else None, None) for r in range(2) for c in range(2)], "t string, r int, c int, up int, none int")
+    from pyspark.sql import functions as F
+
+    got = placement.resolved_edges(cells, "t", "r", "c", {"top": "up", "bottom": "none", "left": "none", "right": "none"}, dict.fromkeys(("top", "bottom", "left", "right"), F.lit(2)), {"h": F.lit(1), "v": F.lit(1)})
+    assert sorted(tuple(x)[1:] for x in got.collect()) == [(0, 0, 2, 3, 2, 1), (0, 1, 2, 1, None, 2), (1, 0, None, 2, 2, 1), (1, 1, None, 2, None, 2)]
