@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SLICE_BYTES, crc_mod, ship, table, text_slices
+from leafmill.llm.common import SLICE_BYTES, Scratch, crc_mod, ship, table, text_slices
 
 BUCKETS = 1 << 13
 #: The sample that is clustered: so many rows a language, the first by hash of their id.
@@ -139,8 +139,13 @@ def fit(spark: SparkSession, docs: DataFrame) -> Model:
     idf = (np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1).astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)
 
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("place", F.dense_rank().over(first)).where(F.col("place") <= SAMPLE_ROWS).select("lang", "doc_id").distinct()
+    scratch = Scratch(spark, "languages")
+    counts = scratch.put(known.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    # ids beyond twice the share that is wanted are not ranked
+    low = known.select("lang", "doc_id").join(counts, "lang").where((F.col("n") <= 4 * SAMPLE_ROWS) | (place < F.lit(1 << 30) * (2 * SAMPLE_ROWS / F.col("n"))))
+    ids = low.withColumn("place", F.dense_rank().over(first)).where(F.col("place") <= SAMPLE_ROWS).select("lang", "doc_id").distinct()
     # at most SAMPLE_ROWS ids a language
     sample = known.alias("k").join(F.broadcast(ids).alias("i"), F.expr("k.lang = i.lang and k.doc_id <=> i.doc_id"), "left_semi")
 
@@ -157,6 +162,7 @@ def fit(spark: SparkSession, docs: DataFrame) -> Model:
 
     one = sample.mapInArrow(vectors, "doc_id long, lang string, vector binary").groupBy("lang", "doc_id").agg(F.min("vector").alias("vector"))
     found = one.groupBy("lang").applyInPandas(centroids, "lang string, place long, centre binary, least double").collect()
+    scratch.only()
     found.sort(key=lambda r: (r["lang"], r["place"]))
     centres = np.stack([np.frombuffer(r["centre"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32)
     return Model(idf, [r["lang"] for r in found], centres, np.array([r["least"] for r in found]))
