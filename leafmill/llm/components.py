@@ -1,7 +1,8 @@
 """Distributed connected components by alternating large and small stars.
 
-Each round's edges are stored in the shared folder; no component, node list or edge list ever reaches the driver or one
-task: a node's least neighbour is an aggregate, and hubs are joined with it under Spark's own splitting of skewed keys.
+Each round's edges and least neighbours are stored in the shared folder; no component, node list or edge list ever
+reaches the driver or one task: a node's least neighbour is an aggregate, and as both sides of its join with the edges
+come straight from a shuffle, Spark splits the edges of a hub.
 """
 
 from __future__ import annotations
@@ -12,17 +13,17 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Every node and its smaller neighbours are tied to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.put(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -39,8 +40,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
         if digest == before or not digest[0]:
             break
         before = digest
-        new = scratch.put(_small_star(_large_star(now)), "edges")
-        scratch.drop(now)
+        large = scratch.put(_large_star(now, scratch), "edges")
+        new = scratch.put(_small_star(large, scratch), "edges")
+        scratch.drop(*[df for df, path in list(scratch.paths.values()) if path.endswith("-least")], now, large)
         now = new
     # stars now: every node but the least points to it
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

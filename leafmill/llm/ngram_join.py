@@ -45,7 +45,7 @@ SPREAD, FRAGMENT_BYTES = 4, 64_000_000
 #: The sample that finds very common n-grams: about so many rows; the n-grams of at least so many of its texts, at most so many of them. Only the way of such postings depends on it, no result.
 SAMPLE_ROWS, COMMON, MOST_COMMON = 4_000, 4, 400_000
 #: Fragments of the order in which a cluster's overlaps are counted; n-grams, and classes, of a part of a cluster.
-PAIR_FRAGMENTS, TASK_GRAMS, TASK_CLASSES = 4, 4_000_000, 128
+PAIR_FRAGMENTS, TASK_GRAMS, TASK_CLASSES = 4, 4_000_000, 64
 
 _MEMBER = np.dtype([("doc_id", "<i8"), ("null", "?"), ("n", "<i8"), ("a", "<u8"), ("b", "<u8"), ("place", "<i4")])
 #: In place of a fragment, in the ids of very common n-grams.
